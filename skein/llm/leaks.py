@@ -1,18 +1,20 @@
 """Documents that hold passages of held-out test items.
 
-The test items, a small fixed set, make a BM25 inverted index whose terms are word trigrams; its postings are cut into blocks with
+The test items, a small fixed set, make a BM25 inverted index whose terms are runs of four words; its postings are cut into blocks with
 their largest impact. Every document is read as overlapping passages, and each passage queries the index by block-max WAND
 for all items above a threshold. The threshold loses nothing: a leak has 24 consecutive words of the item with at
-most two of them changed, added or dropped, and each such edit breaks at most three trigrams, so that the item's score cannot
+most two of them changed, added or dropped, and each such edit breaks at most four of its terms, so that the item's score cannot
 fall below the least sum of what remains of any 24 of its words. Every retrieved pair is verified by word alignment.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,17 @@ from pyspark.sql import functions as F
 from skein.llm import textnorm
 
 SPAN, EDITS = 24, 2  # one word in ten of 24
+GRAM = 4  # words of a term
+INTACT = SPAN - GRAM + 1 - GRAM * EDITS  # terms that are left of a span after the edits
 PASSAGE = 2 * (SPAN + EDITS)
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
 
+_CURRENT = itemgetter(0)
+
+
 class Index:
-    """BM25 over word trigrams with blocked postings; pickles small."""
+    """BM25 over word n-grams with blocked postings; pickles small."""
 
     def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, block: int = 16) -> None:
         texts = [(i, textnorm.words(t)) for i, t in items]
@@ -49,70 +56,78 @@ class Index:
             for g, x in impact.items():
                 postings[place[g]].append((doc, x))
             self.least[doc] = self._least(np.array([impact[g] for g in gs.tolist()]), gs)
-        self.postings = [(np.array([d for d, _ in p]), np.array([x for _, x in p]), [(p[min(i + block, len(p)) - 1][0], max(x for _, x in p[i : i + block])) for i in range(0, len(p), block)]) for p in postings]
+        self.postings = [([d for d, _ in p], [x for _, x in p], [(p[min(i + block, len(p)) - 1][0], max(x for _, x in p[i : i + block])) for i in range(0, len(p), block)]) for p in postings]
         self.most = np.array([max(x for _, x in p) for p in postings]) if postings else np.zeros(0)
         self.threshold = float(self.least.min()) if count else math.inf
 
     def grams(self, tokens: np.ndarray) -> np.ndarray:
-        """Trigram keys; -1 where a word is not in the index."""
-        a, b, c = tokens[:-2], tokens[1:-1], tokens[2:]
-        return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * self.size + b) * self.size + c, -1)
+        """Keys of the word n-grams; -1 where a word is not in the index."""
+        n = max(0, len(tokens) - GRAM + 1)
+        key, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        for k in range(GRAM):
+            part = tokens[k : k + n]
+            key = key * self.size + part  # beyond 64 bits this is a hash; verification follows
+            known &= part >= 0
+        return np.where(known, key & 0x7FFFFFFFFFFFFFFF, -1)
 
     @staticmethod
     def _least(impacts: np.ndarray, grams: np.ndarray) -> float:
         """The least score of any SPAN words of an item after EDITS edits."""
-        least, n = math.inf, SPAN - 2
+        least, n = math.inf, SPAN - GRAM + 1
         for s in range(len(impacts) - n + 1):
             part = impacts[s : s + n].copy()
             first = np.zeros(n, dtype=bool)
             first[np.unique(grams[s : s + n], return_index=True)[1]] = True
             part[~first] = 0
-            broken = np.sort(np.convolve(part, np.ones(3)))[::-1]
+            broken = np.sort(np.convolve(part, np.ones(GRAM)))[::-1]
             least = min(least, part.sum() - broken[:EDITS].sum())
         return max(least, 1e-9)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at least the threshold, by block-max WAND over the postings of the terms."""
-        lists = [[self.postings[t], 0, float(self.most[t]), 0] for t in terms]  # postings, position, bound, block
-        found = []
+        lists = [[self.postings[t][0][0], 0, *self.postings[t], float(self.most[t]), 0] for t in terms]
+        found = []  # a list: its current item, position, items, impacts, blocks (last item, largest impact), bound, current block
         while lists:
-            lists.sort(key=lambda x: x[0][0][x[1]])
+            lists.sort(key=_CURRENT)
             bound, pivot = 0.0, -1
             for i, x in enumerate(lists):
-                bound += x[2]
+                bound += x[5]
                 if bound >= threshold:
                     pivot = i
                     break
             if pivot < 0:
                 return found
-            doc = int(lists[pivot][0][0][lists[pivot][1]])
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][0][lists[pivot + 1][1]] == doc:
+            doc = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == doc:
                 pivot += 1
-            blocks, skip = 0.0, math.inf
-            for x in lists[: pivot + 1]:
-                ends = x[0][2]
-                while x[3] < len(ends) and ends[x[3]][0] < doc:
-                    x[3] += 1
-                if x[3] < len(ends):
-                    blocks += ends[x[3]][1]
-                    skip = min(skip, ends[x[3]][0])
+            head, blocks, skip = lists[: pivot + 1], 0.0, math.inf
+            for x in head:
+                ends, k = x[4], x[6]
+                while k < len(ends) and ends[k][0] < doc:
+                    k += 1
+                x[6] = k
+                if k < len(ends):
+                    blocks += ends[k][1]
+                    skip = min(skip, ends[k][0])
             if blocks < threshold:  # no item up to the nearest block end, nor before the next list, can reach it
-                until = min(skip + 1, int(lists[pivot + 1][0][0][lists[pivot + 1][1]]) if pivot + 1 < len(lists) else math.inf)
-                until = max(until, doc + 1)
-            elif lists[0][0][0][lists[0][1]] == doc:
-                score = 0.0
-                for x in lists[: pivot + 1]:
-                    score += float(x[0][1][x[1]])
+                until = max(doc + 1, min(skip + 1, lists[pivot + 1][0] if pivot + 1 < len(lists) else math.inf))
+            elif head[0][0] == doc:
+                score = sum(x[3][x[1]] for x in head)
                 if score >= threshold:
                     found.append((doc, score))
                 until = doc + 1
             else:
                 until = doc
-            for x in lists[: pivot + 1]:
-                docs = x[0][0]
-                if docs[x[1]] < until:
-                    x[1] += int(np.searchsorted(docs[x[1] :], until)) if until != math.inf else len(docs)
-            lists = [x for x in lists if x[1] < len(x[0][0])]
+            ended = False
+            for x in head:
+                if x[0] < until:
+                    x[1] = bisect_left(x[2], until, x[1] + 1)
+                    if x[1] < len(x[2]):
+                        x[0] = x[2][x[1]]
+                    else:
+                        x[0], ended = math.inf, True
+            if ended:
+                lists = [x for x in lists if x[0] != math.inf]
         return found
 
     def leaks(self, tokens: np.ndarray) -> set[int]:
@@ -124,19 +139,24 @@ class Index:
             return set()
         at = np.minimum(np.searchsorted(self.terms, grams), len(self.terms) - 1)
         hit = self.terms[at] == grams
-        if hit.sum() < SPAN - 2 - 3 * EDITS:
+        if hit.sum() < INTACT:
             return set()
+        # A passage is worth a query only where the terms of one span reach the threshold and enough of them are known.
+        n = min(SPAN + EDITS - GRAM + 1, len(grams))
         bound = np.concatenate([[0.0], np.cumsum(np.where(hit, self.most[at], 0.0))])
-        half, found, tried = PASSAGE // 2, set(), set()
-        begins = np.arange(0, max(1, len(tokens) - half), half)
-        ends = np.minimum(begins + PASSAGE - 2, len(grams))
-        for s, e in zip(begins[(x := bound[ends] - bound[np.minimum(begins, len(grams))] >= self.threshold)].tolist(), ends[x].tolist(), strict=True):
+        count = np.concatenate([[0], np.cumsum(hit)])
+        spans = np.flatnonzero((bound[n:] - bound[:-n] >= self.threshold - 1e-9) & (count[n:] - count[:-n] >= INTACT))
+        found: set[int] = set()
+        upto = -1
+        for s in spans.tolist():
+            if s < upto:
+                continue
+            upto = s + PASSAGE // 2
+            e = min(s + n + PASSAGE // 2, len(grams))
             terms = np.unique(at[s:e][hit[s:e]]).tolist()
             for doc, score in self.wand(terms, self.threshold):
-                if doc not in found and score >= self.least[doc] - 1e-9 and (doc, s) not in tried:
-                    tried.add((doc, s))
-                    if aligned(self.tokens[doc], tokens[max(0, s - EDITS) : s + PASSAGE + EDITS]):
-                        found.add(doc)
+                if doc not in found and score >= self.least[doc] - 1e-9 and aligned(self.tokens[doc], tokens[s : e + GRAM - 1]):
+                    found.add(doc)
         return found
 
 
