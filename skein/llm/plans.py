@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import leaks, splitting
+from skein.llm import language, leaks, splitting
 from skein.runtime import table
 
 
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(*(table(spark, folder, t) for t in ("documents", "chunks", "surreal_golden_queries")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.unlabelled(p2_languages(spark, folder))
+
+
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks"))
 
@@ -20,7 +28,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
 
 ORACLES = {"p4_found": r"""
 WITH sized AS (SELECT DISTINCT chunk_id, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size FROM chunks),
