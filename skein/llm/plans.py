@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import language, leaks, splitting
+from skein.llm import language, leaks, splitting, toxicity
 from skein.runtime import table
 
 
@@ -28,7 +28,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found}
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.offences(p8_scores(spark, folder))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(p8_scores(spark, folder))
+
+
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 ORACLES = {"p4_found": r"""
 WITH sized AS (SELECT DISTINCT chunk_id, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size FROM chunks),

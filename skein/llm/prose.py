@@ -16,7 +16,7 @@ _END = re.compile(r"(?<=[.!?…])[\"”»“')\]]*\s+|\n+|[\"”»“')]*\s+(?=[
 _SOFT = re.compile(r"(?<![.!?…:\n])\n(?=[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁІЇЄҐ])")
 
 
-def sentences(text: str, titled: bool = False) -> list[str]:
+def sentences(text: str, titled: bool = False, asides: bool = True) -> list[str]:
     """Sentences of a text; titled: the first paragraph is a heading or title that was put in front."""
     text = textnorm.unmarked(text)
     if titled:
@@ -27,7 +27,8 @@ def sentences(text: str, titled: bool = False) -> list[str]:
         text = _FENCE.sub("\n", text)
     text = _PREFIX.sub("", text)
     text = _DROPPED.sub("", text)
-    text = _ASIDE.sub(" ", text)
+    if asides:  # references, inline code, handles and quoted fragments are left out
+        text = _ASIDE.sub(" ", text)
     if "\n" in text:
         text = _SOFT.sub(" ", text)
     return [s for s in _END.split(text) if s]
