@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import language, leaks, splitting, toxicity
+from skein.llm import language, leaks, neighbours, splitting, toxicity
 from skein.runtime import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = neighbours.usable(neighbours.all_vectors(table(spark, folder, "chunk_vectors"), table(spark, folder, "vector_components")))
+    nodes = neighbours.nodes_of(vectors, copies=11)
+    return neighbours.mutual(neighbours.similar(nodes, neighbours.graph(nodes), k=10, least=0.90))
+
+
 def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(*(table(spark, folder, t) for t in ("documents", "chunks", "surreal_golden_queries")))
 
@@ -40,7 +46,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 ORACLES = {"p4_found": r"""
 WITH sized AS (SELECT DISTINCT chunk_id, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size FROM chunks),
