@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import language, leaks, neighbours, splitting, toxicity
+from skein.llm import conversations, language, leaks, neighbours, splitting, toxicity
 from skein.runtime import table
 
 
@@ -30,6 +30,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.cut_kinds(p4_pieces(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.rebuilt(table(spark, folder, "telegram_messages"), table(spark, folder, "senders"))[1]
+
+
+def p5_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.sound(*conversations.rebuilt(table(spark, folder, "telegram_messages"), table(spark, folder, "senders")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -46,11 +54,31 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+
+_SEEN = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{034f}\x{2800}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{180b}-\x{180e}]"
+P5 = rf"""
+WITH rows AS (
+  SELECT dialog_id, message_id, reply_to_msg_id, text, is_deleted,
+         nullif(regexp_replace(lower(regexp_replace(sender, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '^@[\s\p{{Z}}]*', ''), '') AS who,
+         row_number() OVER (PARTITION BY dialog_id, message_id ORDER BY edit_date DESC NULLS LAST, received_at DESC NULLS LAST, sender DESC NULLS LAST) AS k
+  FROM telegram_messages WHERE dialog_id IS NOT NULL AND message_id IS NOT NULL),
+last AS (SELECT *, coalesce(NOT is_deleted, true) AND coalesce(regexp_matches(text, '{_SEEN}'), false) AS visible FROM rows WHERE k = 1),
+roles AS (SELECT nullif(regexp_replace(lower(trim(sender)), '^@\s*', ''), '') AS who, min(role) AS role FROM senders GROUP BY 1),
+given AS (SELECT last.*, roles.who IS NOT NULL AS registered, role FROM last LEFT JOIN roles USING (who)),
+dialogs AS (SELECT dialog_id, count(*) FILTER (message_id IS NULL) AS nameless FROM telegram_messages WHERE dialog_id IS NOT NULL GROUP BY 1),
+state AS (SELECT dialog_id, bool_or(visible) AS shown, bool_or(visible AND NOT registered) AS strange,
+                 min(message_id) FILTER (visible AND role = 'user') AS asked, max(message_id) FILTER (visible AND role = 'assistant') AS answered FROM given GROUP BY 1),
+lost AS (SELECT DISTINCT g.dialog_id FROM given g WHERE visible AND reply_to_msg_id IS NOT NULL
+         AND NOT EXISTS (SELECT 1 FROM last o WHERE o.dialog_id = g.dialog_id AND o.message_id = g.reply_to_msg_id))
+SELECT d.dialog_id, 'empty' AS fault FROM dialogs d LEFT JOIN state USING (dialog_id) WHERE NOT coalesce(shown, false)
+UNION SELECT d.dialog_id, 'broken' FROM dialogs d LEFT JOIN state USING (dialog_id) WHERE nameless > 0 OR coalesce(strange, false) OR d.dialog_id IN (SELECT dialog_id FROM lost)
+UNION SELECT dialog_id, 'no_reply' FROM state WHERE shown AND NOT coalesce(asked < answered, false)
+"""
 
 ORACLES = {"p4_found": r"""
 WITH sized AS (SELECT DISTINCT chunk_id, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size FROM chunks),
 over AS (SELECT *, list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda r: strlen(r) // 4)) AS run
          FROM sized WHERE size > 0 AND strlen(text) // 4 > size)
 SELECT chunk_id, CASE WHEN max(CASE WHEN run > size THEN 1 ELSE 0 END) = 1 THEN 'inside_run' ELSE 'natural' END AS cut FROM over GROUP BY chunk_id
-"""}
+""", "p5_found": P5}
