@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import conversations, language, leaks, neighbours, splitting, toxicity
+from skein.llm import conversations, language, leaks, mixing, neighbours, splitting, toxicity
 from skein.runtime import table
 
 
@@ -42,6 +42,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).uses()
+
+
+def p7_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).stream()
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).report()
+
+
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -54,7 +70,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 _SEEN = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{034f}\x{2800}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{180b}-\x{180e}]"
 P5 = rf"""
