@@ -319,8 +319,9 @@ def training_rows(documents: DataFrame, queries: DataFrame, sample: int) -> list
     rows: list[tuple[str, str]] = []
     for part in parts:
         labelled = part.where("language IS NOT NULL AND length(trim(text)) > 0")
-        rows += [(r.text, r.language) for r in labelled.orderBy(F.xxhash64("key"), "key").limit(sample).select("text", "language").collect()]
-    return rows
+        keys = labelled.select("key").orderBy(F.xxhash64("key"), "key").limit(sample).distinct()
+        rows += [(r.text, r.language) for r in labelled.join(F.broadcast(keys), "key", "left_semi").select("text", "language").collect()]  # at most `sample` keys
+    return sorted(rows)
 
 
 _ARROW = pa.schema([("rec_id", pa.string()), ("declared", pa.list_(pa.string())), ("lang", pa.string()), ("words", pa.int64()), ("confidence", pa.float64())])
