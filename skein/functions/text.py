@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 WORD = r"[\p{L}\p{N}_]+"
 #: Replies that say nothing by themselves.
@@ -73,13 +74,13 @@ def keyword_query(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition (NFKC)."""
     return text.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     import html
@@ -174,7 +175,7 @@ def json_map(text: Column | str) -> Column:
     return F.coalesce(F.from_json(_col(text), "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(S.ArrayType(S.FloatType()))
 def decoded_floats(blob: pd.Series) -> pd.Series:
     """Little-endian float32 blobs."""
     import numpy as np
@@ -182,7 +183,7 @@ def decoded_floats(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: np.frombuffer(b, dtype="<f4"), na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(S.BinaryType())
 def encoded_floats(vector: pd.Series) -> pd.Series:
     import numpy as np
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from skein.functions import text as T
 
@@ -28,7 +29,7 @@ def body_text(text: Column) -> Column:
     return F.when(block.isNotNull(), F.regexp_replace(text.substr(F.length(block) + 7, F.length(text)), r"^\n+", "")).otherwise(text)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(S.MapType(S.StringType(), S.StringType()))
 def frontmatter_map(block: pd.Series) -> pd.Series:
     """Fields of a YAML block, lists joined by commas; empty for what is no mapping."""
     try:
@@ -168,7 +169,7 @@ def _sections(text: str) -> Iterator[tuple[int, list[str], str]]:
     if before.strip():
         yield 0, [], before
     stack: dict[int, str] = {}
-    for m, after in zip(marks, [*marks[1:], None], strict=True):
+    for m, after in zip(marks, [*marks[1:], None], strict=False):
         level = len(m.group(1))
         stack = {k: v for k, v in stack.items() if k < level} | {level: m.group(2).strip()}
         yield level, [stack[k] for k in sorted(stack) if stack[k]], text[m.end() : after.start() if after else len(text)]
@@ -185,7 +186,7 @@ def message_chunk_text(dialog: Column, sender: Column, sent_at: Column, topic: C
     return F.concat(lines, F.lit("\n\n"), F.coalesce(text, F.lit("")))
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(S.ArrayType(S.StringType()), useArrow=True)
 def segments(text: str | None, most: int = 320) -> list[str]:
     """A text in segments of at most `most` words: sentences packed, longer sentences cut."""
     if not text or not text.strip():
@@ -221,7 +222,7 @@ def meta_text(title: Column, tags: Column, namespace: Column, media_type: Column
     return F.when(namespace == "filesystem", F.trim(F.concat_ws(" ", title, F.array_join(tags, ", ")))).otherwise(F.concat_ws(" ", namespace, title, media_type, collection))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(S.StringType(), useArrow=True)
 def mail_body(payload: str | None, most: int = 1 << 20) -> str:
     """Text of a MIME payload in JSON: plain text before HTML, parts inside parts, cut at `most` bytes with a mark."""
     import base64

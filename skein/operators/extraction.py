@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from skein.functions import text as T
 
@@ -137,7 +138,7 @@ def merged_entities(found: DataFrame) -> DataFrame:
     return rows.agg(F.min_by("name", F.struct("chunk_id", "name")).alias("name"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids")).select("name", F.col("kind").alias("type"), "chunk_ids")
 
 
-@F.udf("array<struct<acronym:string,expansion:string>>", useArrow=True)
+@F.udf(S.ArrayType(S.StructType([S.StructField("acronym", S.StringType()), S.StructField("expansion", S.StringType())])), useArrow=True)
 def definitions(text: str | None) -> list[tuple[str, str]]:
     """Acronyms with expansions whose initials have the acronym in order."""
     import re

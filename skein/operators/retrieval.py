@@ -6,14 +6,15 @@ Every engine returns query_id, chunk_id, score, rank with ties by chunk_id; one
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from skein.functions import text as T
-from skein.functions import vectors as V
 
 K1, B = 1.2, 0.75
 TITLE_BOOST, TEXT_BOOST = 5.0, 1.0
@@ -58,20 +59,52 @@ def fielded(queries: DataFrame, title_index: DataFrame, text_index: DataFrame, k
     return ranked(parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score")), k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.0, most_queries: int = 10_000) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.0, block: int = 10_000) -> DataFrame:
     """Exact cosine of a stated set of queries (query_id, vector) against all vectors (chunk_id, vector); score >= floor * best.
 
-    The queries, of checked number, are broadcast; more of them go block by block. Partial top-k in every task keeps the shuffle at k rows a query and task.
+    The queries go out in blocks of at most `block`. Each task multiplies its vectors with a block, batch by batch, and passes on its k best
+    a query, so that the shuffle holds k rows a query and task. Vectors of another length, empty or zero ones score 0, as do such queries.
     """
+    spark = queries.sparkSession
     n = queries.count()
-    blocks = max(1, -(-n // most_queries))
+    blocks = max(1, -(-n // block))
+    kinds = {f.name: f.dataType for f in (*queries.select("query_id").schema, *vectors.select("chunk_id").schema)}
+    schema = S.StructType([S.StructField("query_id", kinds["query_id"]), S.StructField("chunk_id", kinds["chunk_id"]), S.StructField("score", S.DoubleType())])
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.select("chunk_id", F.col("vector").alias("v")).join(F.broadcast(part.select("query_id", F.col("vector").alias("q"))))
-        top = ranked(scored.select("query_id", "chunk_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
+        held = spark.sparkContext.broadcast([(r.query_id, r.vector) for r in part.select("query_id", "vector").collect()])
+        top = vectors.select("chunk_id", "vector").mapInPandas(_nearest(held, k), schema)
         out = top if out is None else out.unionByName(top)
-    return floored(out, floor)
+    return floored(ranked(out, k), floor)
+
+
+def _unit(rows: list, length: int) -> np.ndarray:
+    out = np.zeros((len(rows), length))
+    for i, v in enumerate(rows):
+        if v is not None and len(v) == length:
+            out[i] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.nan_to_num(out / np.where(norm > 0, norm, 1.0))
+
+
+def _nearest(held, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = [q for q, _ in held.value]
+        length = max((len(v) for _, v in held.value if v is not None), default=0)
+        q = _unit([v for _, v in held.value], length)
+        best: list[list[tuple]] = [[] for _ in ids]
+        for frame in frames:
+            names = frame["chunk_id"].to_numpy()
+            order = np.argsort(names, kind="stable")
+            names, v = names[order], _unit(frame["vector"].to_numpy()[order].tolist(), length)
+            score = np.round(q @ v.T, 6) + 0.0
+            for i, row in enumerate(score):
+                first = np.argsort(-row, kind="stable")[:k]  # names are sorted, so that ties keep their order
+                best[i] = sorted([*best[i], *((-row[j], names[j]) for j in first.tolist())])[:k]
+        yield pd.DataFrame([(i, n, -s) for i, rows in zip(ids, best, strict=True) for s, n in rows], columns=["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def floored(hits: DataFrame, floor: float) -> DataFrame:
@@ -143,7 +176,7 @@ def reranked(pairs: DataFrame, scorer: str = "overlap", least: int = 200, floor:
     """pairs (query_id, chunk_id, query, text, ...) with rerank_score and rank. The scorer runs over Arrow batches of the candidates only."""
     score = RERANKERS[scorer]
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(S.DoubleType())
     def scored(q: pd.Series, t: pd.Series) -> pd.Series:
         return score(q.fillna(""), t.fillna(""))
 
@@ -167,7 +200,7 @@ def blended(candidates: DataFrame, fused_weight: float = 0.4, rerank_weight: flo
     return ranked(candidates.withColumn("blended", F.round(F.coalesce(value, "score"), 6)), score="blended")
 
 
-@F.udf("string", useArrow=True)
+@F.udf(S.StringType(), useArrow=True)
 def snippet(text: str | None, query: str | None, length: int = 300) -> str | None:
     """The window of a text with most words of the query, opened to sentence or paragraph ends up to twice the length, else cut at its own."""
     if text is None or len(text) <= length:

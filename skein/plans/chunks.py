@@ -14,7 +14,7 @@ _BODY = r"""CASE WHEN starts_with(text, '---') AND contains(substr(text, 4), '--
 _SECTIONS = rf"""
 lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM (SELECT doc_id, {_BODY} AS body FROM documents WHERE text IS NOT NULL)),
 marked AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+.+$') AS heads FROM lines),
-numbered AS (SELECT *, sum(CASE WHEN heads AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section_index FROM marked),
+numbered AS (SELECT *, CAST(sum(CASE WHEN heads AND i > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS section_index FROM marked),
 sections AS (SELECT doc_id, section_index, max(CASE WHEN heads THEN length(regexp_extract(line, '^(#{{1,6}})\s', 1)) ELSE 0 END) AS level, max(CASE WHEN heads THEN trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1)) END) AS heading,
   regexp_replace(string_agg(CASE WHEN NOT heads THEN line END, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM numbered GROUP BY doc_id, section_index)"""
 
@@ -60,11 +60,11 @@ def c9(t: Tables) -> DataFrame:
 
 
 @query("c10_message_chunks", """
-SELECT DISTINCT dialog_id, message_id, received_at, concat_ws(chr(10), 'Dialog: ' || dialog_name, 'Sender: ' || sender, 'Sent: ' || strftime(sent_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S'), 'Topic: ' || CAST(topic_id AS VARCHAR), 'Reply to: ' || CAST(reply_to_msg_id AS VARCHAR)) || chr(10) || chr(10) || coalesce(text, '') AS text
+SELECT DISTINCT dialog_id, message_id, epoch_us(received_at) AS received, concat_ws(chr(10), 'Dialog: ' || dialog_name, 'Sender: ' || sender, 'Sent: ' || strftime(sent_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S'), 'Topic: ' || CAST(topic_id AS VARCHAR), 'Reply to: ' || CAST(reply_to_msg_id AS VARCHAR)) || chr(10) || chr(10) || coalesce(text, '') AS text
 FROM telegram_messages WHERE message_id IS NOT NULL""")
 def c10(t: Tables) -> DataFrame:
     m = t.telegram_messages.where("message_id IS NOT NULL")
-    return m.select("dialog_id", "message_id", "received_at", chunking.message_chunk_text(*[F.col(c) for c in ("dialog_name", "sender", "sent_at", "topic_id", "reply_to_msg_id", "text")]).alias("text")).distinct()
+    return m.select("dialog_id", "message_id", F.unix_micros("received_at").alias("received"), chunking.message_chunk_text(*[F.col(c) for c in ("dialog_name", "sender", "sent_at", "topic_id", "reply_to_msg_id", "text")]).alias("text")).distinct()
 
 
 @query("c11_segments")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import runtime
 from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators import embedding, extraction, graph, quality, retrieval
@@ -180,11 +181,12 @@ def k16(t: Tables) -> DataFrame:
 @query("hybrid_search")
 def hybrid(t: Tables) -> DataFrame:
     """Keyword over both fields, hashed vectors of all chunks, graph; fused, reranked, blended, with snippets."""
-    q, texts, relations = _queries(t), _texts(t), _relations(t)
-    keyword = retrieval.fielded(q, retrieval.postings(texts, "title"), retrieval.postings(texts, "text"), 20)
+    q, texts, relations = _queries(t), runtime.materialize(_texts(t), "texts"), runtime.materialize(_relations(t), "relations")
+    titles, words = (runtime.materialize(retrieval.postings(texts, c), "postings") for c in ("title", "text"))
+    keyword = retrieval.fielded(q, titles, words, 20)
     encode = embedding.hashing_encoder()
     semantic = retrieval.knn(embedding.encoded(q, "text", encode), embedding.encoded(texts, "text", encode).select("chunk_id", "vector"), 20, 0.85)
-    fused = retrieval.pool("hybrid", semantic, keyword, graph.direct(_matches(t, relations), relations, texts, 20))
+    fused = runtime.materialize(retrieval.pool("hybrid", semantic, keyword, graph.direct(_matches(t, relations), relations, texts, 20)), "fused")
     near = fused.where("rank <= 20").join(texts.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
     again = retrieval.reranked(near.select("query_id", "chunk_id", "query", "text"))
     mixed = retrieval.blended(fused.drop("rank").join(again.select("query_id", "chunk_id", "rerank_score"), ["query_id", "chunk_id"], "left"))

@@ -47,14 +47,14 @@ def e3(t: Tables) -> DataFrame:
 
 
 @query("e4_low_signal", f"""
-SELECT dialog_id, message_id, received_at FROM telegram_messages WHERE trim(coalesce(text, '')) = '' OR lower(trim(text)) IN ({LOW}) OR NOT regexp_matches(lower(trim(text)), '[\\p{{L}}\\p{{N}}]') OR regexp_matches(lower(trim(text)), '\\p{{S}}')""")
+SELECT dialog_id, message_id, epoch_us(received_at) AS received FROM telegram_messages WHERE trim(coalesce(text, '')) = '' OR lower(trim(text)) IN ({LOW}) OR NOT regexp_matches(lower(trim(text)), '[\\p{{L}}\\p{{N}}]') OR regexp_matches(lower(trim(text)), '\\p{{S}}')""")
 def e4(t: Tables) -> DataFrame:
-    return t.telegram_messages.where(T.low_signal("text")).select("dialog_id", "message_id", "received_at")
+    return t.telegram_messages.where(T.low_signal("text")).select("dialog_id", "message_id", F.unix_micros("received_at").alias("received"))
 
 
-@query("e10_kept_metadata", "SELECT dialog_id, message_id, sender, sent_at, dialog_name FROM telegram_messages WHERE dialog_name IS NOT NULL")
+@query("e10_kept_metadata", "SELECT dialog_id, message_id, sender, epoch_us(sent_at) AS sent, dialog_name FROM telegram_messages WHERE dialog_name IS NOT NULL")
 def e10(t: Tables) -> DataFrame:
-    return t.telegram_messages.select("dialog_id", "message_id", "sender", "sent_at", "dialog_name").where("dialog_name IS NOT NULL")
+    return t.telegram_messages.select("dialog_id", "message_id", "sender", F.unix_micros("sent_at").alias("sent"), "dialog_name").where("dialog_name IS NOT NULL")
 
 
 @query("e14_display_text", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '^---\n(.|\n)*?\n---\n?', ''), '\[\d{2}:\d{2}:\d{2}\]\s*', '', 'g'), ' ')) AS shown FROM documents WHERE text IS NOT NULL""")

@@ -171,9 +171,9 @@ def g22(t: Tables) -> DataFrame:
     return t.delta_changes.groupBy("target_table").agg(F.sum(F.get_json_object("row_json", "$.len").try_cast("bigint")).alias("len"))
 
 
-@query("g24_latest", "SELECT ref, max(updated_at) AS updated_at FROM documents WHERE ref IS NOT NULL AND updated_at IS NOT NULL GROUP BY 1")
+@query("g24_latest", "SELECT ref, epoch_us(max(updated_at)) AS updated FROM documents WHERE ref IS NOT NULL AND updated_at IS NOT NULL GROUP BY 1")
 def g24(t: Tables) -> DataFrame:
-    return tables.latest(t.documents.where("ref IS NOT NULL AND updated_at IS NOT NULL").select("ref", "updated_at", "doc_id"), ["ref"], "updated_at").select("ref", "updated_at")
+    return tables.latest(t.documents.where("ref IS NOT NULL AND updated_at IS NOT NULL").select("ref", "updated_at", "doc_id"), ["ref"], "updated_at").select("ref", F.unix_micros("updated_at").alias("updated"))
 
 
 @query("g26_paths_by_strategy", "SELECT DISTINCT chunk_strategy, unnest(file_paths) AS path FROM chunks")
@@ -202,9 +202,9 @@ def j3(t: Tables) -> DataFrame:
     return t.chunk_vectors.select("chunk_id").intersect(t.vector_components.select("chunk_id"))
 
 
-@query("k34_drill", "WITH d AS (SELECT ref, max(updated_at) AS updated_at FROM documents WHERE ref IS NOT NULL GROUP BY 1), n AS (SELECT ref, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY 1) SELECT d.ref, updated_at, coalesce(chunks, 0) AS chunks FROM d LEFT JOIN n USING (ref)")
+@query("k34_drill", "WITH d AS (SELECT ref, max(updated_at) AS updated_at FROM documents WHERE ref IS NOT NULL GROUP BY 1), n AS (SELECT ref, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY 1) SELECT d.ref, epoch_us(updated_at) AS updated, coalesce(chunks, 0) AS chunks FROM d LEFT JOIN n USING (ref)")
 def k34(t: Tables) -> DataFrame:
-    return provenance.drill(t.documents, t.chunks).select("ref", "updated_at", "chunks")
+    return provenance.drill(t.documents, t.chunks).select("ref", F.unix_micros("updated_at").alias("updated"), "chunks")
 
 
 @query("k36_chunks_by_entity", rf"WITH {_REL} SELECT DISTINCT target_id AS entity, source_id AS chunk_id FROM rel")
