@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein import tables
+from skein import runtime, schemas, tables
 from skein.functions import text as T
 from skein.operators import chunking, embedding, extraction, graph, provenance, quality, retrieval
 from skein.sources import feeds, files
@@ -24,22 +24,20 @@ class Engine:
 
     def index(self, paths: list[str], force: bool = False) -> DataFrame:
         """Files that are new or changed become chunks, vectors and relations; those that are gone lose their binding. Returns the counts of changes."""
-        info = files.file_info(files.discover(self.spark, paths, self.settings.excluded)).withColumn("checksum", F.sha2("text", 256)).cache()
+        info = runtime.materialize(files.file_info(files.discover(self.spark, paths, self.settings.excluded)).withColumn("checksum", F.sha2("text", 256)), "files")
         known = self.store.read("file_fingerprints").select(F.col("file_path").alias("path"), F.col("mtime").alias("modified"), "size_bytes", "checksum")
         current = info.select("path", F.col("modified").cast("double").alias("modified"), "size_bytes", "checksum")
-        changes = files.diff(current, known.where("false") if force else known).cache()
+        changes = runtime.materialize(files.diff(current, known.where("false") if force else known), "changes")
         todo = info.join(changes.where("change IN ('new', 'modified')"), "path", "left_semi")
         cut = chunking.chunked(files.source_documents(todo), self.settings.chunk_tokens, self.settings.chunk_overlap)
         cut = chunking.identified(cut.join(todo.select(F.col("path").alias("document_ref"), "kind", "title", "tags"), "document_ref"), F.col("kind"), F.lit(self.strategy))
         rows = cut.groupBy("chunk_id").agg(*[F.first(c).alias(c) for c in ("heading_hierarchy", "level", "document_ref", "title", "tags", "text", "chunk_index")], F.array_sort(F.collect_set("document_ref")).alias("file_paths"))
-        rows = rows.select("*", F.lit(self.strategy).alias("chunk_strategy"), T.reference(F.lit("filesystem"), "document_ref").alias("ref"), T.tags_text("tags").alias("tags_text")).cache()
+        rows = runtime.materialize(rows.select("*", F.lit(self.strategy).alias("chunk_strategy"), T.reference(F.lit("filesystem"), "document_ref").alias("ref"), T.tags_text("tags").alias("tags_text")), "chunks")
         bindings = cut.select("chunk_id", F.col("document_ref").alias("file_path"), "chunk_index").dropDuplicates(["chunk_id", "file_path"])
         touched = changes.where("change IN ('modified', 'deleted')").select(F.col("path").alias("file_path"))
         stay, gone = provenance.holders_cascade(self.store.read("chunk_file_bindings"), touched)
         kept = tables.delete(self.store.read("chunks"), gone, ["chunk_id"])
         self.store.overwrite("chunk_file_bindings", tables.insert_ignore(stay, bindings.select("chunk_id", "file_path", "chunk_index"), ["chunk_id", "file_path"]))
-        from skein import schemas
-
         chunks = self.store.overwrite("chunks", tables.upsert(kept, schemas.conform(rows, "chunks"), ["chunk_id"]))
         self.store.merge("provenance", provenance.provenance_of(rows.withColumn("source_unit_refs", F.array().cast("array<string>"))).withColumn("parser_name", F.lit("markdown")))
         self.store.merge("documents", files.source_documents(todo))
@@ -64,7 +62,7 @@ class Engine:
     def search(self, queries: DataFrame, k: int = 10, mode: str = "hybrid", enrich: bool = False) -> DataFrame:
         """query_id, rank, chunk_id, ref, title, score, engines, heading_path, snippet for a table of queries (query_id, text)."""
         chunks, bindings, found = self.store.read("chunks"), self.store.read("bindings"), self.store.read("provenance")
-        live = chunks.join(provenance.active_provenance(found, bindings).select("chunk_id"), "chunk_id", "left_semi").cache()
+        live = chunks.join(provenance.active_provenance(found, bindings).select("chunk_id"), "chunk_id", "left_semi")
         text = retrieval.expanded(queries, extraction.acronym_dictionary(live))
         size = max(self.settings.rerank_pool, 5 * k, k + 50)
         keyword = retrieval.fielded(text, retrieval.postings(live, "title"), retrieval.postings(live, "text"), size)
@@ -99,7 +97,8 @@ class Engine:
     def compare_rerankers(self, queries: DataFrame, scorers: list[str], k: int = 10) -> DataFrame:
         """One pool of candidates for all scorers: scorer, query_id, chunk_id, rerank_score, rank."""
         hits = self.search(queries, self.settings.rerank_pool).select("query_id", "chunk_id")
-        pairs = hits.join(self.store.read("chunks").select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id").cache()
+        pairs = hits.join(self.store.read("chunks").select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+        pairs = runtime.materialize(pairs, "pairs")
         out = None
         for s in scorers:
             part = retrieval.reranked(pairs, s, k=k).select(F.lit(s).alias("scorer"), "query_id", "chunk_id", "rerank_score", "rank")
