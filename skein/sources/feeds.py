@@ -65,11 +65,11 @@ class _Stream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         page = _page(self.options, start["after"], int(self.options.get("limit", 1000)))
-        return _tuples(page), {"after": page[-1]["cursor"] if page else start["after"]}
+        return iter(list(_tuples(page))), {"after": page[-1]["cursor"] if page else start["after"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         page = _page(self.options, start["after"], 1 << 30)
-        return _tuples([r for r in page if r["cursor"] <= end["after"]])
+        return iter([*_tuples([r for r in page if r["cursor"] <= end["after"]])])
 
 
 class TelegramChanges(DataSource):
