@@ -21,15 +21,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """Unit length; a zero vector stays. The norm is bound once, not taken for every element."""
+    return F.flatten(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))))
 
 
 def fused(text: Column, meta: Column, text_weight: float = 0.7, meta_weight: float = 0.3) -> Column:
     """The unit vector of the weighted sum of both unit vectors; null for different lengths."""
     total = F.zip_with(normalized(text), normalized(meta), lambda x, y: x * text_weight + y * meta_weight)
-    return F.when(F.size(text) == F.size(meta), normalized(total))
+    unit = F.flatten(F.transform(F.array(total), normalized))
+    return F.when(F.size(text) == F.size(meta), unit)
 
 
 def synthetic(index: Column, length: int) -> Column:

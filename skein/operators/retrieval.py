@@ -37,19 +37,62 @@ def statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("chunk_id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, every_term: bool = False) -> DataFrame:
-    """BM25 over postings; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). every_term: texts must hold all terms of the query."""
+def bm25(queries: DataFrame, index: DataFrame, k: int, every_term: bool = False, block: int = 5_000) -> DataFrame:
+    """BM25 over postings; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). every_term: texts must hold all terms of the query.
+
+    Queries go in blocks of at most `block`. Postings of the block's terms are gathered by text, each task scores its texts term by term and passes on
+    its k best a query: neither a frequent term nor a pair of query and text is ever a row of a shuffle.
+    """
+    spark = queries.sparkSession
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(T.keyword_query("text")))).alias("term"))
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    scored = wanted.join(df, "term").crossJoin(F.broadcast(statistics(index)))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    hits = terms.join(scored.select("term", "chunk_id", weight.alias("w")), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("matched"))
-    if every_term:
-        n = terms.groupBy("query_id").agg(F.count("*").alias("terms"))
-        hits = hits.join(n, "query_id").where("matched = terms")
-    return ranked(hits.select("query_id", "chunk_id", "score"), k)
+    stat = statistics(index).head()
+    kinds = {f.name: f.dataType for f in (*queries.select("query_id").schema, *index.select("chunk_id").schema)}
+    schema = S.StructType([S.StructField("query_id", kinds["query_id"]), S.StructField("chunk_id", kinds["chunk_id"]), S.StructField("score", S.DoubleType())])
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        part = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        asked: dict = {}
+        for r in part.collect():  # the terms of at most `block` queries
+            asked.setdefault(r.query_id, []).append(r.term)
+        wanted = index.join(F.broadcast(part.select("term").distinct()), "term", "left_semi")
+        df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (stat.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (stat.mean or 1.0)))
+        held = spark.sparkContext.broadcast(list(asked.items()))
+        rows = wanted.join(F.broadcast(df), "term").select("chunk_id", "term", weight.alias("w")).repartition("chunk_id")
+        hits = rows.mapInPandas(_term_scores(held, k, every_term), schema)
+        out = hits if out is None else out.unionByName(hits)
+    return ranked(out, k)
+
+
+def _term_scores(held, k: int, every_term: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames) or [pd.DataFrame({"chunk_id": [], "term": [], "w": []})], ignore_index=True)
+        chunk, names = pd.factorize(rows["chunk_id"], sort=True)
+        names = np.asarray(names)
+        term, known = pd.factorize(rows["term"])
+        order = np.argsort(term, kind="stable")
+        chunk, weight, n = chunk[order], rows["w"].to_numpy(dtype=float)[order], len(names)
+        begin = np.searchsorted(term[order], np.arange(len(known) + 1))
+        place = {t: i for i, t in enumerate(known)}
+        for query, terms in held.value:
+            spans = [slice(begin[i], begin[i + 1]) for t in terms if (i := place.get(t)) is not None]
+            if not spans or every_term and len(spans) < len(terms):
+                continue
+            at = np.concatenate([chunk[s] for s in spans])
+            score = np.round(np.bincount(at, np.concatenate([weight[s] for s in spans]), n), 6)
+            if every_term:
+                score[np.bincount(at, minlength=n) < len(terms)] = 0
+            found = np.flatnonzero(score > 0)
+            if len(found) > k:  # the k best with all their ties, then in the order of names
+                found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
+            found = found[np.argsort(-score[found], kind="stable")[:k]]
+            if not len(found):
+                continue
+            yield pd.DataFrame({"query_id": [query] * len(found), "chunk_id": names[found], "score": score[found]})
+
+    return run
 
 
 def fielded(queries: DataFrame, title_index: DataFrame, text_index: DataFrame, k: int) -> DataFrame:

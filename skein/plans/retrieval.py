@@ -84,11 +84,13 @@ def k7(t: Tables) -> DataFrame:
 
 
 @query("i2_sharded_topk", f"""
-WITH {_BM25}, s AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id, substr(chunk_id, 1, 1) ORDER BY score DESC, chunk_id) AS r FROM hits QUALIFY r <= 10)
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""")
+WITH e AS (SELECT vec_id AS chunk_id, embedding AS v, label FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, chunk_id, label, round({_COS}, 6) AS score FROM q, e), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, chunk_id) AS r FROM s QUALIFY r <= 10)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM p QUALIFY rank <= 10""")
 def i2(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 1 << 30).drop("rank")
-    return retrieval.sharded_topk(hits, F.substring("chunk_id", 1, 1), 10)
+    e = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    hits = retrieval.knn(e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e, e.count()).drop("rank")
+    return retrieval.sharded_topk(hits.join(e.select("chunk_id", "label"), "chunk_id"), F.col("label"), 10).drop("label")
 
 
 def _relations(t: Tables) -> DataFrame:

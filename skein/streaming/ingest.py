@@ -93,7 +93,7 @@ def ingest_messages(store: tables.Store, batch: DataFrame, batch_id: int, stream
 
 
 def start_ingest(spark: SparkSession, store: tables.Store, options: dict[str, str], checkpoint: str, interval: str | None = None):  # noqa: ANN201
-    """A streaming query over telegram_changes; without an interval it takes what is there and ends."""
+    """A streaming query over telegram_changes; without an interval it takes one page (option limit) and ends."""
     stream = spark.readStream.format("telegram_changes").options(**options).load()
     writer = stream.writeStream.foreachBatch(lambda b, i: ingest_messages(store, b, i) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

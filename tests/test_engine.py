@@ -137,6 +137,7 @@ def test_streaming_ingest(spark, store, tmp_path):
     feed.write_text("\n".join([change(1, 1, "first message here"), "", change(2, 2, "ok"), change(3, 3, "third message")]))
     run = lambda: ingest.start_ingest(spark, store, {"path": str(feed), "limit": "2"}, str(tmp_path / "cp")).awaitTermination()
     run()
+    run()
     assert store.count("source_units") == 3
     assert sorted(r.text.split("\n")[-1] for r in store.read("chunks").collect()) == ["first message here", "third message"]
     with feed.open("a") as f:
