@@ -129,3 +129,21 @@ def unit_window(units: DataFrame, before: int, after: int, dialog: str = "dialog
     """Every unit with the ids of its neighbours in order; the frame is bounded."""
     w = Window.partitionBy(dialog).orderBy(order)
     return units.withColumn("window", F.collect_list(order).over(w.rowsBetween(-before, after)))
+
+
+def routes(refs: DataFrame, bindings: DataFrame) -> DataFrame:
+    """ref, route of asked refs: local (active binding), inactive (bound, may not be read), federated (not bound here)."""
+    held = bindings.groupBy("ref").agg(F.max("active").alias("_a"))
+    return refs.select("ref").distinct().join(held, "ref", "left").select("ref", F.when(F.col("_a"), "local").when(~F.col("_a"), "inactive").otherwise("federated").alias("route"))
+
+
+def deactivated(bindings: DataFrame, removed: DataFrame) -> DataFrame:
+    """Bindings of removed refs stay, but not active: what they hold can be bound again."""
+    gone = removed.select("ref").distinct().withColumn("_gone", F.lit(True))
+    return bindings.join(gone, "ref", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+
+
+def denormalised(chunks: DataFrame, provenance: DataFrame, documents: DataFrame) -> DataFrame:
+    """chunk_id, ref, document_title: each chunk with its first provenance and that document's title."""
+    titles = documents.where("ref IS NOT NULL").groupBy("ref").agg(F.max("title").alias("document_title"))
+    return chunks.select("chunk_id").distinct().join(first_provenance(provenance).select("chunk_id", "ref"), "chunk_id", "left").join(titles, "ref", "left").select("chunk_id", "ref", "document_title")

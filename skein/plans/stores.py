@@ -360,3 +360,93 @@ def l22(t: Tables) -> DataFrame:
 @query("r12_row_builders", "SELECT DISTINCT chunk_id, document_ref, 'filesystem' || chr(31) || coalesce(document_ref, '') AS key FROM chunks")
 def r12(t: Tables) -> DataFrame:
     return t.chunks.select("chunk_id", "document_ref", T.composite(F.lit("filesystem"), "document_ref").alias("key")).distinct()
+
+
+# Further row selections, cascades and graph rows.
+
+_TOMB = "tomb AS (SELECT DISTINCT ref FROM delta_changes WHERE lower(trim(change_type)) = 'tombstone' AND ref IS NOT NULL)"
+
+
+def _tombstones(t: Tables) -> DataFrame:
+    return t.delta_changes.where((F.lower(F.trim("change_type")) == "tombstone") & F.col("ref").isNotNull()).select("ref").distinct()
+
+
+@query("b4_backfilled_bindings", "SELECT DISTINCT ref, true AS active FROM documents WHERE ref IS NOT NULL AND ref NOT IN (SELECT ref FROM delta_changes WHERE target_table = 'bindings' AND ref IS NOT NULL)")
+def b4(t: Tables) -> DataFrame:
+    held = t.delta_changes.where("target_table = 'bindings' AND ref IS NOT NULL").select("ref").distinct()
+    new = t.documents.where("ref IS NOT NULL").select("ref").distinct()
+    return tables.delete(new, held, ["ref"]).withColumn("active", F.lit(True))
+
+
+@query("d10_mentions", rf"WITH {_REL}, e AS (SELECT target_id, list_sort(list(DISTINCT source_id)) AS ids FROM rel GROUP BY 1) SELECT unnest(ids) AS source_id, target_id, 'MENTIONS' AS rel_type FROM e")
+def d10(t: Tables) -> DataFrame:
+    from skein.operators import extraction
+
+    e = _relations(t).groupBy(F.col("target_id").alias("name")).agg(F.array_sort(F.collect_set("source_id")).alias("chunk_ids"))
+    return extraction.mentions(e).select("source_id", "target_id", "rel_type")
+
+
+@query("d15_cache_split", "WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks), h AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE text IS NOT NULL) SELECT chunk_id, sha256(text) IN (SELECT k FROM h) AS hit FROM c")
+def d15(t: Tables) -> DataFrame:
+    from skein.operators import extraction
+
+    cache = t.documents.where("text IS NOT NULL").select(F.sha2(F.concat_ws(":", F.sha2("text", 256), F.lit("m")), 256).alias("cache_key")).distinct()
+    hits, misses = extraction.cached_split(t.chunks.select("chunk_id", "text").distinct(), cache, "m")
+    return hits.select("chunk_id", F.lit(True).alias("hit")).unionByName(misses.select("chunk_id", F.lit(False).alias("hit")))
+
+
+@query("d19_graph_rows", rf"WITH {_REL} SELECT 'edge' AS item, count(*) AS n FROM rel UNION ALL SELECT 'node', (SELECT count(*) FROM (SELECT DISTINCT source_id FROM rel UNION SELECT DISTINCT target_id FROM rel))")
+def d19(t: Tables) -> DataFrame:
+    r = _relations(t)
+    nodes = graph.with_endpoints(r.select(F.lit("sections").alias("table"), F.col("source_id").alias("id")).distinct(), r)
+    return graph.export(nodes, r).groupBy("item").agg(F.count("*").alias("n"))
+
+
+@query("e11_selected_rows", f"WITH {_TOMB} SELECT DISTINCT chunk_id FROM chunks WHERE ref IN (SELECT ref FROM delta_changes WHERE lower(trim(change_type)) = 'upsert') AND ref NOT IN (SELECT ref FROM tomb)")
+def e11(t: Tables) -> DataFrame:
+    up = t.delta_changes.where(F.lower(F.trim("change_type")) == "upsert").select("ref").distinct()
+    return t.chunks.join(up, "ref", "left_semi").join(_tombstones(t), "ref", "left_anti").select("chunk_id").distinct()
+
+
+@query("f2_unit_chunks", "SELECT DISTINCT unnest(source_unit_refs) AS unit, chunk_id, chunk_index FROM chunks")
+def f2(t: Tables) -> DataFrame:
+    return t.chunks.select(F.explode("source_unit_refs").alias("unit"), "chunk_id", "chunk_index").distinct()
+
+
+@query("f12_denormalised", f"WITH {_PROV}, p AS (SELECT chunk_id, min(struct_pack(namespace := namespace, document_ref := document_ref, ref := ref)) AS p FROM prov GROUP BY 1), d AS (SELECT ref, max(title) AS document_title FROM documents WHERE ref IS NOT NULL GROUP BY 1) SELECT c.chunk_id, p.p.ref AS ref, document_title FROM (SELECT DISTINCT chunk_id FROM chunks) c LEFT JOIN p USING (chunk_id) LEFT JOIN d ON d.ref = p.p.ref")
+def f12(t: Tables) -> DataFrame:
+    return provenance.denormalised(t.chunks, provenance.provenance_of(t.chunks), t.documents)
+
+
+@query("f13_component_pairs", "SELECT embedding_model, count(*) AS n FROM (SELECT DISTINCT chunk_id, chunk_strategy, embedding_model FROM vector_components WHERE component = 'text') JOIN (SELECT DISTINCT chunk_id, chunk_strategy, embedding_model FROM vector_components WHERE component = 'meta') USING (chunk_id, chunk_strategy, embedding_model) GROUP BY 1")
+def f13(t: Tables) -> DataFrame:
+    key = ["chunk_id", "chunk_strategy", "embedding_model"]
+    text, meta = (t.vector_components.where(F.col("component") == c).select(*key).distinct() for c in ("text", "meta"))
+    return text.join(meta, key).groupBy("embedding_model").agg(F.count("*").alias("n"))
+
+
+@query("k35_message_routes", f"WITH {_BIND} SELECT DISTINCT m.ref, CASE WHEN active THEN 'local' WHEN NOT active THEN 'inactive' ELSE 'federated' END AS route FROM (SELECT DISTINCT ref FROM delta_changes WHERE ref IS NOT NULL) m LEFT JOIN bind ON bind.ref = m.ref")
+def k35(t: Tables) -> DataFrame:
+    return provenance.routes(t.delta_changes.where("ref IS NOT NULL"), _bindings(t))
+
+
+@query("m13_soft_deleted", f"WITH {_BIND}, {_TOMB} SELECT ref, active AND ref NOT IN (SELECT ref FROM tomb) AS active FROM bind")
+def m13(t: Tables) -> DataFrame:
+    return provenance.deactivated(_bindings(t), _tombstones(t)).select("ref", "active")
+
+
+@query("n3_pruned_cache", "SELECT DISTINCT text_hash, embedding_model FROM chunk_vectors WHERE text_hash IN (SELECT v.text_hash FROM chunk_vectors v JOIN vector_components c ON v.chunk_id = c.chunk_id)")
+def n3(t: Tables) -> DataFrame:
+    cache = t.chunk_vectors.select("text_hash", "embedding_model").distinct()
+    live = t.chunk_vectors.join(t.vector_components.select("chunk_id"), "chunk_id", "left_semi").select("text_hash").distinct()
+    return cache.join(live, "text_hash", "left_semi")
+
+
+@query("r15_path_titles", "SELECT document_ref AS path, max(title) AS title, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ', '), '') AS tags FROM documents WHERE document_ref IS NOT NULL GROUP BY 1")
+def r15(t: Tables) -> DataFrame:
+    return t.documents.where("document_ref IS NOT NULL").groupBy(F.col("document_ref").alias("path")).agg(F.max("title").alias("title"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("tags"))
+
+
+@query("r23_label_inventory", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+def r23(t: Tables) -> DataFrame:
+    return t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"))
