@@ -97,9 +97,23 @@ def tfidf_terms(chunks: DataFrame, top: int = 8, least: int = 2, share: float =
 
 
 def widest(entities: DataFrame, share: float = 0.10) -> DataFrame:
-    """The share of entities (one at least) that cover most chunks: name, chunk_ids; a global order by ranges, not in one task."""
-    n = entities.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).cast("int").alias("n")).head()["n"]
-    return entities.orderBy(F.desc(F.size("chunk_ids")), "name").limit(n)
+    """The share of entities (one at least) that cover most chunks: name, chunk_ids; ties by name.
+
+    The numbers of entities by coverage, a row a coverage, tell where the cut lies; only the names at the cut are put in order.
+    """
+    sized = entities.withColumn("_n", F.size("chunk_ids"))
+    steps = sized.groupBy("_n").count().orderBy(F.desc("_n")).collect()
+    left = max(1, int(sum(r["count"] for r in steps) * share))
+    at = None
+    for r in steps:
+        at = r["_n"]
+        if r["count"] >= left:
+            break
+        left -= r["count"]
+    if at is None:
+        return entities
+    cut = sized.where(F.col("_n") == at).orderBy("name").limit(left)
+    return sized.where(F.col("_n") > at).unionByName(cut).drop("_n")
 
 
 def mentions(entities: DataFrame) -> DataFrame:
