@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 
 
 def _cell(v: object) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
