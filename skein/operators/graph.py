@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import runtime
 from skein.functions import text as T
 
 
@@ -99,11 +100,20 @@ def enriched(seeds: DataFrame, relations: DataFrame, active: DataFrame, k: int,
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-def related(relations: DataFrame) -> DataFrame:
-    """section, other, weight: sections that share a target, with the sum of the other's weights."""
-    left = relations.select(F.col("source_id").alias("section"), "target_id").distinct()
-    right = relations.select(F.col("source_id").alias("other"), "target_id", "weight")
-    return left.join(right, "target_id").where("section <> other").groupBy("section", "other").agg(F.sum("weight").alias("weight"))
+def related(relations: DataFrame, salts: int = 8) -> DataFrame:
+    """section, other, weight: sections that share a target, with the sum of the other's weights.
+
+    Only two sections with several targets each can meet more than once, so that other pairs are not shuffled for the sum. The sections of a
+    frequent target are spread over `salts` tasks.
+    """
+    edges = relations.groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight"))
+    edges = edges.withColumn("several", F.count("*").over(Window.partitionBy("source_id")) > 1)
+    left = edges.select(F.col("source_id").alias("section"), "target_id", F.col("several").alias("mine"), F.pmod(F.hash("source_id"), F.lit(salts)).alias("salt"))
+    right = edges.select(F.col("source_id").alias("other"), "target_id", "weight", F.col("several").alias("its"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = left.repartition(4 * runtime.partitions(relations.sparkSession), "target_id", "salt")
+    pairs = spread.join(right.hint("shuffle_hash"), ["target_id", "salt"]).where("section <> other")
+    once = pairs.where("NOT (mine AND its)").select("section", "other", "weight")
+    return once.unionByName(pairs.where("mine AND its").groupBy("section", "other").agg(F.sum("weight").alias("weight")))
 
 
 def export(nodes: DataFrame, relations: DataFrame) -> DataFrame:

@@ -157,6 +157,12 @@ def f11(t: Tables) -> DataFrame:
     return graph.related(_relations(t)).where("section < '02'").withColumn("weight", F.round("weight", 6))
 
 
+@query("f11_related_all", rf"WITH {_REL} SELECT l.source_id AS section, r.source_id AS other, round(sum(r.weight), 6) AS weight FROM (SELECT DISTINCT source_id, target_id FROM rel) l JOIN rel r USING (target_id) WHERE l.source_id <> r.source_id GROUP BY 1, 2")
+def f11_all(t: Tables) -> DataFrame:
+    """Of all sections; f11_related_sections keeps those whose id is below '02'."""
+    return graph.related(_relations(t)).withColumn("weight", F.round("weight", 6))
+
+
 _LISTS = rf"""WITH {_BM25},
 title1 AS (SELECT chunk_id, max(title) AS text FROM chunks GROUP BY chunk_id), tw AS (SELECT chunk_id, {_WORDS.format('text')} AS w FROM title1),
 tpost AS (SELECT term, chunk_id, len, count(*) AS tf FROM (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM tw) GROUP BY ALL), tstat AS (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT DISTINCT chunk_id, len FROM tpost)),
