@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.mutual(neighbours.similar(nodes, neighbours.graph(nodes), k=10, least=0.90))
 
 
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(neighbours.usable(neighbours.all_vectors(table(spark, folder, "chunk_vectors"), table(spark, folder, "vector_components"))))
+
+
 def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(*(table(spark, folder, t) for t in ("documents", "chunks", "surreal_golden_queries")))
 
@@ -70,7 +74,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 _SEEN = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{034f}\x{2800}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{180b}-\x{180e}]"
 P5 = rf"""

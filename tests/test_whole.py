@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from skein import plans
+from skein.llm import neighbours
 from tests.conftest import DATA
 
 FOLDER = DATA / "sf0.001"
@@ -29,3 +31,17 @@ def test_related_sections_of_all(spark):
     got = {(r.section, r.other): r.weight for r in plans.QUERIES["f11_related_all"](spark, str(FOLDER)).collect()}
     assert max(section for section, _ in want) > "02"
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_nearest_of_every_vector(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.repeat(rng.standard_normal((1, 8)), 15, axis=0), rng.standard_normal((30, 8))]).astype(np.float32)
+    rows = [("fused", "s_1_0", "m", f"c{i:02d}", [float(y) for y in x]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "component string, chunk_strategy string, embedding_model string, chunk_id string, vector array<float>")
+    got: dict[str, dict[int, str]] = defaultdict(dict)
+    for r in neighbours.nearest(neighbours.usable(df)).collect():
+        got[r.chunk_id][r.rank] = r.neighbour
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -2)
+    assert got == {f"c{i:02d}": {n + 1: f"c{j:02d}" for n, j in enumerate(np.argsort(-s[i], kind="stable")[:10])} for i in range(len(v))}
