@@ -38,9 +38,10 @@ def finite(relations: DataFrame) -> DataFrame:
     return relations.where("weight IS NOT NULL AND NOT isnan(weight) AND abs(weight) < double('inf')")
 
 
-def catalogue(entities: DataFrame, most: int = 100_000) -> DataFrame:
-    """key (lower-case name) and name: of names that differ in case the last in order; the first `most` names."""
-    return entities.select("name").distinct().orderBy("name").limit(most).groupBy(F.lower("name").alias("key")).agg(F.max("name").alias("name"))
+def catalogue(entities: DataFrame, most: int | None = None) -> DataFrame:
+    """key (lower-case name) and name: of names that differ in case the last in order; if given, of the first `most` names only."""
+    names = entities.select("name").distinct()
+    return (names if most is None else names.orderBy("name").limit(most)).groupBy(F.lower("name").alias("key")).agg(F.max("name").alias("name"))
 
 
 def phrases(queries: DataFrame, longest: int = 4) -> DataFrame:

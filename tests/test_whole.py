@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein import plans
 from skein.llm import neighbours
+from skein.operators import graph
 from tests.conftest import DATA
 
 FOLDER = DATA / "sf0.001"
@@ -45,3 +47,9 @@ def test_nearest_of_every_vector(spark):
     s = np.round(u @ u.T, 9)
     np.fill_diagonal(s, -2)
     assert got == {f"c{i:02d}": {n + 1: f"c{j:02d}" for n, j in enumerate(np.argsort(-s[i], kind="stable")[:10])} for i in range(len(v))}
+
+
+def test_catalogue_of_all_names(spark):
+    names = graph.catalogue(spark.range(100_001).select(F.format_string("Name %06d", "id").alias("name")))
+    assert names.count() == 100_001
+    assert [r.name for r in names.where("key = 'name 100000'").collect()] == ["Name 100000"]
