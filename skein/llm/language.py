@@ -15,7 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -172,16 +172,16 @@ class Identifier:
         if len(self.known) > 2_000_000:
             self._reset()
         new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            windows = _windows([w[:40] for w in part])
+        ends = np.cumsum([len(w) for w in new]) // 800_000  # letters of a part, but for a longer word
+        for part in (new[a:b] for a, b in pairwise([0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(new)]) if a < b):
+            windows = _windows(part)
             n, upto = len(self.known), len(self.known) + len(part)
             while upto > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             for j, m in enumerate(self.models):
                 self.scores[n:upto, j] = m.score(windows, len(part))
-            self.letters[n:upto] = [min(len(w), 40) + 1 for w in part]
+            self.letters[n:upto] = [len(w) + 1 for w in part]
             self.known.update(zip(part, range(n, upto), strict=True))
 
     def languages_of(self, texts: list[list[str]], least_words: int, least_stretch: int) -> list[dict[int, list[float]]]:

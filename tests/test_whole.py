@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import plans
-from skein.llm import neighbours
+from skein.llm import language, neighbours
 from skein.operators import graph
 from tests.conftest import DATA
 
@@ -53,3 +53,15 @@ def test_catalogue_of_all_names(spark):
     names = graph.catalogue(spark.range(100_001).select(F.format_string("Name %06d", "id").alias("name")))
     assert names.count() == 100_001
     assert [r.name for r in names.where("key = 'name 100000'").collect()] == ["Name 100000"]
+
+
+def test_language_of_whole_words():
+    models = {"en": language.Model({"the": 5.0, "there": 3.0, "other": 2.0}), "de": language.Model({"die": 5.0, "dieser": 3.0, "oder": 2.0})}
+    known = language.Identifier(models, np.zeros(2))
+    words = ["x" * 40 + "there" * 4, "x" * 40 + "dieser" * 4, "the", "y" * 900_000, "oder"]
+    known.learn(set(words))
+    for w in words:
+        want = [m.score(language._windows([w]), 1)[0] for m in models.values()]
+        assert known.scores[known.known[w]].tolist() == pytest.approx(want)
+        assert known.letters[known.known[w]] == len(w) + 1
+    assert known.scores[known.known[words[0]]].argmax() != known.scores[known.known[words[1]]].argmax()
