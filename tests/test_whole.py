@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import plans
-from skein.llm import language, neighbours
+from skein.llm import language, neighbours, prose, toxicity
 from skein.operators import graph
 from tests.conftest import DATA
 
@@ -65,3 +65,15 @@ def test_language_of_whole_words():
         assert known.scores[known.known[w]].tolist() == pytest.approx(want)
         assert known.letters[known.known[w]] == len(w) + 1
     assert known.scores[known.known[words[0]]].argmax() != known.scores[known.known[words[1]]].argmax()
+
+
+def test_offences_are_scored_everywhere():
+    text = "---\ntitle: you moron\n---\n# Second moron\n\n| third | moron |\n\n    fourth moron\n\nSubject: fifth moron\nx=1 sixth moron\nseventh: moron\n\n```\neighth moron\n\nninth moron"
+    words = [w for s in toxicity.sentences(text) for w in toxicity.tokens(s)]
+    assert words.count("moron") == 9
+
+
+def test_open_fence_ends_at_blank_line():
+    assert [s.strip() for s in prose.sentences("Before it.\n\n```\ncode here\n\nAfter it all.\n\nThe end.")] == ["Before it.", "After it all.", "The end."]
+    assert [s.strip() for s in prose.sentences("Before it.\n\n```\ncode\n\nmore code\n```\nAfter it.")] == ["Before it.", "After it."]
+    assert [s.strip() for s in prose.sentences("Before it.\n\n~~~\ncode here")] == ["Before it."]
