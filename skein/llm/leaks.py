@@ -2,8 +2,8 @@
 
 The test items, a small fixed set, make a BM25 inverted index whose terms are runs of four words; its postings are cut into blocks with
 their largest impact. Every document is read as overlapping passages, and each passage queries the index by block-max WAND
-for all items above a threshold. The threshold loses nothing: a leak has 24 consecutive words of the item with at
-most two of them changed, added or dropped, and each such edit breaks at most four of its terms, so that the item's score cannot
+for all items above a threshold. The threshold loses no 24 consecutive words of the item with at most two of
+them changed, added or dropped (longer passages without such a window are not looked for): each such edit breaks at most four of its terms, so that the item's score cannot
 fall below the least sum of what remains of any 24 of its words. Every retrieved pair is verified by word alignment.
 """
 
