@@ -32,11 +32,16 @@ def unmarked(text: str) -> str:
     return text
 
 
+def mended(text: str) -> str:
+    """Text with the words joined that were broken at a line end."""
+    if "-\n" in text or "-\r" in text or "- \n" in text:
+        text = _BROKEN.sub("", text)
+    return text
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words; markup and words broken at a line end are mended."""
     if not text:
         return []
-    text = unmarked(text)
-    if "-\n" in text or "-\r" in text or "- \n" in text:
-        text = _BROKEN.sub("", text)
+    text = mended(unmarked(text))
     return _WORD.findall(text.lower())
