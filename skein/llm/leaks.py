@@ -2,9 +2,12 @@
 
 The test items, a small fixed set, make a BM25 inverted index whose terms are runs of four words; its postings are cut into blocks with
 their largest impact. Every document is read as overlapping passages, and each passage queries the index by block-max WAND
-for all items above a threshold. The threshold loses no 24 consecutive words of the item with at most two of
-them changed, added or dropped (longer passages without such a window are not looked for): each such edit breaks at most four of its terms, so that the item's score cannot
-fall below the least sum of what remains of any 24 of its words. Every retrieved pair is verified by word alignment.
+for all items above a threshold; every retrieved pair is verified by word alignment.
+
+Looked for are L >= 24 consecutive words of an item with at most L/10 of them changed, added or dropped. Such a span of 48 words or more has a part of
+at least 24 that is one too (of two parts one has no more edits to a word than the whole), and one of 25-29, 31-39 or 41-47 words holds one of 24, 30 or 40 words with
+2, 3 or 4 edits. So these three spans are all there is to look for, and the threshold loses none of them: an edit breaks at most four terms, so the score
+cannot fall below the least sum of what remains of any such span of the item.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark.sql import functions as F
 
 from skein.llm import textnorm
 
-SPAN, EDITS = 24, 2  # one word in ten of 24
+SPANS = ((24, 2), (30, 3), (40, 4))  # words, and edits among them
+SPAN = SPANS[0][0]
 GRAM = 4  # words of a term
-INTACT = SPAN - GRAM + 1 - GRAM * EDITS  # terms that are left of a span after the edits
-PASSAGE = 2 * (SPAN + EDITS)
-_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+STEP = 26  # words from one passage to the next; passages are longer by the longest span
+_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
 
 _CURRENT = itemgetter(0)
@@ -55,7 +58,8 @@ class Index:
             impact = {g: idf[g] * f * (k1 + 1) / (f + k1 * (1 - b + b * len(gs) / mean)) for g, f in Counter(gs.tolist()).items()}
             for g, x in impact.items():
                 postings[place[g]].append((doc, x))
-            self.least[doc] = self._least(np.array([impact[g] for g in gs.tolist()]), gs)
+            values = np.array([impact[g] for g in gs.tolist()])
+            self.least[doc] = min(self._least(values, gs, span, edits) for span, edits in SPANS)
         self.postings = [([d for d, _ in p], [x for _, x in p], [(p[min(i + block, len(p)) - 1][0], max(x for _, x in p[i : i + block])) for i in range(0, len(p), block)]) for p in postings]
         self.most = np.array([max(x for _, x in p) for p in postings]) if postings else np.zeros(0)
         self.threshold = float(self.least.min()) if count else math.inf
@@ -71,16 +75,16 @@ class Index:
         return np.where(known, key & 0x7FFFFFFFFFFFFFFF, -1)
 
     @staticmethod
-    def _least(impacts: np.ndarray, grams: np.ndarray) -> float:
-        """The least score of any SPAN words of an item after EDITS edits."""
-        least, n = math.inf, SPAN - GRAM + 1
+    def _least(impacts: np.ndarray, grams: np.ndarray, span: int, edits: int) -> float:
+        """The least score of any `span` words of an item after `edits` edits; infinite for a shorter item."""
+        least, n = math.inf, span - GRAM + 1
         for s in range(len(impacts) - n + 1):
             part = impacts[s : s + n].copy()
             first = np.zeros(n, dtype=bool)
             first[np.unique(grams[s : s + n], return_index=True)[1]] = True
             part[~first] = 0
             broken = np.sort(np.convolve(part, np.ones(GRAM)))[::-1]
-            least = min(least, part.sum() - broken[:EDITS].sum())
+            least = min(least, part.sum() - broken[:edits].sum())
         return max(least, 1e-9)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -130,84 +134,94 @@ class Index:
                 lists = [x for x in lists if x[0] != math.inf]
         return found
 
-    def leaks(self, tokens: np.ndarray) -> set[int]:
-        """Positions of the items of which the document's words hold a passage."""
-        if len(tokens) < SPAN - EDITS or not len(self.terms):
-            return set()
-        grams = self.grams(tokens)
+    def leaks(self, tokens: np.ndarray) -> dict[int, float]:
+        """Positions of the items of which the document's words hold a passage, with the best score of a passage."""
+        least = min(span - edits for span, edits in SPANS)
+        grams = self.grams(tokens) if len(tokens) >= least and len(self.terms) else tokens[:0]
         if not len(grams):
-            return set()
+            return {}
         at = np.minimum(np.searchsorted(self.terms, grams), len(self.terms) - 1)
         hit = self.terms[at] == grams
-        if hit.sum() < INTACT:
-            return set()
+        if hit.sum() < min(intact(*x) for x in SPANS):
+            return {}
         # A passage is worth a query only where the terms of one span reach the threshold and enough of them are known.
-        n = min(SPAN + EDITS - GRAM + 1, len(grams))
         bound = np.concatenate([[0.0], np.cumsum(np.where(hit, self.most[at], 0.0))])
         count = np.concatenate([[0], np.cumsum(hit)])
-        spans = np.flatnonzero((bound[n:] - bound[:-n] >= self.threshold - 1e-9) & (count[n:] - count[:-n] >= INTACT))
-        found: set[int] = set()
+        starts = []
+        for span, edits in SPANS:
+            n = min(span + edits - GRAM + 1, len(grams))
+            starts.append(np.flatnonzero((bound[n:] - bound[:-n] >= self.threshold - 1e-9) & (count[n:] - count[:-n] >= intact(span, edits))))
+        found: dict[int, float] = {}
         upto = -1
-        for s in spans.tolist():
+        for s in np.unique(np.concatenate(starts)).tolist():
             if s < upto:
                 continue
-            upto = s + PASSAGE // 2
-            e = min(s + n + PASSAGE // 2, len(grams))
+            upto = s + STEP
+            passage = tokens[s : upto + sum(SPANS[-1])]
+            e = s + max(0, len(passage) - GRAM + 1)
             terms = np.unique(at[s:e][hit[s:e]]).tolist()
             for doc, score in self.wand(terms, self.threshold):
-                if doc not in found and score >= self.least[doc] - 1e-9 and aligned(self.tokens[doc], tokens[s : e + GRAM - 1]):
-                    found.add(doc)
+                if score > found.get(doc, -1.0) and score >= self.least[doc] - 1e-9 and (doc in found or aligned(self.tokens[doc], passage)):
+                    found[doc] = score
         return found
 
 
+def intact(span: int, edits: int) -> int:
+    """Terms that are left of a span after the edits."""
+    return span - GRAM + 1 - GRAM * edits
+
+
 def aligned(item: np.ndarray, passage: np.ndarray) -> bool:
-    """Whether any SPAN consecutive words of the item lie in the passage with at most EDITS words changed, added or dropped."""
-    starts = np.arange(len(item) - SPAN + 1)
+    """Whether consecutive words of the item lie in the passage with no more words changed, added or dropped than SPANS allows."""
+    return any(_aligned(item, passage, span, edits) for span, edits in SPANS)
+
+
+def _aligned(item: np.ndarray, passage: np.ndarray, span: int, edits: int) -> bool:
+    starts = np.arange(max(0, len(item) - span + 1))
     columns = np.arange(len(passage) + 1)
     cost = np.zeros((len(starts), len(columns)), dtype=np.int32)  # the passage may begin anywhere
-    for j in range(SPAN):
+    for j in range(span):
+        if not len(starts):
+            return False
         word = item[starts + j][:, None]
         step = cost + 1
         step[:, 1:] = np.minimum(step[:, 1:], cost[:, :-1] + (passage[None, :] != word))
         cost = np.minimum.accumulate(step - columns, axis=1) + columns
-        alive = cost.min(axis=1) <= EDITS
-        if not alive.all():
-            starts, cost = starts[alive], cost[alive]
-            if not len(starts):
-                return False
-    return True
+        alive = cost.min(axis=1) <= edits
+        starts, cost = starts[alive], cost[alive]
+    return bool(len(starts))
 
 
-def leaked(documents: DataFrame, items: DataFrame, shard: int = 20_000) -> DataFrame:
-    """Distinct (doc_id, item_id): the document's text holds a passage of the item.
+def matches(documents: DataFrame, items: DataFrame, shard: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, score): the document's text holds a passage of the item; score is the BM25 score of its best passage.
 
-    Whole texts are read, without a shuffle of the documents. The items are indexed in shards of at most `shard` items, so that what a
-    task holds is bounded. Null or blank texts and items of under 24 words give no rows; repeated rows give the pair once.
+    Whole texts are read once, without a shuffle of the documents. The items are indexed in shards of at most `shard` items. Null or blank texts and
+    items of under 24 words give no rows; repeated documents give repeated rows.
     """
     spark = documents.sparkSession
     held = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
     rows = sorted(tuple(r) for r in held.toLocalIterator())
-    parts = [rows[i : i + shard] for i in range(0, len(rows), shard)] or [[]]
-    found = None
-    for part in parts:
-        index = spark.sparkContext.broadcast(Index(part))
-        texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        pairs = texts.mapInArrow(_finder(index), "doc_id long, item_id long")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    indexes = spark.sparkContext.broadcast([Index(rows[i : i + shard]) for i in range(0, len(rows), shard)])
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(_finder(indexes), "doc_id long, item_id long, score double")
+
+
+def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item_id) of `matches`."""
+    return matches(documents, items).select("doc_id", "item_id").distinct()
 
 
-def _finder(index):  # noqa: ANN001, ANN202
+def _finder(indexes):  # noqa: ANN001, ANN202
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Index = index.value
-        get = known.vocabulary.get
         for batch in batches:
-            docs, hits = [], []
+            docs, hits, scores = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = textnorm.words(text)
-                for item in known.leaks(np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))):
-                    docs.append(doc)
-                    hits.append(known.ids[item])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], schema=_ARROW)
+                for known in indexes.value:
+                    for item, score in known.leaks(np.fromiter(map(known.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))).items():
+                        docs.append(doc)
+                        hits.append(known.ids[item])
+                        scores.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64()), pa.array(scores, pa.float64())], schema=_ARROW)
 
     return find

@@ -51,18 +51,27 @@ def test_split_dirty(spark):
 
 
 def brute_aligned(item, passage):
-    for i in range(len(item) - leaks.SPAN + 1):
+    """Any span of at least 24 words, of whatever length, with at most a tenth of them edited."""
+    for i in range(len(item) - 23):
         cost = [0] * (len(passage) + 1)
-        for w in item[i : i + leaks.SPAN]:
+        for n, w in enumerate(item[i:], 1):
             new = [cost[0] + 1]
             for j, p in enumerate(passage, 1):
                 new.append(min(cost[j - 1] + (p != w), cost[j] + 1, new[j - 1] + 1))
             cost = new
-        if min(cost) <= leaks.EDITS:
-            return True
+            if n >= 24 and min(cost) <= n // 10:
+                return True
     return False
 
 
+@pytest.mark.parametrize(("length", "edits"), [(24, (5, 14)), (30, (9, 16, 23)), (40, (8, 15, 23, 31)), (57, (9, 16, 23, 31, 39))])
+def test_leak_with_spread_edits(spark, length, edits):
+    words = [f"w{i}" for i in range(length)]
+    changed = ["new" if i in edits else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, "before it " + " ".join(changed) + " after it"), (2, " ".join(["new", *changed[1:]] if length == 24 else changed[:23]))], "doc_id long, text string")
+    assert {tuple(r) for r in leaks.leaked(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()} == {(1, 7)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_leaks_against_brute_force(spark, seed):
     r = random.Random(seed)
