@@ -3,19 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skein import runtime
 from skein.llm import conversations, language, leaks, mixing, neighbours, splitting, toxicity
 from skein.runtime import table
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.usable(neighbours.all_vectors(table(spark, folder, "chunk_vectors"), table(spark, folder, "vector_components")))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = neighbours.usable(neighbours.all_vectors(table(spark, folder, "chunk_vectors"), table(spark, folder, "vector_components")))
-    nodes = neighbours.nodes_of(vectors, copies=11)
+    nodes = neighbours.nodes_of(_vectors(spark, folder), copies=11)
     return neighbours.mutual(neighbours.similar(nodes, neighbours.graph(nodes), k=10, least=0.90))
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.nearest(neighbours.usable(neighbours.all_vectors(table(spark, folder, "chunk_vectors"), table(spark, folder, "vector_components"))))
+    return neighbours.nearest(_vectors(spark, folder))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set of searches: fused vectors whose row number is divisible by 50."""
+    rows = table(spark, folder, "chunk_vectors").where("vector_rowid % 50 = 0")
+    return rows.select(F.lit("fused").alias("component"), "chunk_strategy", "embedding_model", "chunk_id").distinct()
+
+
+def p1_search(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.searched(_vectors(spark, folder), _asked(spark, folder))
+
+
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = runtime.materialize(_vectors(spark, folder), "vectors")
+    rows = [neighbours.recall(vectors, found, _asked(spark, folder)).select(F.lit(by).alias("by"), "*") for by, found in (("neighbours", neighbours.nearest(vectors)), ("search", neighbours.searched(vectors, _asked(spark, folder))))]
+    return rows[0].unionByName(rows[1])
 
 
 def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +55,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.cut_kinds(p4_pieces(spark, folder))
 
 
+def p4_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.audit(table(spark, folder, "chunks"))
+
+
+def p4_balance(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.balance(table(spark, folder, "chunks"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.rebuilt(table(spark, folder, "telegram_messages"), table(spark, folder, "senders"))[1]
 
@@ -74,7 +103,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p1_search": p1_search, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p4_balance": p4_balance, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 _SEEN = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{034f}\x{2800}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{180b}-\x{180e}]"
 P5 = rf"""
@@ -101,4 +130,8 @@ WITH sized AS (SELECT DISTINCT chunk_id, text, TRY_CAST(regexp_extract(chunk_str
 over AS (SELECT *, list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda r: strlen(r) // 4)) AS run
          FROM sized WHERE size > 0 AND strlen(text) // 4 > size)
 SELECT chunk_id, CASE WHEN max(CASE WHEN run > size THEN 1 ELSE 0 END) = 1 THEN 'inside_run' ELSE 'natural' END AS cut FROM over GROUP BY chunk_id
+""", "p4_audit": r"""
+WITH sized AS (SELECT DISTINCT chunk_id, chunk_strategy, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 2) AS BIGINT) AS named FROM chunks),
+over AS (SELECT *, CASE WHEN named < size THEN named ELSE size // 2 END AS overlap FROM sized WHERE size > 0 AND strlen(text) // 4 > size)
+SELECT DISTINCT chunk_id, chunk_strategy, strlen(text) AS bytes, CAST(ceil((strlen(text) - 4 * overlap) / (4 * size + 3 - 4 * overlap)) AS BIGINT) AS least_pieces, true AS within, true AS whole FROM over
 """, "p5_found": P5}
