@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,25 +119,19 @@ def presplit(kind: Column, text: Column) -> Column:
 
 
 def packed(text: str, budget: int, overlap: int) -> list[str]:
-    """Sentences packed up to a token budget; a piece begins with the last sentences of the one before, over the overlap and one at least."""
-    size = lambda s: max(1, len(s.encode()) // 4)
-    pieces, held, total = [], [], 0
-    for sentence in (s.strip() for s in _SENTENCE.split(text)):
-        if not sentence:
-            continue
-        n = size(sentence)
-        if held and total + n > budget:
-            pieces.append(" ".join(held))
-            tail, kept = [], 0
-            for s in reversed(held):
-                if tail and kept + size(s) > overlap:
-                    break
-                tail.insert(0, s)
-                kept += size(s)
-            held, total = tail, kept
-        held.append(sentence)
-        total += n
-    return [*pieces, " ".join(held)] if held else pieces
+    """Sentences packed up to a token budget; a piece begins with the last sentences of the one before, over the overlap and one at least.
+
+    Cuts are looked up in the running sum of the sentences' tokens: a piece ends before the first new sentence that passes the budget, its first new one excepted.
+    """
+    sentences = [x for x in map(str.strip, _SENTENCE.split(text)) if x]
+    ends = np.concatenate([[0], np.cumsum([max(1, len(x.encode()) // 4) for x in sentences], dtype=np.int64)])
+    pieces, begin, fresh = [], 0, 0
+    while fresh < len(sentences):
+        end = max(fresh + 1, int(np.searchsorted(ends, ends[begin] + budget, side="right")) - 1)
+        pieces.append(" ".join(sentences[begin:end]))
+        shared = int(np.searchsorted(ends, ends[end] - overlap))
+        begin, fresh = max(begin, min(shared, end - 1)), end
+    return pieces
 
 
 def chunked(documents: DataFrame, budget: int = 512, overlap: int = 50) -> DataFrame:

@@ -89,9 +89,13 @@ def counted(matches: DataFrame, relations: DataFrame, k: int) -> DataFrame:
     return n.withColumn("score", F.col("n") / F.max("n").over(Window.partitionBy("query_id"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-def enriched(seeds: DataFrame, relations: DataFrame, active: DataFrame, k: int, most_seeds: int = 8, decay: float = 1.0) -> DataFrame:
-    """query_id, chunk_id, score, rank: sections two relations away from the first seeds (query_id, chunk_id, rank), by the sum of weights; seeds are left out."""
-    first = seeds.where(F.col("rank") <= min(k, most_seeds)).select("query_id", F.col("chunk_id").alias("seed")).distinct()
+def enriched(seeds: DataFrame, relations: DataFrame, active: DataFrame, k: int, most_seeds: int | None = None, decay: float = 1.0) -> DataFrame:
+    """query_id, chunk_id, score, rank: sections two relations away from the first seeds (query_id, chunk_id, rank), by the sum of weights; seeds are left out.
+
+    most_seeds: only the first so many seeds of a query, if given.
+    """
+    first = seeds if most_seeds is None else seeds.where(F.col("rank") <= most_seeds)
+    first = first.select("query_id", F.col("chunk_id").alias("seed")).distinct()
     edges = finite(relations).select("source_id", "target_id", "weight")
     mine = first.join(edges, F.col("seed") == F.col("source_id")).select("query_id", "seed", F.col("target_id").alias("via"))
     far = mine.join(edges, F.col("via") == F.col("target_id")).where("source_id <> seed")

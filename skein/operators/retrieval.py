@@ -6,6 +6,7 @@ Every engine returns query_id, chunk_id, score, rank with ties by chunk_id; one
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -162,9 +163,9 @@ def preconditions(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("ready", (F.col("least") == F.col("most")) & (F.col("least") > 0))
 
 
-def sharded_topk(hits: DataFrame, shard: Column, k: int, cap: int = 20) -> DataFrame:
-    """Top k of the union of the best min(k, cap) of every shard."""
-    part = ranked(hits.withColumn("_shard", shard), min(k, cap), by=("query_id", "_shard")).drop("rank", "_shard")
+def sharded_topk(hits: DataFrame, shard: Column, k: int, cap: int | None = None) -> DataFrame:
+    """Top k of the union of the best k of every shard; of the best `cap` only where one is given, which may lose hits for k beyond it."""
+    part = ranked(hits.withColumn("_shard", shard), k if cap is None else min(k, cap), by=("query_id", "_shard")).drop("rank", "_shard")
     return ranked(part, k)
 
 
@@ -243,37 +244,43 @@ def blended(candidates: DataFrame, fused_weight: float = 0.4, rerank_weight: flo
     return ranked(candidates.withColumn("blended", F.round(F.coalesce(value, "score"), 6)), score="blended")
 
 
-@F.udf(S.StringType(), useArrow=True)
-def snippet(text: str | None, query: str | None, length: int = 300) -> str | None:
-    """The window of a text with most words of the query, opened to sentence or paragraph ends up to twice the length, else cut at its own."""
-    if text is None or len(text) <= length:
-        return text
-    wanted = set(re.findall(r"\w+", (query or "").lower()))
-    if not wanted:
-        cut = text[:length]
-        at = cut.rfind(" ")
-        return (cut[:at] if at > 0.8 * length else cut) + "..."
-    low, best, begin = text.lower(), -1, 0
-    low = low if len(low) == len(text) else text
-    for m in re.finditer(r"\S+", text):
-        start = max(0, min(m.start(), len(text) - length))
-        hits = sum(w in low[start : start + length] for w in wanted)
-        if hits > best:
-            best, begin = hits, start
-        if m.start() + length >= len(text):
-            break
-    end = min(len(text), begin + length)
-    focus = next((begin + m.start() for m in re.finditer(r"\w+", text[begin:end]) if m.group().lower() in wanted), begin)
-    lefts = [0] + [e for m in re.finditer(r"[.?!]\s*|\n\n\s*", text[:focus]) if (e := m.end()) <= focus]
-    ends = [m.end() if text[m.start()] in ".?!" else m.start() for m in [re.compile(r"[.?!]|\n\n").search(text, end)] if m] if end < len(text) else []
-    left, right = max(lefts), min([len(text), *ends])
-    body = text[left:right].strip()
-    if len(body) <= 2 * length:
-        return ("..." if left else "") + body + ("..." if right < len(text) else "")
-    cut = text[begin:end]
-    if end < len(text) and cut.rfind(" ") > 0.8 * len(cut):
-        cut = cut[: cut.rfind(" ")]
-    return ("..." if begin else "") + cut + ("..." if end < len(text) else "")
+_SENTENCE_END = re.compile(r"[.?!]+(?=\s)\s*|\n\s*\n\s*")
+
+
+def _excerpt(text: str, wanted: frozenset, length: int) -> str:
+    """The sentences around the stretch of `length` characters that holds most different words of the query."""
+    starts = np.array([0, *(m.end() for m in _SENTENCE_END.finditer(text) if m.end() < len(text))])
+    ends = np.append(starts[1:], len(text))
+    hits = [(m.start(), m.end(), held) for m in re.finditer(r"\w+", text) if (held := [q for q in wanted if q in m.group().lower()])]
+    best, first, last, left = 0, 0, 0, 0
+    inside: Counter[str] = Counter()
+    for begin, end, held in hits:
+        inside.update(held)
+        while end - hits[left][0] > length and hits[left][0] < begin:
+            inside.subtract(hits[left][2])
+            left += 1
+        found = sum(n > 0 for n in inside.values())
+        if found > best:
+            best, first, last = found, hits[left][0], end
+    a, b = int(np.searchsorted(starts, first, side="right")) - 1, int(np.searchsorted(ends, last))
+    while b + 1 < len(ends) and ends[b + 1] - starts[a] <= length:
+        b += 1
+    while a > 0 and ends[b] - starts[a - 1] <= length:
+        a -= 1
+    begin, end = int(starts[a]), int(ends[b])
+    if end - begin > 2 * length:  # one long sentence: as many whole words of it as fit
+        begin = first
+        end = max((m.end() for m in re.finditer(r"\S+", text[begin : begin + length])), default=length) + begin
+        if end < len(text) and not text[end].isspace() and (space := text.rfind(" ", begin, end)) > begin:
+            end = space
+    return ("..." if begin else "") + text[begin:end].strip() + ("..." if end < len(text) else "")
+
+
+@F.pandas_udf(S.StringType())
+def snippet(texts: pd.Series, queries: pd.Series, lengths: pd.Series) -> pd.Series:
+    """Texts of up to `length` characters as they are, of longer ones the sentences with most words of the query, up to twice the length, else whole words up to it. Null stays null."""
+    words = queries.map(lambda q: frozenset(re.findall(r"\w+", (q or "").lower())))
+    return pd.Series([t if t is None or len(t) <= n else _excerpt(t, w, int(n)) for t, w, n in zip(texts, words, lengths, strict=True)], dtype=object)
 
 
 def expanded(queries: DataFrame, acronyms: DataFrame, distance: int = 1, most: int = 20_000) -> DataFrame:

@@ -50,16 +50,10 @@ def k3_fielded(t: Tables) -> DataFrame:
     return retrieval.fielded(_queries(t), retrieval.postings(texts, "title"), retrieval.postings(texts, "text"), 10)
 
 
-_UNIT = "SELECT chunk_id, min(vector) AS v FROM chunk_vectors WHERE embedding_model = 'lumen-e5-small' AND chunk_strategy = 'heading_512_50' AND len(vector) = 64 GROUP BY chunk_id"
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _COS = f"CASE WHEN sqrt({_DOT.format(a='q.v', b='q.v')}) * sqrt({_DOT.format(a='e.v', b='e.v')}) > 0 THEN {_DOT.format(a='q.v', b='e.v')} / (sqrt({_DOT.format(a='q.v', b='q.v')}) * sqrt({_DOT.format(a='e.v', b='e.v')})) ELSE 0 END"
 
 
-def _vectors(t: Tables) -> DataFrame:
-    v = t.chunk_vectors.where("embedding_model = 'lumen-e5-small' AND chunk_strategy = 'heading_512_50' AND size(vector) = 64")
-    return v.groupBy("chunk_id").agg(F.min("vector").alias("vector")).where("NOT exists(vector, x -> isnan(x))")
-
-
 @query("k5_knn", f"""
 WITH e AS (SELECT vec_id AS chunk_id, embedding AS v FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, chunk_id, round({_COS}, 6) AS score FROM q, e)
@@ -148,18 +142,12 @@ kept AS (SELECT far.* FROM far WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.q
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kept QUALIFY rank <= 10""")
 def k14(t: Tables) -> DataFrame:
     seeds = retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 10)
-    rows = graph.enriched(seeds, _relations(t), t.chunks, 1 << 30).drop("rank")
+    rows = graph.enriched(seeds, _relations(t), t.chunks, 1 << 30, most_seeds=8).drop("rank")
     return retrieval.ranked(rows.withColumn("score", F.round("score", 6)), 10)
 
 
-@query("f11_related_sections", rf"WITH {_REL}, l AS (SELECT DISTINCT source_id AS section, target_id FROM rel) SELECT section, source_id AS other, round(sum(weight), 6) AS weight FROM l JOIN rel USING (target_id) WHERE section <> source_id AND section < '02' GROUP BY 1, 2")
-def f11(t: Tables) -> DataFrame:
-    return graph.related(_relations(t)).where("section < '02'").withColumn("weight", F.round("weight", 6))
-
-
 @query("f11_related_all", rf"WITH {_REL} SELECT l.source_id AS section, r.source_id AS other, round(sum(r.weight), 6) AS weight FROM (SELECT DISTINCT source_id, target_id FROM rel) l JOIN rel r USING (target_id) WHERE l.source_id <> r.source_id GROUP BY 1, 2")
 def f11_all(t: Tables) -> DataFrame:
-    """Of all sections; f11_related_sections keeps those whose id is below '02'."""
     return graph.related(_relations(t)).withColumn("weight", F.round("weight", 6))
 
 
