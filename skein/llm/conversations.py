@@ -1,27 +1,23 @@
-"""Conversations from message rows: versions settled, fragments assembled, roles given, broken ones set apart with the reason.
+"""Conversations from message rows: versions settled, roles given, broken ones set apart with the reason; and from export fragments, by assembly.
 
-The rows of a dialog, sorted over the whole cluster by (dialog, message), are read as export fragments of bounded length that overlap their
-successor by a few messages, also across tasks, so that a dialog with a third of all rows is many fragments. Fragments are put
-together again by suffix-prefix matches of message hashes: matching ends give the overlap graph, its unambiguous paths are
-merged by pointer doubling, and a dialog whose fragments do not end as one path has a gap and is dropped as broken.
+Message rows have a dialog and an order inside it, so that a dialog is rebuilt by its settled rows, and its faults are sums over them.
+
+Export fragments have neither: `assembled` puts fragments (runs of messages in order, of unknown place) together by suffix-prefix matches of their
+message hashes. Matches give the overlap graph of a dialog, of which unambiguous paths are merged by pointer doubling; a dialog
+whose fragments do not end as one path has a gap, and `gaps` names it broken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein import runtime
-from skein.llm import textnorm
+from skein.llm import mixing, textnorm
 
-FRAGMENT, OVERLAP = 512, 3
+LEAST = 3  # messages two fragments must share
 _VISIBLE = rf"[^\s\p{{Z}}\p{{Cc}}{textnorm.INVISIBLE}]"
-_ROWS = "dialog_id long, message_id long, hash long, frag long, fresh boolean"
-_ARROW = pa.schema([("dialog_id", pa.int64()), ("message_id", pa.int64()), ("hash", pa.int64()), ("frag", pa.int64()), ("fresh", pa.bool_())])
 
 
 def handle(name: Column) -> Column:
@@ -47,105 +43,101 @@ def with_roles(messages: DataFrame, senders: DataFrame, limit: int = 200_000) ->
     return rows.withColumn("visible", visible).withColumn("registered", F.coalesce("registered", F.lit(False))).drop("who")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments of sorted messages; each repeats the last OVERLAP messages of the one before it."""
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 40
-    tail: list[tuple] = []
-    length, current = 0, None
-    for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != current or length >= FRAGMENT:
-                number += 1
-                if row[0] != current:
-                    tail = []
-                out += [(*t, number, False) for t in tail]
-                current, length = row[0], 0
-            out.append((*row, number, True))
-            tail = [*tail[1 - OVERLAP :], row] if OVERLAP > 1 else [row]
-            length += 1
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-
-def fragments(messages: DataFrame) -> DataFrame:
-    """Rows (dialog_id, message_id, hash, frag, fresh, side): the fragments of all dialogs, also bridges over the borders of tasks (side 0: the end before it, 1: the begin after it)."""
-    spark = messages.sparkSession
-    hashed = messages.select("dialog_id", "message_id", F.xxhash64("dialog_id", "message_id", "sender", "text").alias("hash"))
-    cut = hashed.repartitionByRange(runtime.partitions(spark), "dialog_id", "message_id").sortWithinPartitions("dialog_id", "message_id").mapInArrow(_cut, _ROWS)
-    rows = runtime.materialize(cut, "fragments")
-    # The border of two tasks inside a dialog: the last messages of the one and the first of the other make a bridge.
-    ends = rows.groupBy("dialog_id", F.shiftright("frag", 40).alias("task")).agg(F.min("frag").alias("first"), F.max("frag").alias("last"))
-    order = Window.partitionBy("dialog_id").orderBy("task")
-    borders = ends.withColumn("next", F.lead("first").over(order)).where("next IS NOT NULL").select("dialog_id", "last", "next", (-F.col("next")).alias("bridge"))
-    inside = Window.partitionBy("dialog_id", "frag")
-    edge = rows.join(F.broadcast(borders.select(F.explode(F.array("last", "next")).alias("frag")).distinct()), "frag", "left_semi")  # at most two a task
-    edge = edge.withColumn("up", F.row_number().over(inside.orderBy("message_id"))).withColumn("down", F.row_number().over(inside.orderBy(F.desc("message_id"))))
-    tails = edge.where(F.col("down") <= OVERLAP).join(borders.select(F.col("last").alias("frag"), "bridge"), "frag")
-    heads = edge.where(F.col("up") <= OVERLAP).join(borders.select(F.col("next").alias("frag"), "bridge"), "frag")
-    tails, heads = tails.withColumn("side", F.lit(0)), heads.withColumn("side", F.lit(1))
-    bridge = tails.unionByName(heads).select("dialog_id", "message_id", "hash", F.col("bridge").alias("frag"), F.lit(False).alias("fresh"), "side")
-    return rows.withColumn("side", F.lit(None).cast("int")).unionByName(bridge)
-
-
-def assembled(parts: DataFrame, rounds: int = 40) -> DataFrame:
-    """Rows (dialog_id, frag, path, place): the path a fragment belongs to and its place on it.
-
-    Fragments follow each other where the last messages of the one, by their hashes, are the first of the other; places with several
-    possible successors or predecessors end a path. Paths are merged by pointer doubling, in as many rounds as the logarithm of the longest.
+_EDGE = "dialog_id long, frag long, n int, suffix boolean, whole boolean, print long"
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _prints(key, messages):  # noqa: ANN001, ANN202
+    """The hash of every prefix and of every suffix of a fragment of at least LEAST messages."""
+    import pandas as pd
+
+    h = messages.sort_values("pos")["hash"].to_numpy().astype(np.int64).view(np.uint64)
+    n = len(h)
+    base = np.full(n + 1, _BASE, dtype=np.uint64)
+    back = np.full(n + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    base[0] = back[0] = 1
+    power, undo = np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
+    sizes = np.arange(min(LEAST, n), n + 1)
+    prefix, suffix = sums[sizes], (sums[n] - sums[n - sizes]) * undo[n - sizes]
+    return pd.DataFrame({"dialog_id": key[0], "frag": key[1], "n": np.tile(sizes, 2).astype(np.int32), "suffix": np.repeat([False, True], len(sizes)), "whole": np.tile(sizes == n, 2), "print": np.concatenate([prefix, suffix]).view(np.int64)})
+
+
+def assembled(fragments: DataFrame, rounds: int = 40) -> DataFrame:
+    """Rows (dialog_id, frag, path, place, shared): the path a fragment belongs to, its place on it, and how many messages it shares with the one before.
+
+    fragments: dialog_id, frag, pos, hash, a row a message; a fragment is one export, which one task holds. A fragment follows another where a suffix of the one is, message by
+    message, a prefix of the other (at least LEAST messages, the longest counts). Equal fragments and those that are a prefix or suffix of another add nothing and take its
+    path, place -1. Steps that follow from two others are no steps of their own; places
+    with several possible successors or predecessors end a path. Paths are merged in as many rounds as the logarithm of the longest.
     """
-    inside = Window.partitionBy("dialog_id", "frag")
-    numbered = parts.withColumn("up", F.row_number().over(inside.orderBy("message_id"))).withColumn("n", F.count("*").over(inside))
-    prints = numbered.groupBy("dialog_id", "frag").agg(
-        F.xxhash64(F.array_sort(F.collect_list(F.when(F.coalesce(F.col("side") == 0, F.col("up") <= OVERLAP), F.col("hash"))))).alias("prefix"),
-        F.xxhash64(F.array_sort(F.collect_list(F.when(F.coalesce(F.col("side") == 1, F.col("up") > F.col("n") - OVERLAP), F.col("hash"))))).alias("suffix"))
-    prints = runtime.materialize(prints, "prints")
-    left = prints.select("dialog_id", F.col("frag").alias("a"), F.col("suffix").alias("key"))
-    right = prints.select("dialog_id", F.col("frag").alias("b"), F.col("prefix").alias("key"))
-    edges = left.join(right, ["dialog_id", "key"]).where("a <> b")
+    spark = fragments.sparkSession
+    kept = fragments.where("dialog_id IS NOT NULL AND frag IS NOT NULL AND hash IS NOT NULL").select("dialog_id", "frag", F.col("pos").cast("long").alias("pos"), "hash").dropDuplicates(["dialog_id", "frag", "pos"])
+    prints = runtime.materialize(kept.groupBy("dialog_id", "frag").applyInPandas(_prints, _EDGE), "prints")
+    ends = prints.where("suffix").select("dialog_id", F.col("frag").alias("a"), "n", "print", F.col("whole").alias("a_whole"))
+    begins = prints.where("NOT suffix").select("dialog_id", F.col("frag").alias("b"), "n", "print", F.col("whole").alias("b_whole"))
+    pairs = runtime.materialize(ends.join(begins, ["dialog_id", "n", "print"]).where("a <> b"), "pairs")
+    # b is held by a: all of b is the end of a; a is held by b: all of a is the begin of b. Of equal ones the first stays.
+    held = pairs.where("b_whole AND (NOT a_whole OR a < b)").select("dialog_id", F.col("b").alias("frag"), F.col("a").alias("holder"))
+    held = held.unionByName(pairs.where("a_whole AND NOT b_whole").select("dialog_id", F.col("a").alias("frag"), F.col("b").alias("holder")))
+    held = held.groupBy("dialog_id", "frag").agg(F.min("holder").alias("holder"))
+    free = prints.where("suffix AND whole").select("dialog_id", "frag").join(held, ["dialog_id", "frag"], "left_anti")
+    edges = pairs.where("NOT a_whole AND NOT b_whole").groupBy("dialog_id", "a", "b").agg(F.max("n").alias("shared"))
+    edges = edges.join(free.withColumnRenamed("frag", "a"), ["dialog_id", "a"]).join(free.withColumnRenamed("frag", "b"), ["dialog_id", "b"])
+    # Transitive reduction: what follows from two steps through a fragment between is no step of its own.
+    sizes = prints.where("suffix AND whole").select("dialog_id", F.col("frag").alias("b"), F.col("n").alias("size"))
+    onward = edges.select("dialog_id", F.col("a").alias("b"), F.col("b").alias("c"), F.col("shared").alias("next"))
+    through = edges.join(onward, ["dialog_id", "b"]).join(sizes, ["dialog_id", "b"]).select("dialog_id", "a", F.col("c").alias("b"), (F.col("shared") + F.col("next") - F.col("size")).cast("int").alias("shared")).distinct()
+    edges = runtime.materialize(edges.join(through, ["dialog_id", "a", "b", "shared"], "left_anti"), "edges")
     edges = edges.withColumn("after", F.count("*").over(Window.partitionBy("dialog_id", "a"))).withColumn("before", F.count("*").over(Window.partitionBy("dialog_id", "b"))).where("after = 1 AND before = 1")
-    back = edges.select(F.col("b").alias("frag"), F.col("a").alias("head"))
-    now = prints.select("dialog_id", "frag").join(back, "frag", "left").select("dialog_id", "frag", F.coalesce("head", "frag").alias("head"), F.col("head").isNotNull().cast("long").alias("place"))
-    spark = parts.sparkSession
+    back = edges.select("dialog_id", F.col("b").alias("frag"), F.col("a").alias("head"), "shared")
+    now = free.join(back, ["dialog_id", "frag"], "left").select("dialog_id", "frag", F.coalesce("head", "frag").alias("head"), F.col("head").isNotNull().cast("long").alias("place"), F.coalesce("shared", F.lit(0)).alias("shared"))
     for _ in range(rounds):
-        path = runtime.new_path(spark, "paths")
-        now = runtime.materialize(now, "paths", path)
-        hop = now.select(F.col("frag").alias("head"), F.col("head").alias("further"), F.col("place").alias("more"))
-        if not now.where("head <> frag").join(hop.where("further <> head"), "head", "left_semi").take(1):
+        now = runtime.materialize(now, "paths")
+        hop = now.select("dialog_id", F.col("frag").alias("head"), F.col("head").alias("further"), F.col("place").alias("more"))
+        if not now.where("head <> frag").join(hop.where("further <> head"), ["dialog_id", "head"], "left_semi").take(1):
             break
-        now = now.join(hop, "head").select("dialog_id", "frag", F.col("further").alias("head"), (F.col("place") + F.col("more")).alias("place"))
-    return now.withColumnRenamed("head", "path")
+        now = now.join(hop, ["dialog_id", "head"]).select("dialog_id", "frag", F.col("further").alias("head"), (F.col("place") + F.col("more")).alias("place"), "shared")
+    paths = now.select("dialog_id", "frag", F.col("head").alias("path"), "place", "shared")
+    inside = held.join(paths.select("dialog_id", F.col("frag").alias("holder"), "path"), ["dialog_id", "holder"], "left").select("dialog_id", "frag", F.coalesce("path", "holder").alias("path"), F.lit(-1).cast("long").alias("place"), F.lit(0).alias("shared"))
+    return paths.unionByName(inside)
+
+
+def merged(fragments: DataFrame, paths: DataFrame) -> DataFrame:
+    """The messages of fragments in the order of their paths, each shared one once: dialog_id, path, place, pos and the other columns of the fragments."""
+    rows = fragments.join(paths.where("place >= 0"), ["dialog_id", "frag"])
+    first = F.row_number().over(Window.partitionBy("dialog_id", "frag").orderBy("pos")) > F.col("shared")
+    return rows.withColumn("_new", first).where("_new").drop("_new", "shared", "frag")
+
+
+def gaps(paths: DataFrame) -> DataFrame:
+    """(dialog_id, fault): dialogs whose fragments do not make one path."""
+    return paths.where("place >= 0").groupBy("dialog_id").agg(F.count_distinct("path").alias("n")).where("n > 1").select("dialog_id", F.lit("broken").alias("fault"))
 
 
 def rebuilt(messages: DataFrame, senders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages of all dialogs in order, faults of dialogs).
+    """(settled messages of all dialogs, faults of dialogs).
 
-    Messages: dialog_id, path, place (of the fragment), message_id, sender, role, sent_at, text, reply_to_msg_id, visible. Faults: dialog_id, fault:
-    empty, broken, no_reply as TESTDATA.md defines them; broken also for a dialog whose fragments leave a gap. Rows without dialog_id belong to no dialog.
+    Messages: dialog_id, message_id, sender, role, sent_at, text, reply_to_msg_id, visible. Faults: dialog_id, fault:
+    empty, broken, no_reply as TESTDATA.md defines them. Rows without dialog_id belong to no dialog.
     """
     rows = runtime.materialize(with_roles(settled(messages), senders), "messages")
-    parts = fragments(rows)
-    paths = assembled(parts)
-    placed = parts.where("fresh").select("dialog_id", "message_id", "frag").join(paths.select("frag", "path", "place"), "frag")
-    ordered = rows.join(placed.drop("frag"), ["dialog_id", "message_id"])
-    gaps = paths.groupBy("dialog_id").agg(F.count_distinct("path").alias("n")).where("n > 1").select("dialog_id", F.lit("broken").alias("fault"))
     known = rows.select("dialog_id", F.col("message_id").alias("reply_to_msg_id"))
-    lost = rows.where("visible AND reply_to_msg_id IS NOT NULL").join(known, ["dialog_id", "reply_to_msg_id"], "left_anti")
-    unknown = rows.where("visible AND NOT registered")
-    nameless = messages.where("dialog_id IS NOT NULL AND message_id IS NULL")
-    broken = lost.select("dialog_id").unionByName(unknown.select("dialog_id")).unionByName(nameless.select("dialog_id")).select("dialog_id", F.lit("broken").alias("fault"))
+    lost = rows.where("visible AND reply_to_msg_id IS NOT NULL").select("dialog_id", "reply_to_msg_id").distinct().join(known, ["dialog_id", "reply_to_msg_id"], "left_anti")
     users, answers = (F.when(F.col("visible") & (F.col("role") == r), F.col("message_id")) for r in ("user", "assistant"))
-    state = ordered.groupBy("dialog_id").agg(F.max("visible").alias("any"), F.min(users).alias("asked"), F.max(answers).alias("answered"))
-    only_nameless = nameless.select("dialog_id").distinct().join(rows.select("dialog_id").distinct(), "dialog_id", "left_anti").select("dialog_id", F.lit("empty").alias("fault"))
-    quiet = state.where(~F.col("any")).select("dialog_id", F.lit("empty").alias("fault"))
-    silent = state.where(F.col("any") & ~F.coalesce(F.col("asked") < F.col("answered"), F.lit(False))).select("dialog_id", F.lit("no_reply").alias("fault"))
-    faults = broken.unionByName(gaps).unionByName(quiet).unionByName(only_nameless).unionByName(silent).distinct()
-    return ordered.select("dialog_id", "path", "place", "message_id", "sender", "role", "sent_at", "text", "reply_to_msg_id", "visible"), faults
-
-
-def sound(ordered: DataFrame, faults: DataFrame) -> DataFrame:
-    """The visible messages of dialogs without fault, numbered: turn counts inside a fragment, place counts fragments."""
-    turn = F.row_number().over(Window.partitionBy("dialog_id", "path", "place").orderBy("message_id"))
-    return ordered.where("visible").join(faults.select("dialog_id").distinct(), "dialog_id", "left_anti").withColumn("turn", turn)
+    state = rows.groupBy("dialog_id").agg(F.max("visible").alias("shown"), F.min(users).alias("asked"), F.max(answers).alias("answered"), F.max(F.col("visible") & ~F.col("registered")).alias("strange"))
+    # Of rows without message_id it only counts that a dialog has them, of lost replies too.
+    nameless = messages.where("dialog_id IS NOT NULL AND message_id IS NULL").select("dialog_id", F.lit(True).alias("marked"))
+    marked = nameless.unionByName(lost.select("dialog_id", F.lit(True).alias("marked"))).distinct()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    dialogs = state.join(marked, "dialog_id", "full")
+    found = F.array(F.when(~yes(F.col("shown")), "empty"), F.when(yes(F.col("marked")) | yes(F.col("strange")), "broken"), F.when(yes(F.col("shown")) & ~yes(F.col("asked") < F.col("answered")), "no_reply"))
+    faults = dialogs.select("dialog_id", F.explode(found).alias("fault")).where("fault IS NOT NULL")
+    return rows.select("dialog_id", "message_id", "sender", "role", "sent_at", "text", "reply_to_msg_id", "visible"), faults
+
+
+def sound(rows: DataFrame, faults: DataFrame) -> DataFrame:
+    """The visible messages of dialogs without fault, numbered through each dialog by turn, from 1. Long dialogs are numbered by ranges of messages."""
+    shown = rows.where("visible").join(faults.select("dialog_id").distinct(), "dialog_id", "left_anti")
+    placed = mixing.running(shown, "dialog_id", ["message_id"], F.lit(1), F.expr("message_id div 4096"))
+    return placed.withColumn("turn", F.col("before") + 1).drop("before")

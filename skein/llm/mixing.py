@@ -9,6 +9,7 @@ Positions and ranks are sums over ranges and then inside a range, so that a sour
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -69,6 +70,8 @@ class Mixture:
         spark = documents.sparkSession
         self.block = block
         self.counts = runtime.materialize(counted(documents, vocabulary).where("doc_id IS NOT NULL").distinct(), "tokens")
+        self.bits = max(12, math.ceil(math.log2(max(1, self.counts.count()) / 50_000)) if self.counts.count() else 0)  # ranges of a source: about 50,000 rows each, if it has all
+        self.targets = targets
         # At most a row a source with a target; sources without one take no part.
         wanted = targets.select(source_name(F.col("source")).alias("source"), F.nanvl("target_share", F.lit(None)).alias("share"), "max_repeats").where("source IS NOT NULL AND share > 0")
         wanted = wanted.groupBy("source").agg(F.max("share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
@@ -113,41 +116,46 @@ class Mixture:
         slots = slots.withColumn("source", self._case(F.expr(f"pmod((slot + 1) * {PHI!r}D, 1D)")))
         return running(slots, "source", ["slot"], F.lit(1), F.expr("slot div 16384")).withColumnRenamed("before", "rank")
 
-    def blocks(self) -> DataFrame:
-        """doc_id, source, tokens, block: documents in the shuffled order of their source; those of no tokens or target are left out."""
+    def placed(self) -> DataFrame:
+        """doc_id, source, tokens, before: documents in the shuffled order of their source, with the tokens before each; those of no tokens or target are left out."""
         rows = self.counts.where("tokens > 0").join(F.broadcast(self.spark.createDataFrame([(n,) for n in self.amounts], "source string")), "source")
-        shuffle = F.xxhash64("doc_id", F.lit("mixture"))
-        rows = rows.withColumn("_h", shuffle)
-        placed = running(rows, "source", ["_h", "doc_id"], F.col("tokens"), F.shiftright("_h", 52))
-        return placed.withColumn("block", F.expr(f"before div {self.block}")).drop("before", "_h")
+        rows = rows.withColumn("_h", F.xxhash64("doc_id", F.lit("mixture")))
+        return running(rows, "source", ["_h", "doc_id"], F.col("tokens"), F.shiftright("_h", 64 - self.bits)).drop("_h")
+
+    def _sizes(self) -> DataFrame:
+        """source, n: the number of blocks of each source."""
+        return self.counts.where("tokens > 0").groupBy("source").agg(F.ceil(F.sum("tokens") / self.block).cast("long").alias("n"))
 
     def uses(self) -> DataFrame:
         """doc_id, source, tokens, uses: how often each document of a source with a target is used.
 
-        A source's slots go over its blocks again and again: full rounds use every document, the slots that are left the first blocks.
+        A source's slots go over its blocks again and again: full rounds use every document, the slots that are left the first blocks. A document counts with its first block.
         """
         taken = self.schedule().groupBy("source").agg(F.count("*").alias("slots"))
-        blocks = self.blocks()
-        size = blocks.groupBy("source").agg((F.max("block") + 1).alias("n"))
         limits = self.spark.createDataFrame([(n, r) for n, _, r, _ in self.sources], "source string, repeats int")
-        per = size.join(taken, "source", "left").join(limits, "source")
-        per = F.broadcast(per)  # a row a source with a target
-        rounds = F.expr("coalesce(slots, 0) div n")
+        per = F.broadcast(self._sizes().join(taken, "source", "left").join(limits, "source"))  # a row a source with a target
         extra = (F.col("block") < F.expr("coalesce(slots, 0) % n")).cast("int")
-        return blocks.join(per, "source").select("doc_id", "source", "tokens", F.least(rounds + extra, F.col("repeats")).cast("int").alias("uses"))
+        rows = self.placed().withColumn("block", F.expr(f"before div {self.block}")).join(per, "source")
+        return rows.select("doc_id", "source", "tokens", F.least(F.expr("coalesce(slots, 0) div n") + extra, F.col("repeats")).cast("int").alias("uses"))
 
     def stream(self) -> DataFrame:
-        """slot, place, source, doc_id: the mixture in its order; documents of a block follow each other."""
-        size = self.blocks().groupBy("source").agg((F.max("block") + 1).alias("n"))
-        slots = self.schedule().join(F.broadcast(size), "source").withColumn("block", F.expr("rank % n"))
-        limits = F.broadcast(self.spark.createDataFrame([(n, r) for n, _, r, _ in self.sources], "source string, repeats int"))
-        slots = slots.join(limits, "source").where("rank div n < repeats")
-        return slots.join(self.blocks(), ["source", "block"]).select("slot", "source", "block", "doc_id", "tokens")
+        """slot, place, source, doc_id, begin_token, end_token: the mixture in the order of slot and place.
+
+        A slot is a block of equal tokens (the last of a source may have fewer); a document that goes over the end of a block is continued where its source's next block is.
+        """
+        limits = F.broadcast(self._sizes().join(self.spark.createDataFrame([(n, r) for n, _, r, _ in self.sources], "source string, repeats int"), "source"))
+        slots = self.schedule().join(limits, "source").where("rank div n < repeats").select("slot", "source", F.expr("rank % n").alias("block"))
+        size = self.block
+        parts = self.placed().withColumn("block", F.explode(F.expr(f"sequence(before div {size}, (before + tokens - 1) div {size})")))
+        parts = parts.select("source", "doc_id", "block", F.expr(f"greatest(block * {size} - before, 0)").alias("begin_token"), F.expr(f"least((block + 1) * {size} - before, tokens)").alias("end_token"), "before")
+        place = F.row_number().over(Window.partitionBy("source", "block").orderBy("before", "doc_id")) - 1  # a block has no more rows than tokens
+        return slots.join(parts.withColumn("place", place).drop("before"), ["source", "block"]).select("slot", "place", "source", "doc_id", "begin_token", "end_token")
 
     def report(self) -> DataFrame:
-        """source, target_share, reached_share, tokens, used_tokens, documents, most_uses: every target, also those without documents."""
-        used = self.uses().groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
-        wanted = self.spark.createDataFrame([(n, s, t) for n, s, _, t in self.sources], "source string, target_share double, tokens long")
-        rows = wanted.join(F.broadcast(used), "source", "left").na.fill(0, ["used_tokens", "documents", "most_uses"])
-        whole = F.sum("used_tokens").over(Window.partitionBy())
-        return rows.withColumn("reached_share", F.col("used_tokens") / F.greatest(whole, F.lit(1)))
+        """source, target_share, reached_share, tokens, used_tokens, documents, most_uses: every target, also those without documents or without a share."""
+        held = self.counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.when(F.col("tokens") > 0, 1)).alias("documents"))
+        used = self.uses().groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
+        wanted = self.targets.select(source_name(F.col("source")).alias("source"), F.nanvl("target_share", F.lit(None)).alias("share")).where("source IS NOT NULL").groupBy("source").agg(F.max("share").alias("target_share"))
+        rows = wanted.join(held, "source", "left").join(used, "source", "left").na.fill(0, ["tokens", "documents", "used_tokens", "most_uses"])
+        whole = F.sum("used_tokens").over(Window.partitionBy())  # a row a target
+        return rows.withColumn("reached_share", F.col("used_tokens") / F.greatest(whole, F.lit(1))).select("source", "target_share", "reached_share", "tokens", "used_tokens", "documents", "most_uses")

@@ -223,18 +223,57 @@ def test_conversation_faults(spark):
     assert [(r.dialog_id, r.message_id, r.role, r.turn) for r in conversations.sound(ordered, found).orderBy("message_id").collect()] == [(1, 1, "user", 1), (1, 2, "user", 2), (1, 3, "assistant", 3)]
 
 
-def test_long_dialog_is_one_path(spark):
-    rows = [message(1, 3 * i, "u" if i % 2 == 0 else "Bot", at=i) for i in range(3000)]
-    got, ordered, _ = faults(spark, rows * 2)
+def test_long_dialog_is_numbered_through(spark):
+    rows = [message(1, 3 * i, "u" if i % 2 == 0 else "Bot", at=i) for i in range(5000)]
+    got, ordered, found = faults(spark, rows * 2)
     assert got == set()
-    o = [r.message_id for r in ordered.orderBy("place", "message_id").collect()]
-    assert o == [3 * i for i in range(3000)] and ordered.select("path").distinct().count() == 1
+    assert [(r.message_id, r.turn) for r in conversations.sound(ordered, found).orderBy("turn").collect()] == [(3 * i, i + 1) for i in range(5000)]
+
+
+def fragments(spark, parts):
+    """parts: {frag: messages}; messages stand for their hashes."""
+    return spark.createDataFrame([(1, f, i, m * 7919) for f, ms in parts.items() for i, m in enumerate(ms)], "dialog_id long, frag long, pos int, hash long")
+
+
+def test_fragments_assemble(spark):
+    cut = {5: range(0, 10), 2: range(6, 20), 9: range(17, 30), 4: range(26, 41)}
+    parts = fragments(spark, cut | {7: range(6, 20), 8: range(17, 25)})  # a repeated one, and one that another begins with
+    paths = conversations.assembled(parts)
+    got = {r.frag: (r.path, r.place, r.shared) for r in paths.collect()}
+    assert got == {5: (5, 0, 0), 2: (5, 1, 4), 9: (5, 2, 3), 4: (5, 3, 4), 7: (5, -1, 0), 8: (5, -1, 0)}
+    assert conversations.gaps(paths).count() == 0
+    rows = conversations.merged(parts, paths).orderBy("place", "pos").collect()
+    assert [r.hash for r in rows] == [m * 7919 for m in range(41)]
 
 
 def test_gap_is_broken(spark):
-    rows = [(1, m, m * 7, f, True, None) for f, ms in ((1, range(0, 10)), (2, range(7, 20)), (3, range(25, 30))) for m in ms]
-    parts = spark.createDataFrame(rows, "dialog_id long, message_id long, hash long, frag long, fresh boolean, side int")
-    assert {r.frag: r.path for r in conversations.assembled(parts).collect()} == {1: 1, 2: 1, 3: 3}
+    paths = conversations.assembled(fragments(spark, {1: range(0, 10), 2: range(7, 20), 3: range(25, 30)}))
+    assert {r.frag: r.path for r in paths.collect()} == {1: 1, 2: 1, 3: 3}
+    assert [tuple(r) for r in conversations.gaps(paths).collect()] == [(1, "broken")]
+
+
+def test_order_of_messages_matters_and_forks_end_a_path(spark):
+    swapped = conversations.assembled(fragments(spark, {1: [0, 1, 2, 3, 4], 2: [3, 2, 4, 5, 6]}))
+    assert {r.path for r in swapped.collect()} == {1, 2}
+    fork = conversations.assembled(fragments(spark, {1: [0, 1, 2, 3, 4], 2: [2, 3, 4, 5, 6], 3: [2, 3, 4, 8, 9]}))
+    assert {r.frag: r.path for r in fork.collect()} == {1: 1, 2: 2, 3: 3}
+    assert conversations.assembled(fragments(spark, {1: [0]}).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fragments_round_trip(spark, seed):
+    r = random.Random(seed)
+    cuts, at = [], 0
+    while at < 3000:
+        end = at + r.randrange(20, 200)
+        cuts.append(range(at, end))
+        at = end - r.randrange(3, 15)
+    order = list(range(len(cuts)))
+    r.shuffle(order)
+    parts = fragments(spark, {f: cuts[i] for i, f in enumerate(order)})
+    paths = conversations.assembled(parts)
+    assert conversations.gaps(paths).count() == 0
+    assert [x.hash for x in conversations.merged(parts, paths).orderBy("place", "pos").collect()] == [m * 7919 for m in range(cuts[-1].stop)]
 
 
 def test_no_messages(spark):
@@ -255,16 +294,31 @@ def test_mixture_shares(spark):
     targets = [("a", 0.5, 1), ("b-x", 0.3, 2), ("c", 0.2, 3), ("none", None, 1), ("nan", float("nan"), 1)]
     m = mixture(spark, docs, targets)
     report = {x.source: x for x in m.report().collect()}
-    assert set(report) == {"a", "b-x", "c"}
-    assert all(abs(x.reached_share - x.target_share) < 0.01 for x in report.values())
-    assert all(x.most_uses <= {"a": 1, "b-x": 2, "c": 3}[x.source] for x in report.values())
+    assert set(report) == {"a", "b-x", "c", "none", "nan"} and report["none"].target_share is None and report["nan"].reached_share == 0
+    shared = [report[s] for s in ("a", "b-x", "c")]
+    assert all(abs(x.reached_share - x.target_share) < 0.01 for x in shared)
+    assert all(x.most_uses <= {"a": 1, "b-x": 2, "c": 3}[x.source] for x in shared)
     uses = {x.doc_id: x.uses for x in m.uses().collect()}
-    streamed = {x["doc_id"]: x["count"] for x in m.stream().groupBy("doc_id").count().collect()}
+    streamed = {x["doc_id"]: x["count"] for x in m.stream().where("begin_token = 0").groupBy("doc_id").count().collect()}
     assert {k: v for k, v in uses.items() if v} == streamed
     first = {x.source: x["count"] for x in m.schedule().where("slot < 100").groupBy("source").count().collect()}
     assert abs(first["a"] - 50) <= 2 and abs(first["b-x"] - 30) <= 2
 
 
+def test_mixture_fills_every_slot(spark):
+    r = random.Random(4)
+    m = mixture(spark, [(i, "ab"[i % 2], "word " * r.choice([1, 5, 60, 700])) for i in range(200)], [("a", 0.6, 2), ("b", 0.4, 2)])
+    rows = m.stream().orderBy("slot", "place").collect()
+    sizes: dict = {}
+    for x in rows:
+        assert x.place == len(sizes.setdefault(x.slot, []))
+        sizes[x.slot].append(x.end_token - x.begin_token)
+    assert sorted(sizes) == list(range(m.slots))
+    assert sum(sum(v) != 64 for v in sizes.values()) <= 4  # the last block of a source may be smaller
+    share = sum(x.end_token - x.begin_token for x in rows if x.source == "a") / sum(map(sum, sizes.values()))
+    assert abs(share - 0.6) < 0.01
+
+
 def test_mixture_small_source_is_capped(spark):
     docs = [(i, "big" if i else "small", "word " * 50) for i in range(200)]
     m = mixture(spark, docs, [("big", 0.5, 1), ("small", 0.5, 2)], total=5000)
