@@ -3,7 +3,7 @@
 Each language has one model: character n-grams inside words, with counts in sorted arrays of 64-bit hashes. A sentence
 takes the language of the lowest cross-entropy per character and is rejected (no language) above the limit calibrated on held-out
 sentences. Where the words of one sentence disagree, a Viterbi path over its words with a price for each change finds the
-stretches. The models are trained on a bounded sample of labelled rows (parameter `sample`); wrong labels and mixed texts
+stretches. The confidence of a stretch is how often held-out stretches of that margin over the next language were right (a logistic fit). The models are trained on a bounded sample of labelled rows (parameter `sample`); wrong labels and mixed texts
 in it are mended by relabelling its sentences before the counts are taken. Words are spelled in further ways
 (without diacritics, transliterated) for training, so that such texts are known too.
 """
@@ -31,7 +31,6 @@ THREE = {"eng": "en", "rus": "ru", "deu": "de", "ger": "de", "fra": "fr", "fre":
 ROMAN_RU = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" "), strict=True))
 ROMAN_UK = ROMAN_RU | {"г": "h", "ґ": "g", "и": "y", "і": "i", "ї": "yi", "є": "ye", "й": "y"}
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTERS = {"ru": frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюя")}
 ORDER = 5
 SLACK = 1.0  # nats a character a text may lie under the held-out limit, for words that were never seen
 CHANGE = 14.0  # nats a change of language costs inside a sentence
@@ -151,8 +150,8 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Identifier:
     """The models of all languages with their limits; scores of words are kept between texts."""
 
-    def __init__(self, models: dict[str, Model], limits: np.ndarray) -> None:
-        self.languages, self.models, self.limits = list(models), list(models.values()), limits
+    def __init__(self, models: dict[str, Model], limits: np.ndarray, calibration: tuple[float, float] = (0.0, 1.0)) -> None:
+        self.languages, self.models, self.limits, self.calibration = list(models), list(models.values()), limits, calibration
         self._reset()
 
     def _reset(self) -> None:
@@ -161,7 +160,7 @@ class Identifier:
         self.letters = np.zeros(1024, dtype=np.int64)
 
     def __getstate__(self) -> dict:
-        return {"languages": self.languages, "models": self.models, "limits": self.limits}
+        return {"languages": self.languages, "models": self.models, "limits": self.limits, "calibration": self.calibration}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -184,21 +183,25 @@ class Identifier:
             self.letters[n:upto] = [len(w) + 1 for w in part]
             self.known.update(zip(part, range(n, upto), strict=True))
 
-    def languages_of(self, texts: list[list[str]], least_words: int, least_stretch: int) -> list[dict[int, list[float]]]:
-        """For each text, given as sentences: language -> [words, best confidence]."""
+    def confidence(self, margin: np.ndarray) -> np.ndarray:
+        """Chance that the best language is right, by its log-odds margin over the next."""
+        a, b = self.calibration
+        return 1 / (1 + np.exp(-np.clip(a + b * np.sqrt(np.maximum(margin, 0)), -30, 30)))
+
+    def stretches_of(self, texts: list[list[str]], least_words: int, least_stretch: int) -> list[tuple[int, int, int, int, int, float]]:
+        """(text, sentence, begin and end word, language, confidence) of every stretch that takes a language; texts are given as sentences."""
         sentences = [_tokens(s) for t in texts for s in t]
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        counts = np.array([len(t) for t in texts], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        number = np.arange(len(sentences)) - np.repeat(np.cumsum(counts) - counts, counts)
         sizes = np.array([len(s) for s in sentences], dtype=np.int64)
-        found: list[dict[int, list[float]]] = [{} for _ in texts]
         keep = np.flatnonzero(sizes >= min(3, least_words))
         if not len(keep):
-            return found
-        used = [sentences[i] for i in keep.tolist()]
-        flat = list(chain.from_iterable(used))
-        self.learn(set(flat) if len(self.known) < 2_000_000 else set(flat) | set())
-        get = self.known.__getitem__
-        ids = np.fromiter(map(get, flat), dtype=np.int64, count=len(flat))
-        sizes, owner = sizes[keep], owner[keep]
+            return []
+        flat = list(chain.from_iterable([sentences[i] for i in keep.tolist()]))
+        self.learn(set(flat))
+        ids = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sizes, owner, number = sizes[keep], owner[keep], number[keep]
         begins = np.cumsum(sizes) - sizes
         score = self.scores[ids]
         total = np.add.reduceat(score, begins, axis=0)
@@ -209,31 +212,58 @@ class Identifier:
         margin = top - total.max(axis=1)
         free = np.add.reduceat(score.max(axis=1), begins)
         good = (top / letters >= self.limits[best]) & (margin > 2.0) & (sizes >= least_words) & (letters >= 14)
-        confidence = (1 / (1 + np.exp(-np.minimum(margin / np.sqrt(sizes), 30)))).tolist()
         torn = free - top > CHANGE
-        for i in np.flatnonzero(good & ~torn).tolist():
-            _note(found[owner[i]], int(best[i]), int(sizes[i]), confidence[i])
+        whole = np.flatnonzero(good & ~torn)
+        found = list(zip(owner[whole].tolist(), number[whole].tolist(), [0] * len(whole), sizes[whole].tolist(), best[whole].tolist(), self.confidence(margin[whole]).tolist(), strict=True))
         for i in np.flatnonzero(torn).tolist():
-            b, n = int(begins[i]), int(sizes[i])
+            b, n, place = int(begins[i]), int(sizes[i]), (int(owner[i]), int(number[i]))
             part, size = score[b : b + n], self.letters[ids[b : b + n]]
             stretches = _stretches(part)
             if len(stretches) == 1:
                 if good[i]:
-                    _note(found[owner[i]], int(best[i]), n, confidence[i])
+                    found.append((*place, 0, n, int(best[i]), float(self.confidence(margin[i]))))
                 continue
             for s, e, language in stretches:
                 if e - s >= least_stretch and part[s:e, language].sum() / size[s:e].sum() >= self.limits[language]:
-                    rest = np.delete(part[s:e].sum(axis=0), language).max()
-                    gain = float(part[s:e, language].sum() - rest)
+                    gain = float(part[s:e, language].sum() - np.delete(part[s:e].sum(axis=0), language).max())
                     if gain > 4.0:
-                        _note(found[owner[i]], language, e - s, 1 / (1 + math.exp(-min(gain / math.sqrt(e - s), 30))))
+                        found.append((*place, s, e, language, float(self.confidence(np.array(gain)))))
         return found
 
+    def languages_of(self, texts: list[list[str]], least_words: int, least_stretch: int) -> list[dict[int, list[float]]]:
+        """For each text, given as sentences: language -> [words, best confidence]."""
+        found: list[dict[int, list[float]]] = [{} for _ in texts]
+        for text, _, begin, end, language, confidence in self.stretches_of(texts, least_words, least_stretch):
+            entry = found[text].setdefault(language, [0, 0.0])
+            entry[0] += end - begin
+            entry[1] = max(entry[1], confidence)
+        return found
 
-def _note(found: dict[int, list[float]], language: int, words: int, confidence: float) -> None:
-    entry = found.setdefault(language, [0, 0.0])
-    entry[0] += words
-    entry[1] = max(entry[1], confidence)
+    def segments_of(self, texts: list[list[str]], least_words: int, least_stretch: int) -> list[list[tuple[str, int, float, str]]]:
+        """For each text its stretches in order: (language or `und`, words, confidence, text); neighbours of one language are one, its confidence the least."""
+        marks: list[dict[int, list]] = [{} for _ in texts]
+        for text, number, begin, end, language, confidence in self.stretches_of(texts, least_words, least_stretch):
+            marks[text].setdefault(number, []).append((begin, end, self.languages[language], confidence))
+        out = []
+        for sentences, mark in zip(texts, marks, strict=True):
+            parts: list[tuple[str, int, float, str]] = []
+            for number, sentence in enumerate(sentences):
+                spans = [m.span() for m in _WORD.finditer(sentence)]
+                held = sorted(mark.get(number, []))
+                at, pieces = 0, []
+                for k, (begin, end, language, confidence) in enumerate(held):
+                    last = len(spans) if k + 1 == len(held) else held[k + 1][0]  # what no language takes goes with the stretch before it
+                    begin = 0 if k == 0 else begin
+                    cut = len(sentence) if last == len(spans) else spans[last][0]
+                    pieces.append((language, last - begin, confidence, sentence[at:cut].strip()))
+                    at = cut
+                for piece in pieces or [("und", len(spans), 0.0, sentence.strip())]:
+                    if parts and parts[-1][0] == piece[0]:
+                        before = parts.pop()
+                        piece = (piece[0], before[1] + piece[1], min(before[2], piece[2]), f"{before[3]} {piece[3]}")
+                    parts.append(piece)
+            out.append(parts or [("und", 0, 0.0, "")])
+        return out
 
 
 def _stretches(score: np.ndarray) -> list[tuple[int, int, int]]:
@@ -265,7 +295,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 4) -> Identifier:
     for text, label in rows:
         for s in prose.sentences(text):
             words = _tokens(s)
-            if 4 <= len(words) <= 200:
+            if len(words) >= 4:
                 sentences.append(words)
                 labels.append(order[label])
     if not sentences:
@@ -307,9 +337,29 @@ def train(rows: list[tuple[str, str]], rounds: int = 4) -> Identifier:
     for j in range(m):
         own = level[held & (label == j)]
         found.limits[j] = (np.quantile(own, 0.005) if len(own) >= 20 else -2.2) - SLACK
+    found.calibration = _calibrated(score, begins, sizes, label, np.flatnonzero(held))
     return found
 
 
+def _calibrated(score: np.ndarray, begins: np.ndarray, sizes: np.ndarray, label: np.ndarray, held: np.ndarray) -> tuple[float, float]:
+    """Logistic fit of being right to the root of the margin, over beginnings of one to six words and the whole of held-out sentences."""
+    margins, right = [], []
+    for n in (1, 2, 3, 6, None):
+        for i in held[:4000].tolist():
+            total = score[begins[i] : begins[i] + min(sizes[i], n or sizes[i])].sum(axis=0)
+            order = np.argsort(total)
+            margins.append(total[order[-1]] - total[order[-2]])
+            right.append(order[-1] == label[i])
+    x, y = np.sqrt(np.maximum(np.array(margins or [0.0]), 0)), np.array(right or [True], dtype=float)
+    if y.min() == y.max():
+        return 0.0, 1.0
+    design, w = np.stack([np.ones_like(x), x], axis=1), np.array([0.0, 1.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        w = w + np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2), design.T @ (y - p) - 0.01 * w)
+    return float(w[0]), float(max(w[1], 0.0))
+
+
 def training_rows(documents: DataFrame, queries: DataFrame, sample: int) -> list[tuple[str, str]]:
     """A bounded sample of labelled documents and of queries with one label: `sample` rows of each in the order of a hash of their keys."""
     parts = [
@@ -348,28 +398,68 @@ def identify(records: DataFrame, model, titled: bool = False, least_words: int =
     return records.where("text IS NOT NULL AND rec_id IS NOT NULL").select("rec_id", "text", "declared").mapInArrow(run, _SCHEMA)
 
 
-def languages(documents: DataFrame, chunks: DataFrame, queries: DataFrame, sample: int = 12_000) -> DataFrame:
-    """Languages of documents, chunks and golden queries with the labels they were given: rec, rec_id, declared, lang, words, confidence."""
-    spark = documents.sparkSession
+def trained(documents: DataFrame, queries: DataFrame, sample: int = 12_000):  # noqa: ANN201
+    """A broadcast Identifier, or None without any labelled text."""
     rows = training_rows(documents, queries, sample)
+    return documents.sparkSession.sparkContext.broadcast(train(rows)) if rows else None
+
+
+def _records(documents: DataFrame, chunks: DataFrame, queries: DataFrame) -> list[tuple[str, DataFrame, bool, int, int]]:
+    """(kind, rec_id with text and declared, whether a title stands in front, least words of a sentence and of a stretch)."""
     empty = F.array().cast("array<string>")
-    if not rows:
-        return documents.sparkSession.createDataFrame([], "rec string, " + _SCHEMA)
-    model = spark.sparkContext.broadcast(train(rows))
     one = F.when(named(F.col("lang")).isNull(), empty).otherwise(F.array(named(F.col("lang"))))
     several = F.coalesce(F.filter(F.transform("languages", named), lambda x: x.isNotNull()), empty)
-    parts = [
+    return [
         ("documents", documents.select(F.col("doc_id").cast("string").alias("rec_id"), "text", one.alias("declared")), False, 4, 6),
         ("chunks", chunks.select(F.col("chunk_id").alias("rec_id"), "text", one.alias("declared")), True, 4, 6),
         ("surreal_golden_queries", queries.select(F.col("id").alias("rec_id"), F.col("query").alias("text"), several.alias("declared")), False, 3, 3),
     ]
+
+
+def languages(documents: DataFrame, chunks: DataFrame, queries: DataFrame, sample: int = 12_000) -> DataFrame:
+    """Languages of documents, chunks and golden queries with the labels they were given: rec, rec_id, declared, lang, words, confidence."""
+    model = trained(documents, queries, sample)
+    if model is None:
+        return documents.sparkSession.createDataFrame([], "rec string, " + _SCHEMA)
     out = None
-    for rec, part, titled, words, stretch in parts:
+    for rec, part, titled, words, stretch in _records(documents, chunks, queries):
         result = identify(part, model, titled, words, stretch).select(F.lit(rec).alias("rec"), "*")
         out = result if out is None else out.unionByName(result)
     return out
 
 
+_SEGMENTS = "rec_id string, segment int, lang string, words int, confidence double, text string"
+_SEGMENTS_ARROW = pa.schema([("rec_id", pa.string()), ("segment", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("confidence", pa.float64()), ("text", pa.string())])
+
+
+def segments(documents: DataFrame, chunks: DataFrame, queries: DataFrame, sample: int = 12_000) -> DataFrame:
+    """The stretches of every record in order: rec, rec_id, segment, lang, words, confidence, text.
+
+    What takes no language is `und` with confidence 0; so is a record without a sentence, a null or blank text. Headings, code, tables and the like are in no stretch. No shuffle.
+    """
+    model = trained(documents, queries, sample)
+    if model is None:
+        return documents.sparkSession.createDataFrame([], "rec string, " + _SEGMENTS)
+
+    def cutter(titled: bool, words: int, stretch: int):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: Identifier = model.value
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2000):
+                    keys, texts = (c.to_pylist() for c in batch.slice(i, 2000).columns)
+                    found = known.segments_of([prose.sentences(t, titled) if t else [] for t in texts], words, stretch)
+                    columns = list(zip(*[(k, n, *x) for k, f in zip(keys, found, strict=True) for n, x in enumerate(f)], strict=True)) or [()] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS_ARROW, strict=True)], schema=_SEGMENTS_ARROW)
+
+        return run
+
+    out = None
+    for rec, part, titled, words, stretch in _records(documents, chunks, queries):
+        result = part.where("rec_id IS NOT NULL").select("rec_id", "text").mapInArrow(cutter(titled, words, stretch), _SEGMENTS).select(F.lit(rec).alias("rec"), "*")
+        out = result if out is None else out.unionByName(result)
+    return out
+
+
 def unlabelled(found: DataFrame) -> DataFrame:
     """Distinct (rec, rec_id, lang): languages a text holds and its label does not name."""
     return found.where("NOT array_contains(declared, lang)").select("rec", "rec_id", "lang").distinct()

@@ -43,6 +43,10 @@ def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(*(table(spark, folder, t) for t in ("documents", "chunks", "surreal_golden_queries")))
 
 
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segments(*(table(spark, folder, t) for t in ("documents", "chunks", "surreal_golden_queries")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.unlabelled(p2_languages(spark, folder))
 
@@ -103,7 +107,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p1_search": p1_search, "p2_found": p2_found, "p2_languages": p2_languages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p4_balance": p4_balance, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p1_search": p1_search, "p2_found": p2_found, "p2_languages": p2_languages, "p2_segments": p2_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_audit": p4_audit, "p4_balance": p4_balance, "p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p7_uses": p7_uses, "p7_stream": p7_stream, "p7_report": p7_report, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 _SEEN = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{034f}\x{2800}\x{3164}\x{ffa0}\x{fe00}-\x{fe0f}\x{180b}-\x{180e}]"
 P5 = rf"""

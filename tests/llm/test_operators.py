@@ -181,6 +181,32 @@ def test_language_cases(identifier, text, want):
     assert {model.languages[j] for j in model.languages_of([prose.sentences(text)], 4, 6)[0]} == want
 
 
+def test_language_segments(identifier):
+    model, _ = identifier
+    texts = [prose.sentences(t) for t in ("The local heading replaces the archived table. The plan follows the quiet draft. Перед самой встречей, мы пересобрали старый словарь.", "# Title", "")]
+    mixed, title, empty = model.segments_of(texts, 4, 6)
+    assert [(lang, words) for lang, words, *_ in mixed] == [("en", 13), ("ru", 7)]
+    assert mixed[0][3].startswith("The local") and mixed[1][3].endswith("словарь.") and all(0.9 < c <= 1 for _, _, c, _ in mixed)
+    assert title == empty == [("und", 0, 0.0, "")]
+
+
+def test_confidence_is_calibrated(identifier):
+    """Of held-out beginnings of sentences those given a confidence near c are right about as often."""
+    model, held = identifier
+    given, right = [], []
+    for text, label in held:
+        for s in prose.sentences(text)[:3]:
+            words = language._tokens(s)[:3]
+            if len(words) == 3:
+                model.learn(set(words))
+                total = model.scores[[model.known[w] for w in words]].sum(axis=0)
+                order = np.argsort(total)
+                given.append(float(model.confidence(np.array(total[order[-1]] - total[order[-2]]))))
+                right.append(model.languages[order[-1]] == label)
+    given, right = np.array(given), np.array(right)
+    assert len(given) > 200 and abs(given.mean() - right.mean()) < 0.15  # about a tenth of the labels is wrong
+
+
 def test_language_dirty(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "The quiet index was copied from the local plan. " * 20_000, "de"), (4, "The quiet index was copied from the local plan.", "en-US"), (4, "The quiet index was copied from the local plan.", "en-US"), (None, "x", "en")], "doc_id long, text string, lang string").withColumn("rec_id", F.lit("clash"))
     chunks = spark.createDataFrame([], "chunk_id string, text string, lang string")
