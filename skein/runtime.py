@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER: dict[str, str] = {}
+_TEMPORARY: list[str] = []
 
 
 def session(app: str = "skein", cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -30,10 +31,12 @@ def session(app: str = "skein", cores: int | str = "*", partitions: int = 8, **c
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where unset (local tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir of the session; where it is unset a temporary one on a single machine, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDER:
         _LOCAL_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="skein-")
@@ -41,8 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[app]
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder for an intermediate table; drop_temporary deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{unique()}"
+    _TEMPORARY.append(path)
+    return path
+
+
+def drop_temporary(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far; results that read them must have been taken. Returns how many."""
+    n = len(_TEMPORARY)
+    while _TEMPORARY:
+        delete_path(spark, _TEMPORARY.pop())
+    return n
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -58,11 +76,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def rename_path(spark: SparkSession, source: str, target: str) -> bool:
-    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
-    return a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -107,7 +107,10 @@ def watch_files(spark: SparkSession, folder: str, handle: Callable[[DataFrame, i
 
 
 def debounced(events: DataFrame, key: str, at: str, gap_seconds: float = 2.0) -> DataFrame:
-    """Of the events of a key in time order those at least the gap after the last accepted one; the first is accepted. Batch form."""
+    """Of the events of a key in time order those at least the gap after the last accepted one; the first is accepted. Batch form.
+
+    An event that comes a gap after the one before it is accepted whatever was accepted before, so that a key is cut there: a task holds one burst, not a key.
+    """
     def accept(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keep, last = [], None
         for t in frame.sort_values(at)[at]:
@@ -117,7 +120,12 @@ def debounced(events: DataFrame, key: str, at: str, gap_seconds: float = 2.0) ->
         return pd.DataFrame({key: frame[key].iloc[0], at: keep})
 
     kinds = dict(events.dtypes)
-    return events.select(key, at).groupBy(key).applyInPandas(accept, f"{key} {kinds[key]}, {at} {kinds[at]}")
+    order = Window.partitionBy(key).orderBy(at)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    apart = (micros(at) - F.lag(micros(at)).over(order)) >= int(gap_seconds * 1_000_000)
+    bursts = events.where(F.col(at).isNotNull()).select(key, at, F.coalesce(apart, F.lit(True)).cast("int").alias("_cut"))
+    bursts = bursts.withColumn("_burst", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return bursts.groupBy(key, "_burst").applyInPandas(accept, f"{key} {kinds[key]}, {at} {kinds[at]}")
 
 
 def debounced_stream(events: DataFrame, key: str, at: str, gap_seconds: float = 2.0) -> DataFrame:

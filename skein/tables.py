@@ -1,14 +1,13 @@
-"""Versioned tables on a shared folder: every mutation writes a new version and moves a pointer; readers never see half of one."""
+"""Versioned tables on a shared folder: a mutation writes the buckets it touches and publishes a new version at once; a writer that read an older one fails."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein import schemas
-from skein.operators.change_feed import _fs, _point, _pointers
+from skein import schemas, versions
 
 
 def latest(df: DataFrame, key: list[str], *order: str) -> DataFrame:
@@ -49,48 +48,57 @@ def changed(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 class Store:
     """Named tables under a folder."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
+        """buckets: of a new table; each holds the rows a change of one key rewrites."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        return bool(_pointers(self.spark, self._path(name)))
+        return versions.current(self.spark, self._path(name))[0] > 0
 
     def read(self, name: str) -> DataFrame:
         """The current version; empty if there is none."""
-        numbers = _pointers(self.spark, self._path(name))
-        schema = schemas.TABLES[name].schema
-        if not numbers:
-            return self.spark.createDataFrame([], schema)
-        fs, path = _fs(self.spark, self._path(name)), f"{self._path(name)}/CURRENT-{max(numbers)}"
-        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(path))
-        try:
-            version = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return self.spark.read.schema(schema).parquet(f"{self._path(name)}/{version}")
-
-    def overwrite(self, name: str, df: DataFrame) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        writer = schemas.conform(df, name).write
-        if schemas.TABLES[name].partition:
-            writer = writer.partitionBy(*schemas.TABLES[name].partition)
-        writer.parquet(f"{self._path(name)}/{version}")
-        _point(self.spark, self._path(name), version)
+        return versions.read(self.spark, versions.current(self.spark, self._path(name))[1], name, schemas.TABLES[name].schema)
+
+    def _write(self, name: str, df: DataFrame, number: int, buckets: int, kept: dict[str, str]) -> DataFrame:
+        table = schemas.TABLES[name]
+        folders = kept | versions.write(schemas.conform(df, name), self._path(name), name, list(table.key), buckets, list(table.partition))
+        versions.publish(self.spark, self._path(name), number, {name: {"buckets": buckets, "folders": folders}})
         return self.read(name)
 
+    def overwrite(self, name: str, df: DataFrame, read: int | None = None) -> DataFrame:
+        """Replace all rows. read: the number of the version the rows were made from; versions.Conflict if it is current no more."""
+        number = versions.current(self.spark, self._path(name))[0] if read is None else read
+        return self._write(name, df, number, self.buckets, {})
+
+    def number(self, name: str) -> int:
+        return versions.current(self.spark, self._path(name))[0]
+
+    def _changed(self, name: str, rows: DataFrame, key: list[str], how: Callable[[DataFrame, DataFrame, list[str]], DataFrame]) -> DataFrame:
+        """Rewrite the buckets of the rows' keys; all of them if the rows name only a part of the key."""
+        number, manifest = versions.current(self.spark, self._path(name))
+        part = manifest.get(name, {"buckets": self.buckets, "folders": {}})
+        whole = key == list(schemas.TABLES[name].key)
+        hit = versions.touched(rows, key, part["buckets"]) if whole else None
+        kept = {b: f for b, f in part["folders"].items() if hit is not None and int(b) not in hit}
+        if hit is not None and not hit and number:
+            return self.read(name)
+        old = versions.read(self.spark, manifest, name, schemas.TABLES[name].schema, hit)
+        return self._write(name, how(old, rows, key), number, part["buckets"], kept)
+
     def append_new(self, name: str, df: DataFrame) -> DataFrame:
-        return self.overwrite(name, insert_ignore(self.read(name), schemas.conform(df, name), list(schemas.TABLES[name].key)))
+        return self._changed(name, schemas.conform(df, name), list(schemas.TABLES[name].key), insert_ignore)
 
     def merge(self, name: str, df: DataFrame) -> DataFrame:
         """Upsert by the key of the table; of several new rows of a key one."""
         key = list(schemas.TABLES[name].key)
-        return self.overwrite(name, upsert(self.read(name), schemas.conform(df, name).dropDuplicates(key), key))
+        return self._changed(name, schemas.conform(df, name).dropDuplicates(key), key, upsert)
 
     def remove(self, name: str, keys: DataFrame) -> DataFrame:
-        return self.overwrite(name, delete(self.read(name), keys, [c for c in schemas.TABLES[name].key if c in keys.columns]))
+        """Delete by the key of the table, or by those of its columns that keys has."""
+        return self._changed(name, keys, [c for c in schemas.TABLES[name].key if c in keys.columns], delete)
 
     def drop(self, name: str) -> DataFrame:
         return self.overwrite(name, self.spark.createDataFrame([], schemas.TABLES[name].schema))
@@ -120,4 +128,15 @@ class Store:
     def set_feedback(self, identifier: str, status: str) -> DataFrame:
         if status not in ("open", "in_progress", "resolved", "wontfix"):
             raise ValueError(f"unknown status {status}")
-        return self.overwrite("feedback", self.read("feedback").withColumn("status", F.when(F.col("id") == identifier, status).otherwise(F.col("status"))))
+        row = self.read("feedback").where(F.col("id") == identifier).withColumn("status", F.lit(status))
+        return self.merge("feedback", row)
+
+    def delete_feedback(self, identifier: str) -> DataFrame:
+        return self.remove("feedback", self.spark.createDataFrame([(identifier,)], "id string"))
+
+    def save_stats(self, values: dict[str, int]) -> DataFrame:
+        return self.merge("stats", self.spark.createDataFrame(sorted(values.items()), "name string, value long"))
+
+    def load_stats(self) -> dict[str, int]:
+        """A row a statistic."""
+        return {r.name: r.value for r in self.read("stats").collect()}
