@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from skein import runtime
 from skein.functions import text as T
 
 K1, B = 1.2, 0.75
@@ -28,26 +30,57 @@ def ranked(rows: DataFrame, k: int | None = None, score: str = "score", tie: str
 
 
 def postings(texts: DataFrame, column: str) -> DataFrame:
-    """The inverted index of a column of (chunk_id, column): term, chunk_id, tf, len; every whole text, null as empty."""
+    """Postings of a column of (chunk_id, column): term, chunk_id, len, tf; every whole text, null as empty."""
     rows = texts.select("chunk_id", T.words(column).alias("w")).where(F.size("w") > 0)
     return rows.select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
-def statistics(index: DataFrame) -> DataFrame:
-    """One row: number of texts and their mean length, from the postings."""
-    return index.groupBy("chunk_id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+BLOCK_TEXTS = 4096
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, every_term: bool = False, block: int = 5_000) -> DataFrame:
-    """BM25 over postings; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). every_term: texts must hold all terms of the query.
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: postings by blocks of texts and terms, document frequencies, number of texts and their mean length."""
 
-    Queries go in blocks of at most `block`. Postings of the block's terms are gathered by text, each task scores its texts term by term and passes on
+    postings: DataFrame
+    frequencies: DataFrame
+    n: int
+    mean: float
+
+
+def index(texts: DataFrame, column: str, path: str | None = None) -> Index:
+    """Build the index of a column of (chunk_id, column) and store it under path (a new folder without one); open_index reads it again.
+
+    Texts go to blocks of about BLOCK_TEXTS by a hash of their id, so that a search scores block by block.
+    """
+    spark = texts.sparkSession
+    path = path or runtime.new_path(spark, "index")
+    blocks = max(1, -(-texts.count() // BLOCK_TEXTS))
+    rows = postings(texts, column).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
+    tasks = max(1, min(blocks, runtime.partitions(spark)))
+    rows.repartition(tasks, "block").sortWithinPartitions("block", "term").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    # Every posting of a text names its length: each counts for its share of the text.
+    one = stored.groupBy("block", "chunk_id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    one.write.mode("overwrite").parquet(f"{path}/statistics")
+    return open_index(spark, path)
+
+
+def open_index(spark, path: str) -> Index:  # noqa: ANN001
+    stat = spark.read.parquet(f"{path}/statistics").head()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), stat.n, stat.mean or 1.0)
+
+
+def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, block: int = 5_000) -> DataFrame:
+    """BM25 of an index; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). every_term: texts must hold all terms of the query.
+
+    Queries go in blocks of at most `block`. Only postings of their terms are read; a task scores its texts block by block, from the postings alone, and passes on
     its k best a query: neither a frequent term nor a pair of query and text is ever a row of a shuffle.
     """
     spark = queries.sparkSession
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(T.keyword_query("text")))).alias("term"))
-    stat = statistics(index).head()
-    kinds = {f.name: f.dataType for f in (*queries.select("query_id").schema, *index.select("chunk_id").schema)}
+    kinds = {f.name: f.dataType for f in (*queries.select("query_id").schema, *held.postings.select("chunk_id").schema)}
     schema = S.StructType([S.StructField("query_id", kinds["query_id"]), S.StructField("chunk_id", kinds["chunk_id"]), S.StructField("score", S.DoubleType())])
     blocks = max(1, -(-queries.count() // block))
     out = None
@@ -56,47 +89,73 @@ def bm25(queries: DataFrame, index: DataFrame, k: int, every_term: bool = False,
         asked: dict = {}
         for r in part.collect():  # the terms of at most `block` queries
             asked.setdefault(r.query_id, []).append(r.term)
-        wanted = index.join(F.broadcast(part.select("term").distinct()), "term", "left_semi")
-        df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (stat.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (stat.mean or 1.0)))
-        held = spark.sparkContext.broadcast(list(asked.items()))
-        rows = wanted.join(F.broadcast(df), "term").select("chunk_id", "term", weight.alias("w")).repartition("chunk_id")
-        hits = rows.mapInPandas(_term_scores(held, k, every_term), schema)
+        wanted = held.frequencies.join(F.broadcast(part.select("term").distinct()), "term", "left_semi")  # at most their terms
+        idf = F.log(1 + (held.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / held.mean))
+        rows = held.postings.join(F.broadcast(wanted.select("term", idf.alias("idf"))), "term").select("block", "chunk_id", "term", weight.alias("w"))
+        rows = rows.repartition(runtime.partitions(spark), "block").sortWithinPartitions("block")
+        hits = rows.mapInPandas(_term_scores(spark.sparkContext.broadcast(asked), k, every_term), schema)
         out = hits if out is None else out.unionByName(hits)
     return ranked(out, k)
 
 
-def _term_scores(held, k: int, every_term: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames) or [pd.DataFrame({"chunk_id": [], "term": [], "w": []})], ignore_index=True)
-        chunk, names = pd.factorize(rows["chunk_id"], sort=True)
-        names = np.asarray(names)
-        term, known = pd.factorize(rows["term"])
+def _term_scores(asked, k: int, every_term: bool, pairs: int = 2_000_000) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
+    """Rows (block, chunk_id, term, w) that lie by block, as the k best of each query and block; `pairs` of query and posting are held at once."""
+    def scored(rows: pd.DataFrame, names: list, query: np.ndarray, terms: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
+        chunk, ids = pd.factorize(rows["chunk_id"].to_numpy(dtype=object), sort=True)
+        term, known = pd.factorize(rows["term"].to_numpy(dtype=object))
         order = np.argsort(term, kind="stable")
-        chunk, weight, n = chunk[order], rows["w"].to_numpy(dtype=float)[order], len(names)
-        begin = np.searchsorted(term[order], np.arange(len(known) + 1))
-        place = {t: i for i, t in enumerate(known)}
-        for query, terms in held.value:
-            spans = [slice(begin[i], begin[i + 1]) for t in terms if (i := place.get(t)) is not None]
-            if not spans or every_term and len(spans) < len(terms):
+        chunk, weight = chunk[order], rows["w"].to_numpy(dtype=float)[order]
+        begin = np.append(np.searchsorted(term[order], np.arange(len(known))), len(term))
+        at = pd.Index(known).get_indexer(terms)
+        query, at = query[at >= 0], at[at >= 0]
+        count = begin[at + 1] - begin[at]
+        ends = np.cumsum(count)
+        cuts = np.searchsorted(ends, np.arange(pairs, ends[-1] + pairs, pairs)) if len(ends) else []
+        start = 0
+        for cut in cuts:  # a query is never divided
+            stop = int(np.searchsorted(query, query[min(cut, len(query) - 1)], side="right"))
+            if stop <= start:
                 continue
-            at = np.concatenate([chunk[s] for s in spans])
-            score = np.round(np.bincount(at, np.concatenate([weight[s] for s in spans]), n), 6)
+            q, a, n = query[start:stop], at[start:stop], count[start:stop]
+            start = stop
+            place = np.repeat(begin[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            key = np.repeat(q, n) * len(ids) + chunk[place]
+            order = np.argsort(key, kind="stable")
+            key, w = key[order], weight[place][order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            score = np.round(np.add.reduceat(w, first), 6) if len(first) else np.zeros(0)
+            of, text = key[first] // len(ids), key[first] % len(ids)
+            fits = score > 0
             if every_term:
-                score[np.bincount(at, minlength=n) < len(terms)] = 0
-            found = np.flatnonzero(score > 0)
-            if len(found) > k:  # the k best with all their ties, then in the order of names
-                found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
-            found = found[np.argsort(-score[found], kind="stable")[:k]]
-            if not len(found):
-                continue
-            yield pd.DataFrame({"query_id": [query] * len(found), "chunk_id": names[found], "score": score[found]})
+                fits &= np.diff(np.append(first, len(key))) == sizes[of]
+            of, text, score = of[fits], text[fits], score[fits]
+            order = np.lexsort((text, -score, of))
+            of, text, score = of[order], text[order], score[order]
+            head = np.searchsorted(of, of)
+            best = np.arange(len(of)) - head < k
+            if best.any():
+                yield pd.DataFrame({"query_id": [names[i] for i in of[best].tolist()], "chunk_id": [ids[i] for i in text[best].tolist()], "score": score[best]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = list(asked.value)
+        sizes = np.array([len(x) for x in asked.value.values()], dtype=np.int64)
+        query = np.repeat(np.arange(len(names)), sizes)
+        terms = np.array([t for x in asked.value.values() for t in x], dtype=object)
+        kept: list[pd.DataFrame] = []
+        for frame in frames:
+            for value, rows in frame.groupby("block", sort=False):
+                if kept and kept[0]["block"].iloc[0] != value:
+                    yield from scored(pd.concat(kept, ignore_index=True), names, query, terms, sizes)
+                    kept = []
+                kept.append(rows)
+        if kept:
+            yield from scored(pd.concat(kept, ignore_index=True), names, query, terms, sizes)
 
     return run
 
 
-def fielded(queries: DataFrame, title_index: DataFrame, text_index: DataFrame, k: int) -> DataFrame:
+def fielded(queries: DataFrame, title_index: Index, text_index: Index, k: int) -> DataFrame:
     """Both fields by themselves, each limited to k, then 5 * title + 1 * text."""
     parts = bm25(queries, title_index, k).select("query_id", "chunk_id", (F.col("score") * TITLE_BOOST).alias("score")).unionByName(
         bm25(queries, text_index, k).select("query_id", "chunk_id", (F.col("score") * TEXT_BOOST).alias("score")))
@@ -132,21 +191,36 @@ def _unit(rows: list, length: int) -> np.ndarray:
     return np.nan_to_num(out / np.where(norm > 0, norm, 1.0))
 
 
+def _top(score: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, best first, ties in the order of names; names are one row or as many as score has."""
+    names = np.broadcast_to(names, score.shape)
+    if score.shape[1] > 4 * k:
+        some = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(score, some, axis=1).min(axis=1, keepdims=True)
+        crowded = (score >= least).sum(axis=1) > k  # more at the border than places
+        if crowded.any():
+            some[crowded] = np.lexsort((names[crowded], -score[crowded]))[:, :k]
+        score, names = np.take_along_axis(score, some, axis=1), np.take_along_axis(names, some, axis=1)
+    order = np.lexsort((names, -score))[:, :k]
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+
 def _nearest(held, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = [q for q, _ in held.value]
         length = max((len(v) for _, v in held.value if v is not None), default=0)
         q = _unit([v for _, v in held.value], length)
-        best: list[list[tuple]] = [[] for _ in ids]
+        best: tuple[np.ndarray, np.ndarray] | None = None
         for frame in frames:
             names = frame["chunk_id"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            names, v = names[order], _unit(frame["vector"].to_numpy()[order].tolist(), length)
-            score = np.round(q @ v.T, 6) + 0.0
-            for i, row in enumerate(score):
-                first = np.argsort(-row, kind="stable")[:k]  # names are sorted, so that ties keep their order
-                best[i] = sorted([*best[i], *((-row[j], names[j]) for j in first.tolist())])[:k]
-        yield pd.DataFrame([(i, n, -s) for i, rows in zip(ids, best, strict=True) for s, n in rows], columns=["query_id", "chunk_id", "score"])
+            names = names.astype(str) if names.dtype == object else names
+            score = np.round(q @ _unit(frame["vector"].tolist(), length).T, 6) + 0.0
+            if len(names) and len(ids):
+                found = _top(score, names[None, :], k)
+                best = found if best is None else _top(np.concatenate([best[0], found[0]], axis=1), np.concatenate([best[1], found[1]], axis=1), k)
+        if best is not None:
+            width = best[0].shape[1]
+            yield pd.DataFrame({"query_id": [i for i in ids for _ in range(width)], "chunk_id": best[1].ravel().tolist(), "score": best[0].ravel()})
 
     return run
 
@@ -283,16 +357,24 @@ def snippet(texts: pd.Series, queries: pd.Series, lengths: pd.Series) -> pd.Seri
     return pd.Series([t if t is None or len(t) <= n else _excerpt(t, w, int(n)) for t, w, n in zip(texts, words, lengths, strict=True)], dtype=object)
 
 
-def expanded(queries: DataFrame, acronyms: DataFrame, distance: int = 1, most: int = 20_000) -> DataFrame:
+def _deletions(word: Column, distance: int) -> Column:
+    """The word and all that is left of it after up to `distance` letters are taken out."""
+    out = F.array(word)
+    for _ in range(distance):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))))))
+    return out
+
+
+def expanded(queries: DataFrame, acronyms: DataFrame, distance: int = 1) -> DataFrame:
     """query_id, original, text, expansions: acronyms of a query (exact, else the nearest within the distance, ties by name) with their expansions after them and again at the end.
 
-    acronyms (acronym, expansions), one row each; up to `most` of them are broadcast to find the near ones.
+    acronyms (acronym, expansions), one row each. Two words within the distance share a word that is left of either after as many deletions, so that near ones
+    meet by an equi-join, whatever the number of acronyms; the distance itself is then checked.
     """
     tokens = queries.select("query_id", "text", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "token")).withColumn("clean", F.regexp_replace(F.upper("token"), "[^A-Z]", ""))
-    known = acronyms.select(F.col("acronym").alias("a"), "expansions")
-    if acronyms.count() <= most:
-        known = F.broadcast(known)
-    near = tokens.where(F.length("clean") >= 2).join(known, F.levenshtein(F.col("clean"), F.col("a"), distance).between(0, distance))
+    asked = tokens.where(F.length("clean") >= 2).select("query_id", "at", "clean", F.explode(_deletions(F.col("clean"), distance)).alias("left"))
+    known = acronyms.select(F.col("acronym").alias("a"), "expansions", F.explode(_deletions(F.col("acronym"), distance)).alias("left"))
+    near = asked.join(known, "left").where(F.levenshtein(F.col("clean"), F.col("a"), distance).between(0, distance))
     best = near.groupBy("query_id", "at").agg(F.min_by("expansions", F.struct(F.levenshtein("clean", "a"), "a")).alias("e"))
     rows = tokens.join(best, ["query_id", "at"], "left").withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
     word = F.struct("at", F.array_join(F.concat(F.array("token"), "e"), " ").alias("x"), "e")

@@ -35,19 +35,19 @@ def _texts(t: Tables) -> DataFrame:
 
 @query("k3_bm25", f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM keyword")
 def k3(t: Tables) -> DataFrame:
-    return retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 10)
+    return retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 10)
 
 
 @query("k3_bm25_every_term", f"""WITH {_BM25}, n AS (SELECT query_id, count(*) AS terms FROM q GROUP BY 1)
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits JOIN n USING (query_id) WHERE matched = terms QUALIFY rank <= 10""")
 def k3_every(t: Tables) -> DataFrame:
-    return retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 10, every_term=True)
+    return retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 10, every_term=True)
 
 
 @query("k3_fielded")
 def k3_fielded(t: Tables) -> DataFrame:
     texts = _texts(t)
-    return retrieval.fielded(_queries(t), retrieval.postings(texts, "title"), retrieval.postings(texts, "text"), 10)
+    return retrieval.fielded(_queries(t), retrieval.index(texts, "title"), retrieval.index(texts, "text"), 10)
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -141,7 +141,7 @@ far AS (SELECT query_id, source_id AS chunk_id, round(sum(weight), 6) AS score F
 kept AS (SELECT far.* FROM far WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.query_id = far.query_id AND seed = chunk_id))
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kept QUALIFY rank <= 10""")
 def k14(t: Tables) -> DataFrame:
-    seeds = retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 10)
+    seeds = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 10)
     rows = graph.enriched(seeds, _relations(t), t.chunks, 1 << 30, most_seeds=8).drop("rank")
     return retrieval.ranked(rows.withColumn("score", F.round("score", 6)), 10)
 
@@ -164,8 +164,8 @@ final AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 
 def _fused(t: Tables) -> DataFrame:
     q, texts = _queries(t), _texts(t)
-    lists = retrieval.bm25(q, retrieval.postings(texts, "title"), 10).select("query_id", F.lit("semantic").alias("engine"), "chunk_id", "rank").unionByName(
-        retrieval.bm25(q, retrieval.postings(texts, "text"), 10).select("query_id", F.lit("keyword").alias("engine"), "chunk_id", "rank"))
+    lists = retrieval.bm25(q, retrieval.index(texts, "title"), 10).select("query_id", F.lit("semantic").alias("engine"), "chunk_id", "rank").unionByName(
+        retrieval.bm25(q, retrieval.index(texts, "text"), 10).select("query_id", F.lit("keyword").alias("engine"), "chunk_id", "rank"))
     return retrieval.reciprocal_rank_fusion(lists)
 
 
@@ -178,7 +178,7 @@ def k16(t: Tables) -> DataFrame:
 def hybrid(t: Tables) -> DataFrame:
     """Keyword over both fields, hashed vectors of all chunks, graph; fused, reranked, blended, with snippets."""
     q, texts, relations = _queries(t), runtime.materialize(_texts(t), "texts"), runtime.materialize(_relations(t), "relations")
-    titles, words = (runtime.materialize(retrieval.postings(texts, c), "postings") for c in ("title", "text"))
+    titles, words = (retrieval.index(texts, c) for c in ("title", "text"))
     keyword = retrieval.fielded(q, titles, words, 20)
     encode = embedding.hashing_encoder()
     semantic = retrieval.knn(embedding.encoded(q, "text", encode), embedding.encoded(texts, "text", encode).select("chunk_id", "vector"), 20, 0.85)
@@ -197,7 +197,7 @@ def k18(t: Tables) -> DataFrame:
 
 @query("k18_reranked")
 def k18_reranked(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 20)
+    hits = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 20)
     pairs = hits.join(_texts(t).select("chunk_id", "text"), "chunk_id").join(_queries(t).select("query_id", F.col("text").alias("query")), "query_id")
     return retrieval.reranked(pairs.select("query_id", "chunk_id", "query", "text")).select("query_id", "chunk_id", "rerank_score", "rank")
 
@@ -213,7 +213,7 @@ def k19(t: Tables) -> DataFrame:
 
 @query("k20_snippets")
 def k20(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "text"), 5).withColumn("engines", F.array(F.lit("keyword")))
+    hits = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 5).withColumn("engines", F.array(F.lit("keyword")))
     return retrieval.candidates(hits, t.chunks, _queries(t))
 
 
@@ -229,7 +229,7 @@ al AS (SELECT own.query_id, ref, 'local' AS origin, 0 AS o, n FROM own LEFT JOIN
 SELECT query_id, ref, origin, row_number() OVER (PARTITION BY query_id ORDER BY o, n) AS position FROM al""")
 def k25(t: Tables) -> DataFrame:
     local = _fused(t).select("query_id", F.col("chunk_id").alias("ref"), "score")
-    fed = retrieval.bm25(_queries(t), retrieval.postings(_texts(t), "title"), 10).select("query_id", F.col("chunk_id").alias("ref"), F.lit("gmail").alias("namespace"), F.lit("").alias("snippet"), F.col("rank").alias("native_rank"))
+    fed = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "title"), 10).select("query_id", F.col("chunk_id").alias("ref"), F.lit("gmail").alias("namespace"), F.lit("").alias("snippet"), F.col("rank").alias("native_rank"))
     return retrieval.quota_merge(local, fed, 10, 3)
 
 
@@ -237,14 +237,14 @@ def k25(t: Tables) -> DataFrame:
 SELECT query_id, engine, ref, chunk_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id, engine, ref ORDER BY rank, chunk_id) = 1""")
 def f9(t: Tables) -> DataFrame:
     q, texts = _queries(t), _texts(t)
-    lists = retrieval.bm25(q, retrieval.postings(texts, "title"), 10).withColumn("engine", F.lit("semantic")).unionByName(retrieval.bm25(q, retrieval.postings(texts, "text"), 10).withColumn("engine", F.lit("keyword")))
+    lists = retrieval.bm25(q, retrieval.index(texts, "title"), 10).withColumn("engine", F.lit("semantic")).unionByName(retrieval.bm25(q, retrieval.index(texts, "text"), 10).withColumn("engine", F.lit("keyword")))
     return retrieval.first_of_ref(lists, t.chunks.where("ref IS NOT NULL")).select("query_id", "engine", "ref", "chunk_id", "rank")
 
 
 @query("g23_overlap", rf"{_LISTS}, a AS (SELECT query_id, list(chunk_id) AS x FROM titles GROUP BY 1), b AS (SELECT query_id, list(chunk_id) AS y FROM keyword GROUP BY 1) SELECT query_id, len(list_intersect(x, y)) AS shared FROM a JOIN b USING (query_id)")
 def g23(t: Tables) -> DataFrame:
     q, texts = _queries(t), _texts(t)
-    a, b = (retrieval.bm25(q, retrieval.postings(texts, c), 10) for c in ("title", "text"))
+    a, b = (retrieval.bm25(q, retrieval.index(texts, c), 10) for c in ("title", "text"))
     return retrieval.overlap(a, b, 10).withColumn("shared", F.col("shared").cast("long"))
 
 

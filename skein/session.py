@@ -65,7 +65,7 @@ class Engine:
         live = chunks.join(provenance.active_provenance(found, bindings).select("chunk_id"), "chunk_id", "left_semi")
         text = retrieval.expanded(queries, extraction.acronym_dictionary(live))
         size = max(self.settings.rerank_pool, 5 * k, k + 50)
-        keyword = retrieval.fielded(text, retrieval.postings(live, "title"), retrieval.postings(live, "text"), size)
+        keyword = retrieval.fielded(text, *self._keyword_indexes(live), size)
         vectors = self.store.read("embeddings").where(F.col("embedding_model") == self.model).join(live.select("chunk_id"), "chunk_id", "left_semi")
         semantic = retrieval.knn(embedding.encoded(text, "text", self.encode), vectors, size, self.settings.score_floor)
         names = graph.catalogue(self.store.read("nodes").where(F.col("table") == "entities").select(F.col("id").alias("name")))
@@ -81,6 +81,15 @@ class Engine:
         top = mixed.where(F.col("rank") <= k).select("query_id", "chunk_id", F.col("blended").alias("score"), "engines", "rank")
         return retrieval.candidates(top, live, queries)
 
+    def _keyword_indexes(self, live: DataFrame) -> list[retrieval.Index]:
+        """The stored indexes of titles and texts; built where the chunks, bindings or provenance have changed since."""
+        state = "-".join(str(self.store.number(t)) for t in ("chunks", "bindings", "provenance"))
+        out = []
+        for column in ("title", "text"):
+            path = f"{self.store.root}/_index/{column}-{state}"
+            out.append(retrieval.open_index(self.spark, path) if runtime.exists(self.spark, f"{path}/statistics/_SUCCESS") else retrieval.index(live, column, path))
+        return out
+
     def read(self, ref: str, begin: int = 0, end: int | None = None) -> DataFrame:
         return provenance.read(self.store.read("chunks"), self.store.read("bindings"), ref, begin, end)
 
