@@ -44,7 +44,9 @@ def named(label: Column) -> Column:
 
 
 def _tokens(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.lower())
+    """Lower-case words; none of what has white space between fewer than half of them (encoded data), which is no language."""
+    words = _WORD.findall(sentence.lower())
+    return [] if len(words) > 5 and 2 * sentence.count(" ") < len(words) else words
 
 
 def _plain(word: str) -> str:
