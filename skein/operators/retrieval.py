@@ -357,7 +357,7 @@ def snippet(texts: pd.Series, queries: pd.Series, lengths: pd.Series) -> pd.Seri
     return pd.Series([t if t is None or len(t) <= n else _excerpt(t, w, int(n)) for t, w, n in zip(texts, words, lengths, strict=True)], dtype=object)
 
 
-def _deletions(word: Column, distance: int) -> Column:
+def deletions(word: Column, distance: int) -> Column:
     """The word and all that is left of it after up to `distance` letters are taken out."""
     out = F.array(word)
     for _ in range(distance):
@@ -372,8 +372,8 @@ def expanded(queries: DataFrame, acronyms: DataFrame, distance: int = 1) -> Data
     meet by an equi-join, whatever the number of acronyms; the distance itself is then checked.
     """
     tokens = queries.select("query_id", "text", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "token")).withColumn("clean", F.regexp_replace(F.upper("token"), "[^A-Z]", ""))
-    asked = tokens.where(F.length("clean") >= 2).select("query_id", "at", "clean", F.explode(_deletions(F.col("clean"), distance)).alias("left"))
-    known = acronyms.select(F.col("acronym").alias("a"), "expansions", F.explode(_deletions(F.col("acronym"), distance)).alias("left"))
+    asked = tokens.where(F.length("clean") >= 2).select("query_id", "at", "clean", F.explode(deletions(F.col("clean"), distance)).alias("left"))
+    known = acronyms.select(F.col("acronym").alias("a"), "expansions", F.explode(deletions(F.col("acronym"), distance)).alias("left"))
     near = asked.join(known, "left").where(F.levenshtein(F.col("clean"), F.col("a"), distance).between(0, distance))
     best = near.groupBy("query_id", "at").agg(F.min_by("expansions", F.struct(F.levenshtein("clean", "a"), "a")).alias("e"))
     rows = tokens.join(best, ["query_id", "at"], "left").withColumn("e", F.coalesce("e", F.array().cast("array<string>")))

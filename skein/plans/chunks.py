@@ -42,7 +42,9 @@ def c4(t: Tables) -> DataFrame:
     return chunking.chunked(t.documents.select(F.col("doc_id").cast("string").alias("document_ref"), "kind", "text"))
 
 
-@query("c5_speaker_turns")
+@query("c5_speaker_turns", r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n(\[\d{2}:\d{2}:\d{2}\]\s*\*\*)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE kind = 'meeting_transcript' AND text IS NOT NULL)
+SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS at, unnest(l) AS turn FROM s""")
 def c5(t: Tables) -> DataFrame:
     return t.documents.where("kind = 'meeting_transcript'").select("doc_id", F.posexplode(chunking.speaker_turns(F.col("text"))).alias("at", "turn"))
 
@@ -90,18 +92,26 @@ def d1(t: Tables) -> DataFrame:
     return extraction.wikilinks(t.chunks).select("source_id", "target_id")
 
 
-@query("d2_inline_tags", r"""
-WITH l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line FROM chunks)
-SELECT DISTINCT chunk_id AS source_id, unnest(regexp_extract_all(line, '(?:^|\s)#([A-Za-z_][A-Za-z0-9_/-]*)', 1)) AS target_id FROM l WHERE NOT regexp_matches(line, '^#{1,6}\s')""")
+_TAGGED = "(SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'of #' || lower(kind) || chr(10) || '#' || namespace || ' here' || chr(10) || '# not #one' AS text FROM documents WHERE kind IS NOT NULL AND namespace IS NOT NULL)"
+
+
+@query("d2_inline_tags", rf"""
+WITH l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line FROM {_TAGGED})
+SELECT DISTINCT chunk_id AS source_id, unnest(regexp_extract_all(line, '(?:^|\s)#([A-Za-z_][A-Za-z0-9_/-]*)', 1)) AS target_id FROM l WHERE NOT regexp_matches(line, '^#{{1,6}}\s')""")
 def d2(t: Tables) -> DataFrame:
-    return extraction.inline_tags(t.chunks).select("source_id", "target_id")
+    """No text here has tags: kinds and namespaces are written as such."""
+    text = F.concat(F.lit("of #"), F.lower("kind"), F.lit("\n#"), "namespace", F.lit(" here\n# not #one"))
+    return extraction.inline_tags(t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), text.alias("text")).where("text IS NOT NULL")).select("source_id", "target_id")
 
 
 @query("d3_markdown_links", r"""
-WITH l AS (SELECT chunk_id, unnest(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+\.md(?:#[^)]*)?)\)', 1)) AS link_text, unnest(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+\.md(?:#[^)]*)?)\)', 2)) AS target FROM chunks)
+WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'see [' || title || '](' || document_ref || '#top) and [x](y.txt)' AS text FROM documents),
+l AS (SELECT chunk_id, unnest(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+\.md(?:#[^)]*)?)\)', 1)) AS link_text, unnest(regexp_extract_all(text, '\[([^\]]+)\]\(([^)]+\.md(?:#[^)]*)?)\)', 2)) AS target FROM c)
 SELECT DISTINCT chunk_id AS source_id, regexp_replace(target, '#.*$', '') AS target_id, link_text FROM l""")
 def d3(t: Tables) -> DataFrame:
-    return extraction.markdown_links(t.chunks).select("source_id", "target_id", "link_text")
+    """No text here links to files: titles are linked to the paths of their documents."""
+    text = F.concat(F.lit("see ["), "title", F.lit("]("), "document_ref", F.lit("#top) and [x](y.txt)"))
+    return extraction.markdown_links(t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), text.alias("text"))).select("source_id", "target_id", "link_text")
 
 
 @query("d4_parents", """

@@ -44,12 +44,6 @@ def k3_every(t: Tables) -> DataFrame:
     return retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 10, every_term=True)
 
 
-@query("k3_fielded")
-def k3_fielded(t: Tables) -> DataFrame:
-    texts = _texts(t)
-    return retrieval.fielded(_queries(t), retrieval.index(texts, "title"), retrieval.index(texts, "text"), 10)
-
-
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 _COS = f"CASE WHEN sqrt({_DOT.format(a='q.v', b='q.v')}) * sqrt({_DOT.format(a='e.v', b='e.v')}) > 0 THEN {_DOT.format(a='q.v', b='e.v')} / (sqrt({_DOT.format(a='q.v', b='q.v')}) * sqrt({_DOT.format(a='e.v', b='e.v')})) ELSE 0 END"
 
@@ -109,7 +103,7 @@ def k10(t: Tables) -> DataFrame:
     return graph.catalogue(_relations(t).select(F.col("target_id").alias("name")))
 
 
-@query("k11_matched_entities")
+@query("k11_matched_entities", rf"WITH {_REL}, {_MATCH} SELECT query_id, name FROM match")
 def k11(t: Tables) -> DataFrame:
     return _matches(t, _relations(t))
 
@@ -162,6 +156,14 @@ fused AS (SELECT query_id, chunk_id, round(sum(1.0e0 / (60 + rank)), 9) AS score
 final AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t.o, t.r, chunk_id) AS rank FROM fused)"""
 
 
+@query("k3_fielded", rf"""{_LISTS}, f AS (SELECT query_id, chunk_id, 5.0e0 * score AS score FROM titles UNION ALL SELECT query_id, chunk_id, 1.0e0 * score FROM keyword),
+s AS (SELECT query_id, chunk_id, round(sum(score), 6) AS score FROM f GROUP BY 1, 2)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""")
+def k3_fielded(t: Tables) -> DataFrame:
+    texts = _texts(t)
+    return retrieval.fielded(_queries(t), retrieval.index(texts, "title"), retrieval.index(texts, "text"), 10)
+
+
 def _fused(t: Tables) -> DataFrame:
     q, texts = _queries(t), _texts(t)
     lists = retrieval.bm25(q, retrieval.index(texts, "title"), 10).select("query_id", F.lit("semantic").alias("engine"), "chunk_id", "rank").unionByName(
@@ -195,7 +197,11 @@ def k18(t: Tables) -> DataFrame:
     return t.chunks.select("chunk_id", F.round(retrieval.length_penalty(F.lit(1.0), F.col("text"), 200), 6).alias("score")).distinct()
 
 
-@query("k18_reranked")
+@query("k18_reranked", rf"""WITH {_BM25}, top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM hits QUALIFY r <= 20),
+asked AS (SELECT id AS query_id, list_distinct({_WORDS.format('max(query)')}) AS qw FROM surreal_golden_queries GROUP BY id),
+p AS (SELECT query_id, chunk_id, text, len(list_intersect(qw, list_distinct({_WORDS.format('text')}))) / greatest(1, len(qw))::DOUBLE AS score FROM top JOIN text1 USING (chunk_id) JOIN asked USING (query_id)),
+f AS (SELECT query_id, chunk_id, round(CASE WHEN length(text) < 200 THEN score - 0.2e0 * (1 - length(text) / 200.0e0) ELSE score END, 6) AS rerank_score FROM p)
+SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM f""")
 def k18_reranked(t: Tables) -> DataFrame:
     hits = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 20)
     pairs = hits.join(_texts(t).select("chunk_id", "text"), "chunk_id").join(_queries(t).select("query_id", F.col("text").alias("query")), "query_id")
@@ -254,10 +260,12 @@ def k1(t: Tables) -> DataFrame:
     return retrieval.expanded(_queries(t), known)
 
 
-@query("f18_fuzzy_terms", "WITH a AS (SELECT DISTINCT sender AS s FROM senders) SELECT a.s AS a, b.s AS b FROM a, a b WHERE a.s < b.s AND levenshtein(a.s, b.s) <= 2")
+@query("f18_fuzzy_terms", "SELECT DISTINCT s.sender AS a, d.display_name AS b FROM senders s, senders d WHERE levenshtein(split_part(s.sender, '_', 1), lower(d.display_name)) <= 1")
 def f18(t: Tables) -> DataFrame:
-    a = t.senders.select(F.col("sender").alias("a")).distinct()
-    return a.join(F.broadcast(a.select(F.col("a").alias("b"))), (F.col("a") < F.col("b")) & (F.levenshtein("a", "b") <= 2))  # a fixed table of 240 rows
+    handle, name = F.split("sender", "_")[0], F.lower("display_name")
+    a = t.senders.where("sender IS NOT NULL").select(F.col("sender").alias("a"), handle.alias("x"), F.explode(retrieval.deletions(handle, 1)).alias("left"))
+    b = t.senders.where("display_name IS NOT NULL").select(F.col("display_name").alias("b"), name.alias("y"), F.explode(retrieval.deletions(name, 1)).alias("left"))
+    return a.join(b, "left").where(F.levenshtein("x", "y") <= 1).select("a", "b").distinct()
 
 
 @query("k29_cache_layers", """

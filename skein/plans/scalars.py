@@ -26,7 +26,10 @@ def a7(t: Tables) -> DataFrame:
     return t.documents.where("text IS NOT NULL").select("doc_id", F.md5(chunking.body_text(F.col("text"))).alias("body"))
 
 
-@query("a8_titles")
+@query("a8_titles", r"""
+WITH d AS (SELECT doc_id, document_ref, text, CASE WHEN text LIKE '---%' AND instr(text[4:], '---') > 0 THEN split_part(text[4:], '---', 1) END AS front FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, CASE WHEN front IS NULL THEN text ELSE text[length(front) + 7:] END AS body FROM d)
+SELECT doc_id, coalesce(nullif(trim(regexp_extract(front, '(?m)^title:[ ]*(.*)$', 1), ' ' || chr(34) || chr(39)), ''), nullif(trim(regexp_extract(body, '(?m)^# (.+)$', 1)), ''), regexp_replace(split_part(document_ref, '/', -1), '\.[^.]*$', '')) AS title FROM b""")
 def a8(t: Tables) -> DataFrame:
     d = t.documents.where("text IS NOT NULL").select("doc_id", F.col("document_ref").alias("path"), F.col("text"))
     d = d.withColumn("fields", chunking.frontmatter_map(chunking.frontmatter_block(F.col("text"))))
@@ -74,7 +77,9 @@ def l2(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(T.tokens("text")).cast("long").alias("n")).where("n > 0")
 
 
-@query("l4_sentences")
+@query("l4_sentences", r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS at, unnest(l) AS sentence FROM s""")
 def l4(t: Tables) -> DataFrame:
     return t.documents.where("text IS NOT NULL").select("doc_id", F.posexplode(T.sentences("text")).alias("at", "sentence"))
 
@@ -178,7 +183,7 @@ def k2(t: Tables) -> DataFrame:
     return t.surreal_golden_queries.where("query IS NOT NULL").select("id", T.keyword_query("query").alias("text"))
 
 
-@query("c14_html_text")
+@query("c14_html_text", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL""")
 def c14(t: Tables) -> DataFrame:
     page = F.concat(F.lit("<html><style>p{}</style><p>"), F.regexp_replace("text", "&", "&amp;"), F.lit("</p></html>"))
     return t.documents.where("text IS NOT NULL").select("doc_id", T.html_text(page).alias("text"))

@@ -34,9 +34,9 @@ def b3(t: Tables) -> DataFrame:
     return tables.upsert(old, new, ["chunk_id"])
 
 
-@query("b6_changed_rows", "SELECT l.doc_id, l.quality FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) o USING (doc_id) WHERE l.quality IS DISTINCT FROM o.quality")
+@query("b6_changed_rows", "SELECT l.doc_id, l.quality FROM (SELECT doc_id, max(toxic) AS quality FROM labels GROUP BY 1) l LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) o USING (doc_id) WHERE l.quality IS DISTINCT FROM o.quality")
 def b6(t: Tables) -> DataFrame:
-    old, new = (t.labels.groupBy("doc_id").agg(f("quality").alias("quality")) for f in (F.min, F.max))
+    old, new = (t.labels.groupBy("doc_id").agg(f(c).alias("quality")) for f, c in ((F.min, "quality"), (F.max, "toxic")))  # two columns stand for two versions
     return tables.changed(old, new, ["doc_id"])
 
 
@@ -86,9 +86,10 @@ def f3(t: Tables) -> DataFrame:
     return provenance.file_chunks(t.chunks).where("chunk_index >= 1 AND chunk_index < 4")
 
 
-@query("f4_missing_provenance", f"WITH {_PROV} SELECT DISTINCT chunk_id FROM vector_components WHERE chunk_id NOT IN (SELECT chunk_id FROM prov)")
+@query("f4_missing_provenance", "SELECT DISTINCT chunk_id FROM vector_components WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks JOIN chunk_vectors USING (chunk_id) WHERE ref IS NOT NULL)")
 def f4(t: Tables) -> DataFrame:
-    return provenance.without_provenance(t.vector_components, provenance.provenance_of(t.chunks))
+    """Provenance is that of the chunks that have a vector."""
+    return provenance.without_provenance(t.vector_components, provenance.provenance_of(t.chunks.join(t.chunk_vectors.select("chunk_id"), "chunk_id", "left_semi")))
 
 
 @query("f5_backfilled_provenance", f"""
@@ -100,9 +101,9 @@ def f5(t: Tables) -> DataFrame:
     return provenance.backfilled(t.chunks, held, t.documents).select("chunk_id", "document_ref", "ref", "parser_name")
 
 
-@query("f6_missing_documents", f"WITH {_PROV} SELECT DISTINCT ref FROM prov WHERE ref NOT IN (SELECT ref FROM documents WHERE ref IS NOT NULL)")
+@query("f6_missing_documents", f"WITH {_PROV} SELECT DISTINCT ref FROM prov WHERE ref NOT IN (SELECT ref FROM documents WHERE ref IS NOT NULL AND lang IS NOT NULL)")
 def f6(t: Tables) -> DataFrame:
-    return provenance.without_document(provenance.provenance_of(t.chunks), t.documents)
+    return provenance.without_document(provenance.provenance_of(t.chunks), t.documents.where("lang IS NOT NULL"))  # documents with a label count as stored
 
 
 @query("f7_retained_chunks", f"WITH {_PROV}, {_BIND} SELECT count(DISTINCT chunk_id) AS retained FROM prov JOIN bind USING (ref) WHERE NOT active")
@@ -187,7 +188,9 @@ def h3(t: Tables) -> DataFrame:
     return provenance.unit_window(m, 2, 3).select("dialog_id", "message_id", F.array_join(F.transform("window", lambda x: x.cast("string")), ",").alias("around"))
 
 
-@query("h9_debounced")
+@query("h9_debounced", """
+WITH RECURSIVE a AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1 UNION ALL
+SELECT a.user_id, min(e.ts) FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 2 SECOND GROUP BY a.user_id) SELECT user_id, ts FROM a""")
 def h9(t: Tables) -> DataFrame:
     return ingest.debounced(t.events, "user_id", "ts", 2.0)
 
@@ -268,9 +271,9 @@ def m14(t: Tables) -> DataFrame:
     return provenance.holders_cascade(b, b.where(F.contains("file_path", F.lit("/vault/"))))[1]
 
 
-@query("m15_orphans", "SELECT DISTINCT p FROM (SELECT unnest(file_paths) AS p FROM chunks) WHERE p NOT IN (SELECT document_ref FROM documents WHERE document_ref IS NOT NULL)")
+@query("m15_orphans", "SELECT DISTINCT p FROM (SELECT unnest(file_paths) AS p FROM chunks) WHERE p NOT IN (SELECT document_ref FROM documents WHERE document_ref IS NOT NULL AND lang IS NOT NULL)")
 def m15(t: Tables) -> DataFrame:
-    return t.chunks.select(F.explode("file_paths").alias("p")).distinct().join(t.documents.select(F.col("document_ref").alias("p")), "p", "left_anti")
+    return t.chunks.select(F.explode("file_paths").alias("p")).distinct().join(t.documents.where("lang IS NOT NULL").select(F.col("document_ref").alias("p")), "p", "left_anti")  # documents with a label count as files on disk
 
 
 @query("m16_stale_relations")
@@ -346,7 +349,10 @@ def x3(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_custkey", "o_totalprice").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
 
-@query("x4_session_events")
+@query("x4_session_events", """
+WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def x4(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("begin"), F.col("s.end").alias("end"), "n")
 
@@ -402,10 +408,10 @@ def d19(t: Tables) -> DataFrame:
     return graph.export(nodes, r).groupBy("item").agg(F.count("*").alias("n"))
 
 
-@query("e11_selected_rows", f"WITH {_TOMB} SELECT DISTINCT chunk_id FROM chunks WHERE ref IN (SELECT ref FROM delta_changes WHERE lower(trim(change_type)) = 'upsert') AND ref NOT IN (SELECT ref FROM tomb)")
+@query("e11_selected_rows", f"WITH {_TOMB} SELECT DISTINCT target_table, ref FROM delta_changes WHERE lower(trim(change_type)) = 'upsert' AND ref IS NOT NULL AND ref NOT IN (SELECT ref FROM tomb)")
 def e11(t: Tables) -> DataFrame:
-    up = t.delta_changes.where(F.lower(F.trim("change_type")) == "upsert").select("ref").distinct()
-    return t.chunks.join(up, "ref", "left_semi").join(_tombstones(t), "ref", "left_anti").select("chunk_id").distinct()
+    up = t.delta_changes.where(F.lower(F.trim("change_type")) == "upsert").where("ref IS NOT NULL")
+    return up.join(_tombstones(t), "ref", "left_anti").select("target_table", "ref").distinct()
 
 
 @query("f2_unit_chunks", "SELECT DISTINCT unnest(source_unit_refs) AS unit, chunk_id, chunk_index FROM chunks")
