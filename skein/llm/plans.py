@@ -129,6 +129,11 @@ UNION SELECT d.dialog_id, 'broken' FROM dialogs d LEFT JOIN state USING (dialog_
 UNION SELECT dialog_id, 'no_reply' FROM state WHERE shown AND NOT coalesce(asked < answered, false)
 """
 
+CONVERSATIONS = P5.replace("SELECT dialog_id, message_id, reply_to_msg_id, text, is_deleted,", "SELECT dialog_id, message_id, reply_to_msg_id, text, is_deleted, sender, sent_at,", 1).replace("SELECT d.dialog_id, 'empty'", ", faults AS (SELECT d.dialog_id, 'empty'", 1) + """)
+SELECT dialog_id, message_id, sender, role, sent_at, text, reply_to_msg_id, visible, row_number() OVER (PARTITION BY dialog_id ORDER BY message_id) AS turn
+FROM given WHERE visible AND dialog_id NOT IN (SELECT dialog_id FROM faults)
+"""
+
 ORACLES = {"p4_found": r"""
 WITH sized AS (SELECT DISTINCT chunk_id, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size FROM chunks),
 over AS (SELECT *, list_max(list_transform(regexp_split_to_array(text, '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda r: strlen(r) // 4)) AS run
@@ -138,4 +143,4 @@ SELECT chunk_id, CASE WHEN max(CASE WHEN run > size THEN 1 ELSE 0 END) = 1 THEN
 WITH sized AS (SELECT DISTINCT chunk_id, chunk_strategy, text, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 1) AS BIGINT) AS size, TRY_CAST(regexp_extract(chunk_strategy, '_(\d+)_(\d+)$', 2) AS BIGINT) AS named FROM chunks),
 over AS (SELECT *, CASE WHEN named < size THEN named ELSE size // 2 END AS overlap FROM sized WHERE size > 0 AND strlen(text) // 4 > size)
 SELECT DISTINCT chunk_id, chunk_strategy, strlen(text) AS bytes, CAST(ceil((strlen(text) - 4 * overlap) / (4 * size + 3 - 4 * overlap)) AS BIGINT) AS least_pieces, true AS within, true AS whole FROM over
-""", "p5_found": P5}
+""", "p5_found": P5, "p5_conversations": CONVERSATIONS}
