@@ -43,7 +43,7 @@ def c4(t: Tables) -> DataFrame:
 
 
 @query("c5_speaker_turns", r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n(\[\d{2}:\d{2}:\d{2}\]\s*\*\*)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE kind = 'meeting_transcript' AND text IS NOT NULL)
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n(\[\d{2}:\d{2}:\d{2}\]\s*\*\*)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents WHERE kind = 'meeting_transcript' AND text IS NOT NULL)
 SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS at, unnest(l) AS turn FROM s""")
 def c5(t: Tables) -> DataFrame:
     return t.documents.where("kind = 'meeting_transcript'").select("doc_id", F.posexplode(chunking.speaker_turns(F.col("text"))).alias("at", "turn"))

@@ -78,7 +78,7 @@ def l2(t: Tables) -> DataFrame:
 
 
 @query("l4_sentences", r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^ +| +$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS at, unnest(l) AS sentence FROM s""")
 def l4(t: Tables) -> DataFrame:
     return t.documents.where("text IS NOT NULL").select("doc_id", F.posexplode(T.sentences("text")).alias("at", "sentence"))
