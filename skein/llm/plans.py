@@ -130,7 +130,7 @@ UNION SELECT dialog_id, 'no_reply' FROM state WHERE shown AND NOT coalesce(asked
 """
 
 CONVERSATIONS = P5.replace("SELECT dialog_id, message_id, reply_to_msg_id, text, is_deleted,", "SELECT dialog_id, message_id, reply_to_msg_id, text, is_deleted, sender, sent_at,", 1).replace("SELECT d.dialog_id, 'empty'", ", faults AS (SELECT d.dialog_id, 'empty'", 1) + """)
-SELECT dialog_id, message_id, sender, role, sent_at, text, reply_to_msg_id, visible, row_number() OVER (PARTITION BY dialog_id ORDER BY message_id) AS turn
+SELECT dialog_id, message_id, sender, role, sent_at AT TIME ZONE 'UTC' AS sent_at, text, reply_to_msg_id, visible, row_number() OVER (PARTITION BY dialog_id ORDER BY message_id) AS turn
 FROM given WHERE visible AND dialog_id NOT IN (SELECT dialog_id FROM faults)
 """
 
