@@ -52,7 +52,7 @@ def term_tokens(text: Column | str, stopwords: tuple[str, ...] = STOPWORDS) -> C
 def sentences(text: Column | str) -> Column:
     """Split after . ! or ? before white space and an ASCII capital; trimmed, without blanks."""
     parts = F.split(_col(text), r"(?<=[.!?])\s+(?=[A-Z])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def cleaned(text: Column | str) -> Column:
@@ -229,7 +229,7 @@ def duration_seconds(text: Column | str) -> Column:
 
 def tags_text(tags: Column | str) -> Column:
     """Trimmed tags without blanks, joined by spaces."""
-    return F.concat_ws(" ", F.filter(F.transform(_col(tags), F.trim), lambda t: t != ""))
+    return F.concat_ws(" ", F.filter(F.transform(_col(tags), lambda s: F.trim(s)), lambda t: t != ""))
 
 
 def header(headers: Column | str, name: str) -> Column:

@@ -102,12 +102,12 @@ def hierarchy(sections: DataFrame) -> DataFrame:
 
 
 def speaker_turns(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n(?=\[\d{2}:\d{2}:\d{2}\]\s*\*\*)"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"\n(?=\[\d{2}:\d{2}:\d{2}\]\s*\*\*)"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs if there are at least three blank lines, else the text; none for a blank one."""
-    several = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda s: s != "")
+    several = F.filter(F.transform(F.split(text, "\n\n"), lambda s: F.trim(s)), lambda s: s != "")
     whole = F.when(F.trim(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(F.split(text, "\n\n")) > 3, several).otherwise(whole)
 

@@ -37,7 +37,7 @@ def file_info(files: DataFrame) -> DataFrame:
     rows = files.withColumn("frontmatter", chunking.frontmatter_map(chunking.frontmatter_block(F.col("text")))).withColumn("body", chunking.body_text(F.col("text")))
     rows = rows.withColumn("title", chunking.title(F.col("frontmatter"), F.col("body"), F.col("path")))
     rows = rows.withColumn("kind", F.coalesce(F.try_element_at("frontmatter", F.lit("kind")), F.lit("note")))
-    tags = F.filter(F.transform(F.split(F.coalesce(F.try_element_at("frontmatter", F.lit("tags")), F.lit("")), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce(F.try_element_at("frontmatter", F.lit("tags")), F.lit("")), ","), lambda s: F.trim(s)), lambda t: t != "")
     rows = rows.withColumn("tags", tags)
     return rows.withColumn("content_fingerprint", T.chunk_checksum("kind", "body")).withColumn("meta_fingerprint", T.meta_checksum("title", "tags"))
 
