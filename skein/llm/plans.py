@@ -34,9 +34,10 @@ def p1_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = runtime.materialize(_vectors(spark, folder), "vectors")
-    rows = [neighbours.recall(vectors, found, _asked(spark, folder)).select(F.lit(by).alias("by"), "*") for by, found in (("neighbours", neighbours.nearest(vectors)), ("search", neighbours.searched(vectors, _asked(spark, folder))))]
-    return rows[0].unionByName(rows[1])
+    vectors, asked = runtime.materialize(_vectors(spark, folder), "vectors"), _asked(spark, folder)
+    made = neighbours.linked(vectors)
+    near, walked = (neighbours.recall(vectors, found, asked) for found in (neighbours.nearest(vectors, made=made), neighbours.searched(vectors, asked, made=made)))
+    return near.select(F.lit("neighbours").alias("by"), "*").unionByName(walked.select(F.lit("search").alias("by"), "*"))
 
 
 def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
