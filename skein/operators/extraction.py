@@ -124,6 +124,33 @@ def co_occurrences(found: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("CO_OCCURS").alias("rel_type"), "weight")
 
 
+def key_terms(chunks: DataFrame, share: float = 0.10) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of acronyms, heading terms and the telling terms of each chunk; of the entities the share that covers most chunks.
+
+    Names that differ in case only are one. Relations: MENTIONS from the chunks, CO_OCCURS between names that share one.
+    """
+    short = acronyms(chunks).select(F.explode("chunk_ids").alias("chunk_id"), "name", F.lit("acronym").alias("type"))
+    words = chunks.select("chunk_id", F.explode("heading_hierarchy").alias("h")).select("chunk_id", F.explode(F.split("h", r"\s+")).alias("w"))
+    heads = words.select("chunk_id", F.regexp_replace("w", "[^A-Za-z]", "").alias("name")).join(heading_terms(chunks).select("name"), "name", "left_semi").select("chunk_id", "name", F.lit("heading").alias("type"))
+    telling = tfidf_terms(chunks).select("chunk_id", F.col("term").alias("name"), F.lit("term").alias("type"))
+    found = short.unionByName(heads).unionByName(telling)
+    named = found.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("type", "name")).alias("x"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    entities = widest(named.select("x.name", "x.type", "chunk_ids"), share)
+    held = entities.select(F.explode("chunk_ids").alias("chunk_id"), "name")
+    return entities, mentions(entities).unionByName(co_occurrences(held))
+
+
+def extracted(chunks: DataFrame, predict: Callable[[list[str]], list[list[tuple[str, str]]]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of structure, key terms and, with a predictor, names; an entity that several find is one, with all its chunks."""
+    entities, relations = key_terms(chunks)
+    if predict is not None:
+        names = merged_entities(predicted(chunks, predict))
+        entities = entities.unionByName(names)
+        relations = relations.unionByName(mentions(names))
+    together = entities.groupBy("name").agg(F.min("type").alias("type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
+    return together, structural(chunks).drop("link_text").unionByName(relations).distinct()
+
+
 def predicted(chunks: DataFrame, predict: Callable[[list[str]], list[list[tuple[str, str]]]]) -> DataFrame:
     """Names a model finds, per chunk: chunk_id, name, type, n. predict maps texts to (name, type) lists and runs on Arrow batches."""
     def run(frames):  # noqa: ANN001, ANN202

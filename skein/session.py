@@ -16,8 +16,9 @@ from skein.sources.registry import Settings, default_registry
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, encode: Callable[[list[str]], np.ndarray] | None = None, model: str = "hashing-64") -> None:
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, encode: Callable[[list[str]], np.ndarray] | None = None, model: str = "hashing-64", predict: Callable[[list[str]], list[list[tuple[str, str]]]] | None = None) -> None:
         self.spark, self.store, self.settings = spark, tables.Store(spark, root), settings or Settings()
+        self.predict = predict
         self.encode, self.model, self.sources = encode or embedding.hashing_encoder(), model, default_registry()
         self.strategy = f"heading_{self.settings.chunk_tokens}_{self.settings.chunk_overlap}"
         feeds.register(spark)
@@ -49,18 +50,26 @@ class Engine:
         vectors = embedding.embedded(rows.select("chunk_id", "text"), stored.select("chunk_id", "vector"), self.store.read("embedding_cache"), self.encode)
         self.store.merge("embeddings", vectors.select("chunk_id", F.lit(self.strategy).alias("chunk_strategy"), F.lit(self.model).alias("embedding_model"), "text_hash", T.stable_rowid(F.lit(self.strategy), F.lit(self.model), "chunk_id").alias("vector_rowid"), "vector"))
         self.store.merge("embedding_cache", vectors.select("text_hash", F.lit(self.model).alias("embedding_model"), "vector"))
-        entities = extraction.acronyms(chunks).select("name", "chunk_ids")
-        relations = extraction.structural(chunks).drop("link_text").unionByName(extraction.mentions(entities)).distinct()
-        relations = graph.relation_id(relations).dropDuplicates(["relation_id"]).withColumn("source_table", F.lit("sections")).withColumn("target_table", F.when(F.col("rel_type") == "HAS_TAG", "tags").otherwise("entities"))
-        relations = self.store.overwrite("relations", relations)
-        nodes = chunks.select(F.lit("sections").alias("table"), F.col("chunk_id").alias("id"))
-        self.store.overwrite("nodes", graph.with_endpoints(nodes, relations).distinct())
+        self.reindex_graph()
         prints = info.select(F.col("path").alias("file_path"), F.col("modified").cast("double").alias("mtime"), "size_bytes", "checksum", F.current_timestamp().alias("indexed_at"))
         self.store.overwrite("file_fingerprints", prints)
         return changes.groupBy("change").count()
 
+    def reindex_graph(self) -> DataFrame:
+        """Nodes and relations anew from the stored chunks: structure, key terms, and names if the engine has a predictor."""
+        chunks = self.store.read("chunks")
+        _, relations = extraction.extracted(chunks, self.predict)
+        relations = graph.relation_id(relations).dropDuplicates(["relation_id"]).withColumn("source_table", F.when(F.col("rel_type") == "CO_OCCURS", "entities").otherwise("sections"))
+        relations = self.store.overwrite("relations", relations.withColumn("target_table", F.when(F.col("rel_type") == "HAS_TAG", "tags").otherwise("entities")))
+        nodes = chunks.select(F.lit("sections").alias("table"), F.col("chunk_id").alias("id"))
+        names = relations.where("source_table = 'entities'").select(F.lit("entities").alias("table"), F.col("source_id").alias("id"))
+        self.store.overwrite("nodes", graph.with_endpoints(nodes.unionByName(names).distinct(), relations).distinct())
+        return relations
+
     def search(self, queries: DataFrame, k: int = 10, mode: str = "hybrid", enrich: bool = False) -> DataFrame:
-        """query_id, rank, chunk_id, ref, title, score, engines, heading_path, snippet for a table of queries (query_id, text)."""
+        """query_id, rank, chunk_id, ref, title, score, engines, heading_path, snippet for a table of queries (query_id, text); k is 1 to 100."""
+        if not 1 <= k <= 100:
+            raise ValueError("k must be 1 to 100")
         chunks, bindings, found = self.store.read("chunks"), self.store.read("bindings"), self.store.read("provenance")
         live = chunks.join(provenance.active_provenance(found, bindings).select("chunk_id"), "chunk_id", "left_semi")
         text = retrieval.expanded(queries, extraction.acronym_dictionary(live))

@@ -183,3 +183,48 @@ def test_mail_body(spark):
     html = json.dumps({"mimeType": "text/html", "body": {"data": enc("<style>p{}</style><p>a &amp; b</p>")}})
     df = spark.createDataFrame([(plain,), (html,), ("no json",), (None,)], "p string")
     assert [r.t for r in df.select(chunking.mail_body("p", F.lit(1 << 20)).alias("t")).collect()] == ["plain ü", "a & b", "", ""]
+
+
+def test_key_terms_and_combined_extraction(spark):
+    rows = [(str(i), f"alpha{i % 2} shared words about pumps. The SIEM and the SIEM.", ["Cooling Pumps"] if i < 3 else []) for i in range(6)]
+    chunks = spark.createDataFrame([(c, c, 0, *x) for c, *x in rows], "chunk_id string, document_ref string, chunk_index int, text string, heading_hierarchy array<string>")
+    entities, relations = extraction.key_terms(chunks, share=1.0)
+    got = {r.name: (r.type, r.chunk_ids) for r in entities.collect()}
+    assert got["SIEM"] == ("acronym", [str(i) for i in range(6)]) and got["Cooling"] == ("heading", ["0", "1", "2"]) and got["alpha0"][0] == "term"
+    kinds = {(r.source_id, r.target_id, r.rel_type) for r in relations.collect()}
+    assert ("0", "SIEM", "MENTIONS") in kinds and ("Cooling", "SIEM", "CO_OCCURS") in kinds
+    assert extraction.key_terms(chunks, share=0.01)[0].count() == 1
+    both, _ = extraction.extracted(chunks, lambda texts: [[("SIEM", "TOOL"), ("Pump", "THING")] for _ in texts])
+    assert {r.name for r in both.where("type = 'thing'").collect()} == {"Pump"}
+    assert extraction.key_terms(chunks.where("false"))[0].count() == 0
+
+
+def test_near_acronyms_by_deletions(spark):
+    words = ["SIEM", "SIEN", "SEM", "SIEMS", "AB", "BA", "SMIE", "X"]
+    q = spark.createDataFrame([(w, w) for w in words], "query_id string, text string")
+    a = spark.createDataFrame([(w, [w.lower()]) for w in ("SIEM", "AB")], "acronym string, expansions array<string>")
+    got = {r.query_id: r.expansions for r in retrieval.expanded(q, a).collect()}
+    assert got == {"SIEM": ["siem"], "SIEN": ["siem"], "SEM": ["siem"], "SIEMS": ["siem"], "AB": ["ab"], "BA": [], "SMIE": [], "X": []}
+
+
+def test_keyword_scores_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(7)
+    texts = {f"c{i:03d}": [r.choice("abcdefgh") for _ in range(r.randrange(0, 30))] for i in range(150)}
+    index = retrieval.index(spark.createDataFrame([(c, " ".join(w)) for c, w in texts.items()], "chunk_id string, text string"), "text")
+    asked = {"q1": "a b b", "q2": "h", "q3": "zz", "q4": ""}
+    held = {c: w for c, w in texts.items() if w}
+    mean = sum(map(len, held.values())) / len(held)
+    df = Counter(t for w in held.values() for t in set(w))
+    score = lambda w, t: math.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    for every in (False, True):
+        got = {(x.query_id, x["rank"]): (x.chunk_id, x.score) for x in retrieval.bm25(spark.createDataFrame(list(asked.items()), "query_id string, text string"), index, 5, every, block=3).collect()}
+        want = {}
+        for q, t in asked.items():
+            terms = set(t.split())
+            rows = [(-round(sum(score(w, x) for x in terms if x in w), 6), c) for c, w in held.items() if terms & set(w) and (not every or terms <= set(w))]
+            want |= {(q, i): (c, -s) for i, (s, c) in enumerate(sorted(rows)[:5], 1)}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
