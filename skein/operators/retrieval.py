@@ -121,6 +121,18 @@ def _term_scores(asked, k: int, every_term: bool, pairs: int = 2_000_000) -> Cal
             start = stop
             place = np.repeat(begin[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
             key = np.repeat(q, n) * len(ids) + chunk[place]
+            wide = int(q[-1] - q[0] + 1)
+            if wide * len(ids) <= 4 * len(key):  # most cells are filled: a grid of the queries and the texts of the block, no larger than the pairs
+                key -= q[0] * len(ids)
+                grid = np.round(np.bincount(key, weight[place], wide * len(ids)), 6).reshape(wide, -1)
+                if every_term:
+                    grid[np.bincount(key, minlength=grid.size).reshape(wide, -1) < sizes[q[0] : q[0] + wide, None]] = 0
+                score, text = _top(grid, np.arange(len(ids))[None, :], k, least=0.0)
+                fits = score > 0
+                of, text, score = np.nonzero(fits)[0] + q[0], text[fits], score[fits]
+                if len(of):
+                    yield pd.DataFrame({"query_id": [names[i] for i in of.tolist()], "chunk_id": [ids[i] for i in text.tolist()], "score": score})
+                continue
             order = np.argsort(key, kind="stable")
             key, w = key[order], weight[place][order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
@@ -191,13 +203,13 @@ def _unit(rows: list, length: int) -> np.ndarray:
     return np.nan_to_num(out / np.where(norm > 0, norm, 1.0))
 
 
-def _top(score: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, best first, ties in the order of names; names are one row or as many as score has."""
+def _top(score: np.ndarray, names: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, best first, ties in the order of names; names are one row or as many as score has. Ties at or under `least` are in any order."""
     names = np.broadcast_to(names, score.shape)
     if score.shape[1] > 4 * k:
         some = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        least = np.take_along_axis(score, some, axis=1).min(axis=1, keepdims=True)
-        crowded = (score >= least).sum(axis=1) > k  # more at the border than places
+        border = np.take_along_axis(score, some, axis=1).min(axis=1, keepdims=True)
+        crowded = ((score >= border).sum(axis=1) > k) & (border[:, 0] > least)  # more at the border than places
         if crowded.any():
             some[crowded] = np.lexsort((names[crowded], -score[crowded]))[:, :k]
         score, names = np.take_along_axis(score, some, axis=1), np.take_along_axis(names, some, axis=1)
