@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,23 +110,22 @@ def watch_files(spark: SparkSession, folder: str, handle: Callable[[DataFrame, i
 def debounced(events: DataFrame, key: str, at: str, gap_seconds: float = 2.0) -> DataFrame:
     """Of the events of a key in time order those at least the gap after the last accepted one; the first is accepted. Batch form.
 
-    An event that comes a gap after the one before it is accepted whatever was accepted before, so that a key is cut there: a task holds one burst, not a key.
+    A task goes once through the events of its keys in order and holds the last accepted time only.
     """
-    def accept(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        for t in frame.sort_values(at)[at]:
-            if last is None or (t - last).total_seconds() >= gap_seconds:
-                keep.append(t)
-                last = t
-        return pd.DataFrame({key: frame[key].iloc[0], at: keep})
+    gap = int(gap_seconds * 1_000_000)
 
-    kinds = dict(events.dtypes)
-    order = Window.partitionBy(key).orderBy(at)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    apart = (micros(at) - F.lag(micros(at)).over(order)) >= int(gap_seconds * 1_000_000)
-    bursts = events.where(F.col(at).isNotNull()).select(key, at, F.coalesce(apart, F.lit(True)).cast("int").alias("_cut"))
-    bursts = bursts.withColumn("_burst", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return bursts.groupBy(key, "_burst").applyInPandas(accept, f"{key} {kinds[key]}, {at} {kinds[at]}")
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = None, None
+        for batch in batches:
+            keep = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if last is None or t - last >= gap or k != name:
+                    keep.append(i)
+                    name, last = k, t
+            yield batch.select([key, at]).take(pa.array(keep, pa.int64()))
+
+    rows = events.where(F.col(at).isNotNull()).select(key, at, F.unix_micros(F.col(at).cast("timestamp")).alias("_micros"))
+    return rows.repartition(key).sortWithinPartitions(key, "_micros").mapInArrow(accept, rows.select(key, at).schema)
 
 
 def debounced_stream(events: DataFrame, key: str, at: str, gap_seconds: float = 2.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skein import plans
 from skein.llm import language, neighbours, prose, toxicity
 from skein.operators import graph
+from skein.streaming import ingest
 from tests.conftest import DATA
 
 FOLDER = DATA / "sf0.001"
@@ -77,3 +78,19 @@ def test_open_fence_ends_at_blank_line():
     assert [s.strip() for s in prose.sentences("Before it.\n\n```\ncode here\n\nAfter it all.\n\nThe end.")] == ["Before it.", "After it all.", "The end."]
     assert [s.strip() for s in prose.sentences("Before it.\n\n```\ncode\n\nmore code\n```\nAfter it.")] == ["Before it.", "After it."]
     assert [s.strip() for s in prose.sentences("Before it.\n\n~~~\ncode here")] == ["Before it."]
+
+
+def test_debounced_in_one_pass(spark):
+    rows = [(k, 1_000 * i * (k + 1) + i % 7) for k in range(5) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "k long, micros long").select("k", F.timestamp_micros("micros").alias("ts"))
+    want = []
+    for k in range(5):
+        last = None
+        for t in sorted(m for x, m in rows if x == k):
+            if last is None or t - last >= 2_000_000:
+                want.append((k, t))
+                last = t
+    out = ingest.debounced(df, "k", "ts", 2.0)
+    assert sorted((r.k, r.m) for r in out.select("k", F.unix_micros("ts").alias("m")).collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroups" not in plan  # nor a Python call a burst
