@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -29,20 +30,20 @@ def ranked(rows: DataFrame, k: int | None = None, score: str = "score", tie: str
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(texts: DataFrame, column: str) -> DataFrame:
-    """Postings of a column of (chunk_id, column): term, chunk_id, len, tf; every whole text, null as empty."""
-    rows = texts.select("chunk_id", T.words(column).alias("w")).where(F.size("w") > 0)
-    return rows.select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-
-
-BLOCK_TEXTS = 4096
+#: Texts and bytes of text of a block of the index, at most; texts that a search scores at once.
+BLOCK_TEXTS, BLOCK_BYTES, SCORED_TEXTS = 65_536, 64_000_000, 131_072
 
 
 @dataclass(frozen=True)
 class Index:
-    """A stored inverted index: postings by blocks of texts and terms, document frequencies, number of texts and their mean length."""
+    """A stored inverted index: postings by blocks of texts and terms, its texts, document frequencies, number of texts and their mean length.
+
+    postings: a row for each block and term (block, term, n, and in place each text's number in the block, occurrences and length); all of a block lie in
+    one file. Blocks and the numbers in them are in the order of the ids.
+    """
 
     postings: DataFrame
+    texts: DataFrame
     frequencies: DataFrame
     n: int
     mean: float
@@ -51,122 +52,238 @@ class Index:
 def index(texts: DataFrame, column: str, path: str | None = None) -> Index:
     """Build the index of a column of (chunk_id, column) and store it under path (a new folder without one); open_index reads it again.
 
-    Texts go to blocks of about BLOCK_TEXTS by a hash of their id, so that a search scores block by block.
+    Texts go to blocks of at most about BLOCK_TEXTS and BLOCK_BYTES by ranges of their ids. They are read three times, so that costly ones should be stored.
     """
     spark = texts.sparkSession
     path = path or runtime.new_path(spark, "index")
-    blocks = max(1, -(-texts.count() // BLOCK_TEXTS))
-    rows = postings(texts, column).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
-    tasks = max(1, min(blocks, runtime.partitions(spark)))
-    rows.repartition(tasks, "block").sortWithinPartitions("block", "term").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
-    stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    # Every posting of a text names its length: each counts for its share of the text.
-    one = stored.groupBy("block", "chunk_id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    one.write.mode("overwrite").parquet(f"{path}/statistics")
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length(column)).alias("bytes")).head()
+    tasks = min(runtime.partitions(spark), -(-(size.bytes or 0) // 1_000_000))
+    blocks = max(1, -(-size.n // BLOCK_TEXTS), -(-(size.bytes or 0) // BLOCK_BYTES), min(tasks, spark.sparkContext.defaultParallelism))
+    kind = texts.select("chunk_id").schema["chunk_id"].dataType
+    schema = S.StructType([S.StructField("kind", S.StringType()), S.StructField("block", S.IntegerType()), S.StructField("at", S.IntegerType()), S.StructField("chunk_id", kind), S.StructField("len", S.IntegerType()),
+                           S.StructField("term", S.StringType()), S.StructField("n", S.IntegerType()), *[S.StructField(c, S.BinaryType()) for c in ("texts", "tf", "lens")]])
+    rows = texts.select("chunk_id", column).repartitionByRange(blocks, "chunk_id").sortWithinPartitions("chunk_id").select("chunk_id", T.words(column).alias("w")).where(F.size("w") > 0)
+    rows.mapInArrow(_blocks(schema), schema).write.mode("overwrite").partitionBy("kind").option("parquet.block.size", str(1 << 30)).option("compression", "zstd").parquet(f"{path}/rows")
+    stored = spark.read.schema(schema).parquet(f"{path}/rows")
+    stored.where("kind = 'term'").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    stored.where("kind = 'text'").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/statistics")
     return open_index(spark, path)
 
 
 def open_index(spark, path: str) -> Index:  # noqa: ANN001
     stat = spark.read.parquet(f"{path}/statistics").head()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), stat.n, stat.mean or 1.0)
+    rows = spark.read.parquet(f"{path}/rows") if stat.n else spark.createDataFrame([], "kind string, block int, at int, chunk_id string, len int, term string, n int, texts binary, tf binary, lens binary")
+    return Index(rows.where("kind = 'term'").select("block", "term", "n", "texts", "tf", "lens"), rows.where("kind = 'text'").select("block", "at", "chunk_id", "len"), spark.read.parquet(f"{path}/frequencies"), stat.n, stat.mean or 1.0)
+
+
+def _blocks(schema: S.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition of (chunk_id, w) as one block: a row for each text and each term."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, block = to_arrow_schema(schema), TaskContext.get().partitionId()
 
+        def out(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in arrow], schema=arrow)
 
-def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, block: int = 5_000) -> DataFrame:
+        names: dict[str, int] = {}
+        codes, sizes = [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int32)
+            yield out(len(size), kind=pa.array(["text"] * len(size)), block=pa.array(np.full(len(size), block, np.int32)), at=pa.array(np.arange(len(size), dtype=np.int32) + sum(map(len, sizes))), chunk_id=batch.column(0), len=pa.array(size))
+            words = batch.column(1).flatten().dictionary_encode()
+            codes.append(np.array([names.setdefault(w, len(names)) for w in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy()])
+            sizes.append(size)
+        if not sizes:
+            return
+        size = np.concatenate(sizes)
+        key = np.concatenate(codes) * len(size) + np.repeat(np.arange(len(size)), size)
+        del codes
+        key, tf = np.unique(key, return_counts=True)
+        text = (key % len(size)).astype(np.int32)
+        begin = np.searchsorted(key, np.arange(len(names) + 1, dtype=np.int64) * len(size))
+        tf, lens, terms = tf.astype(np.int32), size[text], list(names)
+        for a in range(0, len(terms), 2_000):
+            b = min(a + 2_000, len(terms))
+            cut = [(begin[i], begin[i + 1]) for i in range(a, b)]
+            parts = {c: pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for c, x in (("texts", text), ("tf", tf), ("lens", lens))}
+            yield out(b - a, kind=pa.array(["term"] * (b - a)), block=pa.array(np.full(b - a, block, np.int32)), term=pa.array(terms[a:b]), n=pa.array(np.diff(begin[a : b + 1]).astype(np.int32)), **parts)
+
+    return run
+
+
+def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, block: int = 10_000) -> DataFrame:
     """BM25 of an index; idf = ln(1 + (N - df + 0.5) / (df + 0.5)). every_term: texts must hold all terms of the query.
 
-    Queries go in blocks of at most `block`. Only postings of their terms are read; a task scores its texts block by block, from the postings alone, and passes on
-    its k best a query: neither a frequent term nor a pair of query and text is ever a row of a shuffle.
+    Queries go in blocks of at most `block`, each over all texts in a few tasks. A task reads the postings of its queries' terms as they are stored, keeps the k best a query from
+    one block of texts to the next, and leaves out what can't be among them; so nothing is shuffled but k rows a query and task.
     """
     spark = queries.sparkSession
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.words(T.keyword_query("text")))).alias("term"))
-    kinds = {f.name: f.dataType for f in (*queries.select("query_id").schema, *held.postings.select("chunk_id").schema)}
-    schema = S.StructType([S.StructField("query_id", kinds["query_id"]), S.StructField("chunk_id", kinds["chunk_id"]), S.StructField("score", S.DoubleType())])
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        part = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        asked: dict = {}
-        for r in part.collect():  # the terms of at most `block` queries
-            asked.setdefault(r.query_id, []).append(r.term)
-        wanted = held.frequencies.join(F.broadcast(part.select("term").distinct()), "term", "left_semi")  # at most their terms
-        idf = F.log(1 + (held.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / held.mean))
-        rows = held.postings.join(F.broadcast(wanted.select("term", idf.alias("idf"))), "term").select("block", "chunk_id", "term", weight.alias("w"))
-        rows = rows.repartition(runtime.partitions(spark), "block").sortWithinPartitions("block")
-        hits = rows.mapInPandas(_term_scores(spark.sparkContext.broadcast(asked), k, every_term), schema)
-        out = hits if out is None else out.unionByName(hits)
-    return ranked(out, k)
-
-
-def _term_scores(asked, k: int, every_term: bool, pairs: int = 2_000_000) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
-    """Rows (block, chunk_id, term, w) that lie by block, as the k best of each query and block; `pairs` of query and posting are held at once."""
-    def scored(rows: pd.DataFrame, names: list, query: np.ndarray, terms: np.ndarray, sizes: np.ndarray) -> Iterator[pd.DataFrame]:
-        chunk, ids = pd.factorize(rows["chunk_id"].to_numpy(dtype=object), sort=True)
-        term, known = pd.factorize(rows["term"].to_numpy(dtype=object))
-        order = np.argsort(term, kind="stable")
-        chunk, weight = chunk[order], rows["w"].to_numpy(dtype=float)[order]
-        begin = np.append(np.searchsorted(term[order], np.arange(len(known))), len(term))
-        at = pd.Index(known).get_indexer(terms)
-        query, at = query[at >= 0], at[at >= 0]
-        count = begin[at + 1] - begin[at]
-        ends = np.cumsum(count)
-        cuts = np.searchsorted(ends, np.arange(pairs, ends[-1] + pairs, pairs)) if len(ends) else []
-        start = 0
-        for cut in cuts:  # a query is never divided
-            stop = int(np.searchsorted(query, query[min(cut, len(query) - 1)], side="right"))
-            if stop <= start:
-                continue
-            q, a, n = query[start:stop], at[start:stop], count[start:stop]
-            start = stop
-            place = np.repeat(begin[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            key = np.repeat(q, n) * len(ids) + chunk[place]
-            wide = int(q[-1] - q[0] + 1)
-            if wide * len(ids) <= 4 * len(key):  # most cells are filled: a grid of the queries and the texts of the block, no larger than the pairs
-                key -= q[0] * len(ids)
-                grid = np.round(np.bincount(key, weight[place], wide * len(ids)), 6).reshape(wide, -1)
-                if every_term:
-                    grid[np.bincount(key, minlength=grid.size).reshape(wide, -1) < sizes[q[0] : q[0] + wide, None]] = 0
-                score, text = _top(grid, np.arange(len(ids))[None, :], k, least=0.0)
-                fits = score > 0
-                of, text, score = np.nonzero(fits)[0] + q[0], text[fits], score[fits]
-                if len(of):
-                    yield pd.DataFrame({"query_id": [names[i] for i in of.tolist()], "chunk_id": [ids[i] for i in text.tolist()], "score": score})
-                continue
-            order = np.argsort(key, kind="stable")
-            key, w = key[order], weight[place][order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-            score = np.round(np.add.reduceat(w, first), 6) if len(first) else np.zeros(0)
-            of, text = key[first] // len(ids), key[first] % len(ids)
-            fits = score > 0
-            if every_term:
-                fits &= np.diff(np.append(first, len(key))) == sizes[of]
-            of, text, score = of[fits], text[fits], score[fits]
-            order = np.lexsort((text, -score, of))
-            of, text, score = of[order], text[order], score[order]
-            head = np.searchsorted(of, of)
-            best = np.arange(len(of)) - head < k
-            if best.any():
-                yield pd.DataFrame({"query_id": [names[i] for i in of[best].tolist()], "chunk_id": [ids[i] for i in text[best].tolist()], "score": score[best]})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = list(asked.value)
-        sizes = np.array([len(x) for x in asked.value.values()], dtype=np.int64)
-        query = np.repeat(np.arange(len(names)), sizes)
-        terms = np.array([t for x in asked.value.values() for t in x], dtype=object)
-        kept: list[pd.DataFrame] = []
-        for frame in frames:
-            for value, rows in frame.groupby("block", sort=False):
-                if kept and kept[0]["block"].iloc[0] != value:
-                    yield from scored(pd.concat(kept, ignore_index=True), names, query, terms, sizes)
-                    kept = []
-                kept.append(rows)
-        if kept:
-            yield from scored(pd.concat(kept, ignore_index=True), names, query, terms, sizes)
+    terms = runtime.materialize(queries.select("query_id", F.array_sort(F.array_distinct(T.words(T.keyword_query("text")))).alias("terms")).where(F.size("terms") > 0), "terms")
+    kinds = {f.name: f.dataType for f in terms.schema}
+    schema = S.StructType([S.StructField("query_id", kinds["query_id"]), S.StructField("block", S.IntegerType()), S.StructField("at", S.IntegerType()), S.StructField("score", S.DoubleType())])
+    n, tasks = terms.count(), 2 * spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(tasks, -(-n // 250)))
+    rounds = -(-blocks // tasks)
+    path = runtime.new_path(spark, "hits")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for r in range(rounds):
+        table = (terms if rounds == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).toArrow()  # about `block` queries a task
+        size = max(1, -(-table.num_rows // -(-blocks // rounds)))
+        known = held.frequencies.join(F.broadcast(_terms(spark, table)), "term", "left_semi").toArrow()  # at most their terms
+        idf = dict(zip(known["term"].to_pylist(), np.log(1 + (held.n - known["df"].to_numpy() + 0.5) / (known["df"].to_numpy() + 0.5)).tolist(), strict=True))
+        parts = [table.slice(i, size) for i in range(0, table.num_rows, size)]
+        out = None
+        for part in parts:
+            rows = held.postings.join(F.broadcast(_terms(spark, part)), "term").coalesce(max(1, -(-tasks // len(parts)))).select("block", "term", "texts", "tf", "lens")
+            hits = rows.mapInArrow(_best(spark.sparkContext.broadcast((part, idf)), k, every_term, held.mean, schema), schema)
+            out = hits if out is None else out.unionByName(hits)
+        if out is not None:
+            out.write.mode("append").parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    return ranked(found.join(held.texts.select("block", "at", "chunk_id"), ["block", "at"]).select("query_id", "chunk_id", "score"), k)
+
+
+def _terms(spark, asked: pa.Table) -> DataFrame:  # noqa: ANN001
+    """The different terms of (query_id, terms)."""
+    return spark.createDataFrame(pa.table({"term": asked["terms"].combine_chunks().flatten().unique().cast(pa.string())}))
+
+
+def _best(asked, k: int, every_term: bool, mean: float, schema: S.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """Posting rows that lie by block, as the k best of each query: query_id, block, at, score."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[tuple, list[int]] = {}  # queries of the same terms are answered once
+        queries, idf = asked.value
+        for i, terms in enumerate(queries.column("terms").to_pylist()):
+            sets.setdefault(tuple(terms), []).append(i)
+        best = {s: (np.zeros(0), np.zeros(0, np.int64)) for s in sets}
+        held: list[tuple[int, str, np.ndarray, np.ndarray]] = []
+        bases: dict[int, int] = {}
+        done: set[int] = set()
+        end = 0
+
+        def flush() -> None:
+            terms: dict[str, list] = {}
+            for at, term, text, weight in held:
+                terms.setdefault(term, []).append((text + at, weight))
+            lists = {t: (np.concatenate([x for x, _ in p]), np.concatenate([w for _, w in p])) if len(p) > 1 else p[0] for t, p in terms.items()}
+            order = sorted(bases, key=bases.__getitem__)
+            numbers, starts = np.array(order, dtype=np.int64), np.array([bases[x] for x in order], dtype=np.int64)
+            _search(lists, end, numbers, starts, best, k, every_term)
+
+        wide = 0
+        for batch in batches:
+            for block, term, text, tf, lens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block not in bases:
+                    end += wide
+                    if end >= (SCORED_TEXTS if done else 1):  # the first block alone, for a floor
+                        flush()
+                        done.update(bases)
+                        held, bases, end = [], {}, 0
+                    if block in done:
+                        raise ValueError("the postings of a block do not lie together")
+                    bases[block], wide = end, 0
+                text, tf, lens = np.frombuffer(text, np.int32), np.frombuffer(tf, np.int32).astype(float), np.frombuffer(lens, np.int32)
+                held.append((bases[block], term, text, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens / mean))))
+                wide = max(wide, int(text[-1]) + 1)
+        end += wide
+        if held:
+            flush()
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ids, arrow = queries.column("query_id").combine_chunks(), to_arrow_schema(schema)
+        of = np.array([i for s, same in sets.items() for i in same for _ in range(len(best[s][0]))], dtype=np.int64)
+        score, place = (np.concatenate([np.zeros(0), *[best[s][j] for s, same in sets.items() for _ in same]]) for j in (0, 1))
+        place = place.astype(np.int64)
+        for a in range(0, len(of), 10_000):
+            cut = slice(a, a + 10_000)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[cut])), pa.array((place[cut] >> 32).astype(np.int32)), pa.array((place[cut] & 0xFFFFFFFF).astype(np.int32)), pa.array(score[cut])], schema=arrow)
 
     return run
 
 
+def _search(lists: dict, size: int, numbers: np.ndarray, starts: np.ndarray, best: dict, k: int, every_term: bool) -> None:
+    """Take the texts 0 to size of some blocks into the k best (score, place) of each set of terms. lists: texts in order and weights of a term.
+
+    Terms go by their largest weight: what holds only terms whose largest weights add up to less than the k-th best score need not be looked at, and of what is
+    looked at only what may still reach it is followed through the other terms.
+    """
+    most = {t: float(w.max()) for t, (_, w) in lists.items()}
+    total = np.zeros(size)
+    slack = 2e-6  # scores are rounded to 6 places
+    for terms, (had, places) in best.items():
+        known = [t for t in terms if t in lists]
+        if not known or (every_term and len(known) < len(terms)):
+            continue
+        floor = float(had[-1]) - slack if len(had) >= k else -1.0
+        if every_term:
+            known.sort(key=lambda t: len(lists[t][0]))
+            found, score = lists[known[0]]
+            for t in known[1:]:
+                text, weight = lists[t]
+                at = np.minimum(np.searchsorted(text, found), len(text) - 1)
+                both = text[at] == found
+                found, score = found[both], score[both] + weight[at[both]]
+        else:
+            known.sort(key=lambda t: -most[t])
+            rest = np.append(np.cumsum([most[t] for t in reversed(known)])[::-1], 0.0)
+            if rest[0] < floor:
+                continue
+            first = max(1, int((rest[:-1] >= floor).sum()))  # every text that can reach the floor has one of these
+            work = 0
+            for t in known[:first]:
+                text, weight = lists[t]
+                total[text] += weight
+                work += len(text)
+            if first == 1:
+                found = text[weight >= floor - rest[1]]
+            elif 4 * work < size:
+                parts = []
+                for t in known[:first]:
+                    text = lists[t][0]
+                    text = text[total[text] >= floor - rest[first]]
+                    parts.append((text, total[text]))
+                    total[text] = -np.inf  # taken
+                found, score = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            else:
+                found = np.flatnonzero(total >= max(floor - rest[first], 1e-300))
+            if first == 1 or 4 * work >= size:
+                score = total[found]
+            if 4 * work < size:
+                for t in known[:first]:
+                    total[lists[t][0]] = 0.0
+            else:
+                total.fill(0.0)
+            for i in range(first, len(known)):
+                if not len(found):
+                    break
+                text, weight = lists[known[i]]
+                if 12 * len(found) < len(text):
+                    at = np.minimum(np.searchsorted(text, found), len(text) - 1)
+                    score = score + np.where(text[at] == found, weight[at], 0.0)
+                else:
+                    total[text] = weight
+                    score = score + total[found]
+                    total[text] = 0.0
+                fits = score >= floor - rest[i + 1]
+                found, score = found[fits], score[fits]
+        score = np.round(score, 6)
+        fits = score >= floor
+        found, score = found[fits], score[fits]
+        if not len(found):
+            continue
+        if len(found) > 4 * k:
+            near = score >= np.partition(score, len(score) - k)[len(score) - k]
+            found, score = found[near], score[near]
+        which = np.searchsorted(starts, found, side="right") - 1
+        score, place = np.concatenate([had, score]), np.concatenate([places, (numbers[which] << 32) | (found - starts[which])])
+        order = np.lexsort((place, -score))[:k]
+        best[terms] = score[order], place[order]
+
+
 def fielded(queries: DataFrame, title_index: Index, text_index: Index, k: int) -> DataFrame:
     """Both fields by themselves, each limited to k, then 5 * title + 1 * text."""
     parts = bm25(queries, title_index, k).select("query_id", "chunk_id", (F.col("score") * TITLE_BOOST).alias("score")).unionByName(

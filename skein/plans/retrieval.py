@@ -30,7 +30,8 @@ def _queries(t: Tables) -> DataFrame:
 
 
 def _texts(t: Tables) -> DataFrame:
-    return t.chunks.groupBy("chunk_id").agg(F.max("text").alias("text"), F.max("title").alias("title"))
+    """The texts once, stored: indexes read them several times."""
+    return runtime.materialize(t.chunks.groupBy("chunk_id").agg(F.max("text").alias("text"), F.max("title").alias("title")), "texts")
 
 
 @query("k3_bm25", f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM keyword")

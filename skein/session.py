@@ -93,11 +93,13 @@ class Engine:
     def _keyword_indexes(self, live: DataFrame) -> list[retrieval.Index]:
         """The stored indexes of titles and texts; built where the chunks, bindings or provenance have changed since."""
         state = "-".join(str(self.store.number(t)) for t in ("chunks", "bindings", "provenance"))
-        out = []
-        for column in ("title", "text"):
-            path = f"{self.store.root}/_index/{column}-{state}"
-            out.append(retrieval.open_index(self.spark, path) if runtime.exists(self.spark, f"{path}/statistics/_SUCCESS") else retrieval.index(live, column, path))
-        return out
+        paths = {column: f"{self.store.root}/_index/blocks-{column}-{state}" for column in ("title", "text")}
+        missing = [c for c, path in paths.items() if not runtime.exists(self.spark, f"{path}/statistics/_SUCCESS")]
+        if missing:
+            texts = runtime.materialize(live.select("chunk_id", *missing), "texts")
+            for c in missing:
+                retrieval.index(texts, c, paths[c])
+        return [retrieval.open_index(self.spark, path) for path in paths.values()]
 
     def read(self, ref: str, begin: int = 0, end: int | None = None) -> DataFrame:
         return provenance.read(self.store.read("chunks"), self.store.read("bindings"), ref, begin, end)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein import plans
 from skein.llm import language, neighbours, prose, toxicity
-from skein.operators import graph
+from skein.operators import graph, retrieval
 from skein.streaming import ingest
 from tests.conftest import DATA
 
@@ -94,3 +94,34 @@ def test_debounced_in_one_pass(spark):
     assert sorted((r.k, r.m) for r in out.select("k", F.unix_micros("ts").alias("m")).collect()) == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "FlatMapGroups" not in plan  # nor a Python call a burst
+
+
+def test_keyword_scores_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_TEXTS", 40)
+    rng = np.random.default_rng(3)
+    texts = {f"c{i:04d}": " ".join(rng.choice(list("abcdefghijkl"), rng.integers(1, 6))) for i in range(700)}
+    texts |= {f"d{i:04d}": "same text" for i in range(100)}
+    texts["e"] = ""
+    df = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    held = retrieval.index(df, "text")
+    blocks = held.postings.select("block").distinct().count()
+    assert blocks >= 15 and held.n == 800
+    assert held.postings.count() <= 14 * blocks  # a row a block and term, not a row a text and term
+    asked = {f"q{i:03d}": " ".join(rng.choice(list("abcdefghijklz"), rng.integers(1, 6))) for i in range(300)} | {"same": "same", "both": "TEXT same a"}
+    words = {c: t.split() for c, t in texts.items() if t}
+    mean = sum(map(len, words.values())) / len(words)
+    df = defaultdict(int)
+    for w in words.values():
+        for t in set(w):
+            df[t] += 1
+    got: dict[str, list] = defaultdict(list)
+    hits = retrieval.bm25(spark.createDataFrame(list(asked.items()), "query_id string, text string"), held, 5, block=40)
+    assert "InPandas" not in hits._jdf.queryExecution().executedPlan().toString()
+    for r in hits.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, r.score))
+    for q, text in asked.items():
+        terms = {t for t in text.lower().split() if t in df}
+        score = {c: sum(np.log(1 + (800 - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms if t in w) for c, w in words.items() if terms & set(w)}
+        want = sorted(((-round(s, 6), c) for c, s in score.items()))[:5]
+        assert [c for c, _ in got[q]] == [c for _, c in want]
+        assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in want], abs=2e-6)
