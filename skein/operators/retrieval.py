@@ -141,8 +141,13 @@ def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, bloc
             rows = held.postings.join(F.broadcast(_terms(spark, part)), "term").coalesce(max(1, -(-tasks // len(parts)))).select("block", "term", "texts", "tf", "lens")
             hits = rows.mapInArrow(_best(spark.sparkContext.broadcast((part, idf)), k, every_term, held.mean, schema), schema)
             out = hits if out is None else out.unionByName(hits)
-        if out is not None:
-            out.write.mode("append").parquet(path)
+        if out is not None:  # blocks of one partition each would else be united to one task
+            united = spark.conf.get("spark.sql.unionOutputPartitioning", "true")
+            spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+            try:
+                out.write.mode("append").parquet(path)
+            finally:
+                spark.conf.set("spark.sql.unionOutputPartitioning", united)
     found = spark.read.schema(schema).parquet(path)
     return ranked(found.join(held.texts.select("block", "at", "chunk_id"), ["block", "at"]).select("query_id", "chunk_id", "score"), k)
 

@@ -115,7 +115,8 @@ def test_keyword_scores_over_many_blocks(spark, monkeypatch):
         for t in set(w):
             df[t] += 1
     got: dict[str, list] = defaultdict(list)
-    hits = retrieval.bm25(spark.createDataFrame(list(asked.items()), "query_id string, text string"), held, 5, block=40)
+    hits = retrieval.bm25(spark.createDataFrame(list(asked.items()), "query_id string, text string"), held, 5, block=19)
+    assert len({f for f in hits.inputFiles() if "/hits-" in f}) >= 2 * spark.sparkContext.defaultParallelism  # a task for each block of queries
     assert "InPandas" not in hits._jdf.queryExecution().executedPlan().toString()
     for r in hits.orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.chunk_id, r.score))
