@@ -30,8 +30,8 @@ def ranked(rows: DataFrame, k: int | None = None, score: str = "score", tie: str
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-#: Texts and bytes of text of a block of the index, at most; texts that a search scores at once.
-BLOCK_TEXTS, BLOCK_BYTES, SCORED_TEXTS = 65_536, 64_000_000, 131_072
+#: Texts and bytes of text of a block of the index, at most; bytes of the frequent terms of a block that a search spreads out.
+BLOCK_TEXTS, BLOCK_BYTES, DENSE_BYTES = 32_768, 32_000_000, 32_000_000
 
 
 @dataclass(frozen=True)
@@ -141,17 +141,25 @@ def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, bloc
             rows = held.postings.join(F.broadcast(_terms(spark, part)), "term").coalesce(max(1, -(-tasks // len(parts)))).select("block", "term", "texts", "tf", "lens")
             hits = rows.mapInArrow(_best(spark.sparkContext.broadcast((part, idf)), k, every_term, held.mean, schema), schema)
             out = hits if out is None else out.unionByName(hits)
-        if out is not None:  # blocks of one partition each would else be united to one task
-            united = spark.conf.get("spark.sql.unionOutputPartitioning", "true")
-            spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-            try:
-                out.write.mode("append").parquet(path)
-            finally:
-                spark.conf.set("spark.sql.unionOutputPartitioning", united)
+        if out is not None:
+            _append(out, path)
     found = spark.read.schema(schema).parquet(path)
     return ranked(found.join(held.texts.select("block", "at", "chunk_id"), ["block", "at"]).select("query_id", "chunk_id", "score"), k)
 
 
+def _append(out: DataFrame, path: str) -> None:
+    """Write a union of blocks of queries, each in its own tasks, which get few rows at once: blocks of one partition each would else be united to one task."""
+    conf = out.sparkSession.conf
+    before = {name: conf.get(name, None) for name in ("spark.sql.unionOutputPartitioning", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    conf.set("spark.sql.unionOutputPartitioning", "false")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        out.write.mode("append").parquet(path)
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def _terms(spark, asked: pa.Table) -> DataFrame:  # noqa: ANN001
     """The different terms of (query_id, terms)."""
     return spark.createDataFrame(pa.table({"term": asked["terms"].combine_chunks().flatten().unique().cast(pa.string())}))
@@ -160,133 +168,172 @@ def _terms(spark, asked: pa.Table) -> DataFrame:  # noqa: ANN001
 def _best(asked, k: int, every_term: bool, mean: float, schema: S.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     """Posting rows that lie by block, as the k best of each query: query_id, block, at, score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, list[int]] = {}  # queries of the same terms are answered once
         queries, idf = asked.value
+        sets: dict[tuple, list[int]] = {}  # queries of the same terms are answered once
         for i, terms in enumerate(queries.column("terms").to_pylist()):
             sets.setdefault(tuple(terms), []).append(i)
-        best = {s: (np.zeros(0), np.zeros(0, np.int64)) for s in sets}
-        held: list[tuple[int, str, np.ndarray, np.ndarray]] = []
-        bases: dict[int, int] = {}
-        done: set[int] = set()
-        end = 0
-
-        def flush() -> None:
-            terms: dict[str, list] = {}
-            for at, term, text, weight in held:
-                terms.setdefault(term, []).append((text + at, weight))
-            lists = {t: (np.concatenate([x for x, _ in p]), np.concatenate([w for _, w in p])) if len(p) > 1 else p[0] for t, p in terms.items()}
-            order = sorted(bases, key=bases.__getitem__)
-            numbers, starts = np.array(order, dtype=np.int64), np.array([bases[x] for x in order], dtype=np.int64)
-            _search(lists, end, numbers, starts, best, k, every_term)
-
-        wide = 0
+        search = _Search(list(sets), k, every_term)
+        lists: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        now, done = None, set()
         for batch in batches:
-            for block, term, text, tf, lens in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if block not in bases:
-                    end += wide
-                    if end >= (SCORED_TEXTS if done else 1):  # the first block alone, for a floor
-                        flush()
-                        done.update(bases)
-                        held, bases, end = [], {}, 0
+            blocks, terms, columns = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [_cells(c) for c in batch.columns[2:]]
+            for i, (block, term) in enumerate(zip(blocks, terms, strict=True)):
+                if block != now:
+                    if lists:
+                        search.take(now, lists)
+                        lists = {}
                     if block in done:
                         raise ValueError("the postings of a block do not lie together")
-                    bases[block], wide = end, 0
-                text, tf, lens = np.frombuffer(text, np.int32), np.frombuffer(tf, np.int32).astype(float), np.frombuffer(lens, np.int32)
-                held.append((bases[block], term, text, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens / mean))))
-                wide = max(wide, int(text[-1]) + 1)
-        end += wide
-        if held:
-            flush()
+                    done.add(block)
+                    now = block
+                text, tf, lens = (values[at[i] >> 2 : at[i + 1] >> 2] for values, at in columns)
+                lists[term] = text, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens / mean))
+            del columns
+        if lists:
+            search.take(now, lists)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         ids, arrow = queries.column("query_id").combine_chunks(), to_arrow_schema(schema)
-        of = np.array([i for s, same in sets.items() for i in same for _ in range(len(best[s][0]))], dtype=np.int64)
-        score, place = (np.concatenate([np.zeros(0), *[best[s][j] for s, same in sets.items() for _ in same]]) for j in (0, 1))
-        place = place.astype(np.int64)
-        for a in range(0, len(of), 10_000):
-            cut = slice(a, a + 10_000)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[cut])), pa.array((place[cut] >> 32).astype(np.int32)), pa.array((place[cut] & 0xFFFFFFFF).astype(np.int32)), pa.array(score[cut])], schema=arrow)
+        which = np.repeat(np.arange(len(sets)), [len(same) for same in sets.values()])  # each query's set
+        order = np.array([i for same in sets.values() for i in same], dtype=np.int64)
+        for a in range(0, len(order), 1_000):
+            score, place = search.score[which[a : a + 1_000]], search.place[which[a : a + 1_000]]
+            there = score > -np.inf
+            of, score, place = np.repeat(order[a : a + 1_000], there.sum(axis=1)), score[there], place[there]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array((place >> 32).astype(np.int32)), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(score)], schema=arrow)
 
     return run
 
 
-def _search(lists: dict, size: int, numbers: np.ndarray, starts: np.ndarray, best: dict, k: int, every_term: bool) -> None:
-    """Take the texts 0 to size of some blocks into the k best (score, place) of each set of terms. lists: texts in order and weights of a term.
+def _cells(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """The 32-bit numbers of a column of binary cells, in place, and where each cell begins and ends in bytes."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1]
+    base = int(at[0])
+    return np.frombuffer(data, np.int32, (int(at[-1]) - base) // 4, base), (at - base).tolist()
 
-    Terms go by their largest weight: what holds only terms whose largest weights add up to less than the k-th best score need not be looked at, and of what is
-    looked at only what may still reach it is followed through the other terms.
+
+class _Search:
+    """The k best (score, place) of each of some sets of terms, block by block.
+
+    Terms go by their largest weight in the block: what holds only terms whose largest weights add up to less than the k-th best score need not be looked at, and of
+    what is looked at only what may still reach it is followed through the other terms. Frequent terms are spread out, a number a text, so that they are added and looked up in place.
     """
-    most = {t: float(w.max()) for t, (_, w) in lists.items()}
-    total = np.zeros(size)
-    slack = 2e-6  # scores are rounded to 6 places
-    for terms, (had, places) in best.items():
-        known = [t for t in terms if t in lists]
-        if not known or (every_term and len(known) < len(terms)):
-            continue
-        floor = float(had[-1]) - slack if len(had) >= k else -1.0
-        if every_term:
-            known.sort(key=lambda t: len(lists[t][0]))
-            found, score = lists[known[0]]
-            for t in known[1:]:
-                text, weight = lists[t]
-                at = np.minimum(np.searchsorted(text, found), len(text) - 1)
-                both = text[at] == found
-                found, score = found[both], score[both] + weight[at[both]]
-        else:
-            known.sort(key=lambda t: -most[t])
-            rest = np.append(np.cumsum([most[t] for t in reversed(known)])[::-1], 0.0)
-            if rest[0] < floor:
-                continue
-            first = max(1, int((rest[:-1] >= floor).sum()))  # every text that can reach the floor has one of these
-            work = 0
-            for t in known[:first]:
-                text, weight = lists[t]
-                total[text] += weight
-                work += len(text)
-            if first == 1:
-                found = text[weight >= floor - rest[1]]
-            elif 4 * work < size:
-                parts = []
-                for t in known[:first]:
-                    text = lists[t][0]
-                    text = text[total[text] >= floor - rest[first]]
-                    parts.append((text, total[text]))
-                    total[text] = -np.inf  # taken
-                found, score = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-            else:
-                found = np.flatnonzero(total >= max(floor - rest[first], 1e-300))
-            if first == 1 or 4 * work >= size:
-                score = total[found]
-            if 4 * work < size:
-                for t in known[:first]:
-                    total[lists[t][0]] = 0.0
-            else:
-                total.fill(0.0)
-            for i in range(first, len(known)):
-                if not len(found):
-                    break
-                text, weight = lists[known[i]]
-                if 12 * len(found) < len(text):
-                    at = np.minimum(np.searchsorted(text, found), len(text) - 1)
-                    score = score + np.where(text[at] == found, weight[at], 0.0)
+
+    def __init__(self, sets: list[tuple], k: int, every_term: bool) -> None:
+        self.sets, self.k, self.every_term = sets, k, every_term
+        self.names = {t: i for i, t in enumerate(dict.fromkeys(t for terms in sets for t in terms))}
+        self.score = np.full((len(sets), k), -np.inf)
+        self.place = np.full((len(sets), k), np.iinfo(np.int64).max)
+        self.terms = np.full((len(sets), max(map(len, sets), default=1)), len(self.names))  # the last stands for none
+        for i, terms in enumerate(sets):
+            self.terms[i, : len(terms)] = [self.names[t] for t in terms]
+
+    def take(self, block: int, lists: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """lists: texts in order and weights of a term, in the block."""
+        most = np.zeros(len(self.names) + 1)
+        size = 1
+        numbered: list = [None] * len(self.names)
+        for t, x in lists.items():
+            most[self.names[t]] = x[1].max()
+            size = max(size, int(x[0][-1]) + 1)
+            numbered[self.names[t]] = x
+        # Of scores like the k-th best only those of an earlier text count. Scores are rounded to 6 places.
+        last = self.score[:, -1]
+        floors = np.where(last > -np.inf, np.where(block > self.place[:, -1] >> 32, last + 4e-7, last - 2e-6), -1.0)
+        if self.every_term:
+            for q in np.flatnonzero((most[self.terms].sum(axis=1) >= floors) & ((most[self.terms] > 0).sum(axis=1) == (self.terms < len(self.names)).sum(axis=1))).tolist():
+                known = sorted((numbered[i] for i in self.terms[q].tolist() if i < len(numbered)), key=lambda x: len(x[0]))
+                if known:
+                    self._keep(q, block, *_common(known), floors[q])
+            return
+        dense: dict[int, np.ndarray] = {}
+        for i in sorted((i for i, x in enumerate(numbered) if x is not None and 256 * len(x[0]) >= size), key=lambda i: -len(numbered[i][0]))[: max(1, DENSE_BYTES // (8 * size))]:
+            dense[i] = np.zeros(size)
+            dense[i][numbered[i][0]] = numbered[i][1]
+        total, held = np.zeros(size), np.zeros(size)
+        for a in range(0, len(self.sets), 10_000):
+            some = slice(a, a + 10_000)
+            large = most[self.terms[some]]
+            order = np.argsort(-large, axis=1, kind="stable")
+            large = np.take_along_axis(large, order, axis=1)
+            terms, known = np.take_along_axis(self.terms[some], order, axis=1), (large > 0).sum(axis=1)
+            rest = np.concatenate([np.cumsum(large[:, ::-1], axis=1)[:, ::-1], np.zeros((len(large), 1))], axis=1)
+            first = np.maximum(1, np.minimum(known, (rest[:, :-1] >= floors[some, None]).sum(axis=1)))  # every text that can reach the floor has one of these
+            for q in np.flatnonzero((known > 0) & (rest[:, 0] >= floors[some])).tolist():
+                n, f, floor = int(known[q]), int(first[q]), float(floors[a + q])
+                mine, left = terms[q, :n].tolist(), rest[q].tolist()
+                least = floor - left[f]
+                if f == 1:
+                    found, score = numbered[mine[0]]
+                    if least > 0:
+                        found = found[fits := score >= least]
+                        score = score[fits]
+                elif 8 * sum(len(numbered[i][0]) for i in mine[:f]) < size:
+                    parts = [numbered[i] for i in mine[:f]]
+                    for text, weight in parts:
+                        total[text] += weight
+                    found = np.concatenate([text for text, _ in parts])
+                    score = total[found]
+                    fits = score >= max(least, 1e-300)
+                    found, at = np.unique(found[fits], return_index=True)
+                    score = score[fits][at]
+                    for text, _ in parts:
+                        total[text] = 0.0
                 else:
-                    total[text] = weight
-                    score = score + total[found]
-                    total[text] = 0.0
-                fits = score >= floor - rest[i + 1]
-                found, score = found[fits], score[fits]
-        score = np.round(score, 6)
+                    np.copyto(total, dense[mine[0]]) if mine[0] in dense else _add(total, numbered[mine[0]])
+                    for i in mine[1:f]:
+                        np.add(total, dense[i], out=total) if i in dense else _add(total, numbered[i])
+                    found = np.flatnonzero(total >= max(least, 1e-300))
+                    score = total[found]
+                    total.fill(0.0)
+                for j in range(f, n):
+                    if not len(found):
+                        break
+                    if mine[j] in dense:
+                        score = score + dense[mine[j]][found]
+                    else:
+                        text, weight = numbered[mine[j]]
+                        if 12 * len(found) < len(text):
+                            at = np.minimum(np.searchsorted(text, found), len(text) - 1)
+                            score = score + np.where(text[at] == found, weight[at], 0.0)
+                        else:
+                            held[text] = weight
+                            score = score + held[found]
+                            held[text] = 0.0
+                    if (least := floor - left[j + 1]) > 0:
+                        found = found[fits := score >= least]
+                        score = score[fits]
+                if len(found):
+                    self._keep(a + q, block, found, score, floor)
+
+    def _keep(self, q: int, block: int, found: np.ndarray, score: np.ndarray, floor: float) -> None:
+        k, score = self.k, np.round(score, 6)
         fits = score >= floor
         found, score = found[fits], score[fits]
-        if not len(found):
-            continue
         if len(found) > 4 * k:
             near = score >= np.partition(score, len(score) - k)[len(score) - k]
             found, score = found[near], score[near]
-        which = np.searchsorted(starts, found, side="right") - 1
-        score, place = np.concatenate([had, score]), np.concatenate([places, (numbers[which] << 32) | (found - starts[which])])
+        if not len(found):
+            return
+        score, place = np.concatenate([self.score[q], score]), np.concatenate([self.place[q], (block << 32) | found.astype(np.int64)])
         order = np.lexsort((place, -score))[:k]
-        best[terms] = score[order], place[order]
+        self.score[q], self.place[q] = score[order], place[order]
+
+
+def _add(total: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> None:
+    total[held[0]] += held[1]
+
+
+def _common(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that are in all lists, and the sums of their weights."""
+    found, score = lists[0]
+    for text, weight in lists[1:]:
+        at = np.minimum(np.searchsorted(text, found), len(text) - 1)
+        both = text[at] == found
+        found, score = found[both], score[both] + weight[at[both]]
+    return found, score
 
 
 def fielded(queries: DataFrame, title_index: Index, text_index: Index, k: int) -> DataFrame:

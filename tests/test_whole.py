@@ -126,3 +126,27 @@ def test_keyword_scores_over_many_blocks(spark, monkeypatch):
         want = sorted(((-round(s, 6), c) for c, s in score.items()))[:5]
         assert [c for c, _ in got[q]] == [c for _, c in want]
         assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in want], abs=2e-6)
+
+
+def test_search_takes_few_rows_at_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    real = retrieval._best
+
+    def best(*args):
+        run = real(*args)
+
+        def watched(batches):
+            def each():
+                for b in batches:
+                    if b.num_rows > 500:
+                        seen.add(1)
+                    yield b
+            return run(each())
+        return watched
+
+    monkeypatch.setattr(retrieval, "_best", best)
+    df = spark.createDataFrame([(f"c{i:04d}", f"w{i} w{i + 1} same") for i in range(2_000)], "chunk_id string, text string")
+    hits = retrieval.bm25(spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(2_000))), ("r", "same")], "query_id string, text string"), retrieval.index(df, "text"), 3)
+    assert [r.chunk_id for r in hits.where("query_id = 'r'").orderBy("rank").collect()] == ["c0000", "c0001", "c0002"]
+    assert seen.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4000"
