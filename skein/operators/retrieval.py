@@ -135,7 +135,7 @@ def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, bloc
         size = max(1, -(-table.num_rows // -(-blocks // rounds)))
         known = held.frequencies.join(F.broadcast(_terms(spark, table)), "term", "left_semi").toArrow()  # at most their terms
         idf = dict(zip(known["term"].to_pylist(), np.log(1 + (held.n - known["df"].to_numpy() + 0.5) / (known["df"].to_numpy() + 0.5)).tolist(), strict=True))
-        parts = [table.slice(i, size) for i in range(0, table.num_rows, size)]
+        parts = [table.take(np.arange(i, min(i + size, table.num_rows))) for i in range(0, table.num_rows, size)]  # a slice would be sent with the whole table
         out = None
         for part in parts:
             rows = held.postings.join(F.broadcast(_terms(spark, part)), "term").coalesce(max(1, -(-tasks // len(parts)))).select("block", "term", "texts", "tf", "lens")
@@ -147,12 +147,12 @@ def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, bloc
     return ranked(found.join(held.texts.select("block", "at", "chunk_id"), ["block", "at"]).select("query_id", "chunk_id", "score"), k)
 
 
-def _append(out: DataFrame, path: str) -> None:
+def _append(out: DataFrame, path: str, rows: int = 500) -> None:
     """Write a union of blocks of queries, each in its own tasks, which get few rows at once: blocks of one partition each would else be united to one task."""
     conf = out.sparkSession.conf
     before = {name: conf.get(name, None) for name in ("spark.sql.unionOutputPartitioning", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     conf.set("spark.sql.unionOutputPartitioning", "false")
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         out.write.mode("append").parquet(path)
     finally:
@@ -346,62 +346,101 @@ def fielded(queries: DataFrame, title_index: Index, text_index: Index, k: int) -
 def knn(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.0, block: int = 10_000) -> DataFrame:
     """Exact cosine of a stated set of queries (query_id, vector) against all vectors (chunk_id, vector); score >= floor * best.
 
-    The queries go out in blocks of at most `block`. Each task multiplies its vectors with a block, batch by batch, and passes on its k best
-    a query, so that the shuffle holds k rows a query and task. Vectors of another length, empty or zero ones score 0, as do such queries.
+    The queries go in blocks of at most `block`, each over all vectors in a few tasks, so that the shuffle holds k rows a query and task of its block. A task multiplies a few
+    of its queries with a batch of vectors at once, in 32-bit numbers, and exactly what may be among the k best. The vectors are read once a block, so that costly ones should be stored.
+    Vectors of another length, empty or zero ones score 0, as do such queries.
     """
     spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    kinds = {f.name: f.dataType for f in (*queries.select("query_id").schema, *vectors.select("chunk_id").schema)}
+    held = runtime.materialize(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), "asked")
+    kinds = {f.name: f.dataType for f in (*held.select("query_id").schema, *vectors.select("chunk_id").schema)}
     schema = S.StructType([S.StructField("query_id", kinds["query_id"]), S.StructField("chunk_id", kinds["chunk_id"]), S.StructField("score", S.DoubleType())])
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast([(r.query_id, r.vector) for r in part.select("query_id", "vector").collect()])
-        top = vectors.select("chunk_id", "vector").mapInPandas(_nearest(held, k), schema)
-        out = top if out is None else out.unionByName(top)
-    return floored(ranked(out, k), floor)
-
-
-def _unit(rows: list, length: int) -> np.ndarray:
-    out = np.zeros((len(rows), length))
-    for i, v in enumerate(rows):
-        if v is not None and len(v) == length:
-            out[i] = v
+    n, tasks = held.count(), 2 * spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(tasks, -(-n // 250)))
+    rounds = -(-blocks // tasks)
+    length = held.agg(F.max(F.size("vector"))).head()[0] or 0
+    path = runtime.new_path(spark, "near")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for r in range(rounds):
+        table = (held if rounds == 1 else held.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).toArrow()  # about `block` queries a task
+        size = max(1, -(-table.num_rows // -(-blocks // rounds)))
+        parts = [table.take(np.arange(i, min(i + size, table.num_rows))) for i in range(0, table.num_rows, size)]  # a slice would be sent with the whole table
+        out = None
+        for part in parts:
+            rows = vectors.where("chunk_id IS NOT NULL").select("chunk_id", F.col("vector").cast("array<double>").alias("vector")).coalesce(max(1, -(-tasks // len(parts))))
+            top = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(part), max(0, length), k, floor, schema), schema)
+            out = top if out is None else out.unionByName(top)
+        if out is not None:
+            _append(out, path, 4_000)
+    return floored(ranked(spark.read.schema(schema).parquet(path), k), floor)
+
+
+def _unit(column: pa.Array, length: int) -> np.ndarray:
+    """Lists of numbers as rows of unit length; those of another length are 0."""
+    out = np.zeros((len(column), length))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    right = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == length
+    if length and right.any():
+        out[right] = column.filter(pa.array(right)).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.nan_to_num(out / np.where(norm > 0, norm, 1.0))
 
 
-def _top(score: np.ndarray, names: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, best first, ties in the order of names; names are one row or as many as score has. Ties at or under `least` are in any order."""
-    names = np.broadcast_to(names, score.shape)
-    if score.shape[1] > 4 * k:
-        some = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        border = np.take_along_axis(score, some, axis=1).min(axis=1, keepdims=True)
-        crowded = ((score >= border).sum(axis=1) > k) & (border[:, 0] > least)  # more at the border than places
-        if crowded.any():
-            some[crowded] = np.lexsort((names[crowded], -score[crowded]))[:, :k]
-        score, names = np.take_along_axis(score, some, axis=1), np.take_along_axis(names, some, axis=1)
-    order = np.lexsort((names, -score))[:, :k]
-    return np.take_along_axis(score, order, axis=1), np.take_along_axis(names, order, axis=1)
-
-
-def _nearest(held, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = [q for q, _ in held.value]
-        length = max((len(v) for _, v in held.value if v is not None), default=0)
-        q = _unit([v for _, v in held.value], length)
-        best: tuple[np.ndarray, np.ndarray] | None = None
-        for frame in frames:
-            names = frame["chunk_id"].to_numpy()
-            names = names.astype(str) if names.dtype == object else names
-            score = np.round(q @ _unit(frame["vector"].tolist(), length).T, 6) + 0.0
-            if len(names) and len(ids):
-                found = _top(score, names[None, :], k)
-                best = found if best is None else _top(np.concatenate([best[0], found[0]], axis=1), np.concatenate([best[1], found[1]], axis=1), k)
-        if best is not None:
-            width = best[0].shape[1]
-            yield pd.DataFrame({"query_id": [i for i in ids for _ in range(width)], "chunk_id": best[1].ravel().tolist(), "score": best[0].ravel()})
+def _nearest(asked, length: int, k: int, floor: float, schema: S.StructType, cells: int = 2_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """The k best of each query; of those under `floor` times the best some are left out. cells: scores that are held at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = asked.value.column("query_id").combine_chunks()
+        exact = _unit(asked.value.column("vector"), length)
+        exact, same = np.unique(exact, axis=0, return_inverse=True)  # equal queries are answered once
+        rough, n = exact.astype(np.float32), len(exact)
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by the first query of a slice: query, score, name in order
+        floors = np.full(n, -np.inf)
+        step, slack = max(1, cells // 4_000), 2e-6 + 1.2e-7 * length
+        for batch in batches:
+            if not batch.num_rows or not n:
+                continue
+            names = batch.column(0)
+            names = np.array([x.encode() for x in names.to_pylist()]) if pa.types.is_string(names.type) or pa.types.is_large_string(names.type) else names.to_numpy(zero_copy_only=False)
+            vectors = _unit(batch.column(1), length)
+            few = vectors.astype(np.float32).T
+            for a in range(0, n, step):
+                b = min(n, a + step)
+                score = rough[a:b] @ few
+                least = floors[a:b].copy()
+                new = least == -np.inf
+                if new.any():
+                    least[new] = np.partition(score[new], len(names) - k, axis=1)[:, len(names) - k] if len(names) > k else -np.inf
+                row, col = np.nonzero(score >= (least - slack)[:, None].astype(np.float32))
+                if not len(row):
+                    continue
+                value = np.concatenate([np.round(np.einsum("ij,ij->i", exact[a + row[i : i + 50_000]], vectors[col[i : i + 50_000]]), 6) + 0.0 for i in range(0, len(row), 50_000)])
+                good = value >= floors[a + row]
+                row, value, name = row[good], value[good], names[col[good]]
+                if a in best:
+                    row, value, name = (np.concatenate([x, y]) for x, y in zip(best[a], (row, value, name), strict=True))
+                order = np.lexsort((name, -value, row))
+                row, value, name = row[order], value[order], name[order]
+                begin = np.searchsorted(row, np.arange(b - a + 1))
+                at = np.arange(len(row)) - begin[row]
+                kept = at < k
+                last = kept & (at == k - 1)
+                best[a] = row[kept], value[kept], name[kept]
+                floors[a + row[last]] = value[last]
+                first = at == 0  # what is under `floor` times the best is left out in the end
+                if floor > 0:
+                    floors[a + row[first]] = np.where(value[first] > 0, np.maximum(floors[a + row[first]], np.round(value[first] * floor, 6) - 1e-6), floors[a + row[first]])
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        whose = np.argsort(same.ravel(), kind="stable")
+        starts = np.searchsorted(same.ravel()[whose], np.arange(n + 1))
+        for a, (row, value, name) in best.items():
+            times = np.diff(starts)[a + row]
+            for i in range(0, len(row), 10_000):
+                cut = slice(i, i + 10_000)
+                of = np.concatenate([whose[starts[a + r] : starts[a + r + 1]] for r in row[cut].tolist()])
+                named = np.repeat(name[cut], times[cut])
+                named = pa.array([x.decode() for x in named.tolist()]) if named.dtype.kind == "S" else pa.array(named)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), named.cast(arrow.field(1).type), pa.array(np.repeat(value[cut], times[cut]))], schema=arrow)
 
     return run
 

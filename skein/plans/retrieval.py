@@ -180,11 +180,12 @@ def k16(t: Tables) -> DataFrame:
 @query("hybrid_search")
 def hybrid(t: Tables) -> DataFrame:
     """Keyword over both fields, hashed vectors of all chunks, graph; fused, reranked, blended, with snippets."""
-    q, texts, relations = _queries(t), runtime.materialize(_texts(t), "texts"), runtime.materialize(_relations(t), "relations")
+    q, texts, relations = _queries(t), _texts(t), runtime.materialize(_relations(t), "relations")
     titles, words = (retrieval.index(texts, c) for c in ("title", "text"))
     keyword = retrieval.fielded(q, titles, words, 20)
     encode = embedding.hashing_encoder()
-    semantic = retrieval.knn(embedding.encoded(q, "text", encode), embedding.encoded(texts, "text", encode).select("chunk_id", "vector"), 20, 0.85)
+    vectors = runtime.materialize(embedding.encoded(texts, "text", encode).select("chunk_id", "vector"), "vectors")
+    semantic = retrieval.knn(embedding.encoded(q, "text", encode), vectors, 20, 0.85)
     fused = runtime.materialize(retrieval.pool("hybrid", semantic, keyword, graph.direct(_matches(t, relations), relations, texts, 20)), "fused")
     near = fused.where("rank <= 20").join(texts.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", F.col("text").alias("query")), "query_id")
     again = retrieval.reranked(near.select("query_id", "chunk_id", "query", "text"))

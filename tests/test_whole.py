@@ -150,3 +150,37 @@ def test_search_takes_few_rows_at_once(spark, monkeypatch):
     assert [r.chunk_id for r in hits.where("query_id = 'r'").orderBy("rank").collect()] == ["c0000", "c0001", "c0002"]
     assert seen.value == 0
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4000"
+
+
+def test_nearest_of_queries_in_bounded_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    v = np.round(rng.standard_normal((300, 6))).tolist() + [[0.0] * 6, [1.0] * 5, None]
+    q = np.round(rng.standard_normal((40, 6))).tolist() + [[0.0] * 6]
+    vectors = spark.createDataFrame([(f"c{i:03d}", x) for i, x in enumerate(v)], "chunk_id string, vector array<double>")
+    asked = spark.createDataFrame([(f"q{i:02d}", x) for i, x in enumerate(q)], "query_id string, vector array<double>")
+    got: dict[str, list] = defaultdict(list)
+    for r in retrieval.knn(asked, vectors, 4, 0.7, block=9).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, r.score))
+
+    def unit(x):
+        return np.array(x) / np.linalg.norm(x) if x is not None and len(x) == 6 and any(x) else np.zeros(6)
+
+    for i, x in enumerate(q):
+        best = sorted((-round(float(unit(x) @ unit(y)), 6), f"c{j:03d}") for j, y in enumerate(v))[:4]
+        want = [(c, pytest.approx(-s, abs=2e-6)) for s, c in best if -s >= -best[0][0] * 0.7]
+        assert got[f"q{i:02d}"] == want
+
+    class Held:
+        value = pa.table({"query_id": [f"q{i}" for i in range(10_000)], "vector": rng.standard_normal((10_000, 16)).tolist()})
+
+    schema = spark.createDataFrame([], "query_id string, chunk_id string, score double").schema
+    batch = pa.RecordBatch.from_pydict({"chunk_id": [f"c{i}" for i in range(4_000)], "vector": rng.standard_normal((4_000, 16)).tolist()})
+    run = retrieval._nearest(Held, 16, 5, 0.0, schema)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) == 50_000
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000  # the scores of all pairs take 320 MB
+    tracemalloc.stop()
