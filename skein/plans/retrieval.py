@@ -165,9 +165,11 @@ def k3_fielded(t: Tables) -> DataFrame:
     return retrieval.fielded(_queries(t), retrieval.index(texts, "title"), retrieval.index(texts, "text"), 10)
 
 
-def _fused(t: Tables) -> DataFrame:
-    q, texts = _queries(t), _texts(t)
-    lists = retrieval.bm25(q, retrieval.index(texts, "title"), 10).select("query_id", F.lit("semantic").alias("engine"), "chunk_id", "rank").unionByName(
+def _fused(t: Tables, texts: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """texts, titles: the stored texts and the hits in titles where a query has them already."""
+    q, texts = _queries(t), _texts(t) if texts is None else texts
+    titles = retrieval.bm25(q, retrieval.index(texts, "title"), 10) if titles is None else titles
+    lists = titles.select("query_id", F.lit("semantic").alias("engine"), "chunk_id", "rank").unionByName(
         retrieval.bm25(q, retrieval.index(texts, "text"), 10).select("query_id", F.lit("keyword").alias("engine"), "chunk_id", "rank"))
     return retrieval.reciprocal_rank_fusion(lists)
 
@@ -205,8 +207,9 @@ p AS (SELECT query_id, chunk_id, text, len(list_intersect(qw, list_distinct({_WO
 f AS (SELECT query_id, chunk_id, round(CASE WHEN length(text) < 200 THEN score - 0.2e0 * (1 - length(text) / 200.0e0) ELSE score END, 6) AS rerank_score FROM p)
 SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM f""")
 def k18_reranked(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 20)
-    pairs = hits.join(_texts(t).select("chunk_id", "text"), "chunk_id").join(_queries(t).select("query_id", F.col("text").alias("query")), "query_id")
+    texts = _texts(t)
+    hits = retrieval.bm25(_queries(t), retrieval.index(texts, "text"), 20)
+    pairs = hits.join(texts.select("chunk_id", "text"), "chunk_id").join(_queries(t).select("query_id", F.col("text").alias("query")), "query_id")
     return retrieval.reranked(pairs.select("query_id", "chunk_id", "query", "text")).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
@@ -215,7 +218,8 @@ c AS (SELECT f.query_id, f.chunk_id, f.score, CASE WHEN f.rank <= 5 THEN length(
 m AS (SELECT *, min(CASE WHEN r IS NOT NULL THEN score END) OVER w AS lo, max(CASE WHEN r IS NOT NULL THEN score END) OVER w AS hi, min(r) OVER w AS rlo, max(r) OVER w AS rhi FROM c WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, chunk_id, round(CASE WHEN r IS NULL THEN score ELSE 0.4e0 * (score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END + 0.6e0 * (r - rlo) / CASE WHEN rhi > rlo THEN rhi - rlo ELSE 1 END END, 6) AS blended FROM m""")
 def k19(t: Tables) -> DataFrame:
-    rows = _fused(t).join(_texts(t).select("chunk_id", "text"), "chunk_id").withColumn("rerank_score", F.when(F.col("rank") <= 5, F.length("text") / 1000.0)).drop("rank", "text", "engines")
+    texts = _texts(t)
+    rows = _fused(t, texts).join(texts.select("chunk_id", F.length("text").alias("length")), "chunk_id").withColumn("rerank_score", F.when(F.col("rank") <= 5, F.col("length") / 1000.0)).drop("rank", "length", "engines")
     return retrieval.blended(rows).select("query_id", "chunk_id", "blended")
 
 
@@ -236,8 +240,10 @@ own AS (SELECT query_id, chunk_id AS ref, row_number() OVER (PARTITION BY query_
 al AS (SELECT own.query_id, ref, 'local' AS origin, 0 AS o, n FROM own LEFT JOIN slots USING (query_id) WHERE n <= 10 - coalesce(slots, 0) UNION ALL SELECT query_id, ref, 'federated', 1, n FROM fed)
 SELECT query_id, ref, origin, row_number() OVER (PARTITION BY query_id ORDER BY o, n) AS position FROM al""")
 def k25(t: Tables) -> DataFrame:
-    local = _fused(t).select("query_id", F.col("chunk_id").alias("ref"), "score")
-    fed = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "title"), 10).select("query_id", F.col("chunk_id").alias("ref"), F.lit("gmail").alias("namespace"), F.lit("").alias("snippet"), F.col("rank").alias("native_rank"))
+    texts = _texts(t)
+    titles = retrieval.bm25(_queries(t), retrieval.index(texts, "title"), 10)
+    local = _fused(t, texts, titles).select("query_id", F.col("chunk_id").alias("ref"), "score")
+    fed = titles.select("query_id", F.col("chunk_id").alias("ref"), F.lit("gmail").alias("namespace"), F.lit("").alias("snippet"), F.col("rank").alias("native_rank"))
     return retrieval.quota_merge(local, fed, 10, 3)
 
 

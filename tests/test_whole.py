@@ -152,6 +152,17 @@ def test_search_takes_few_rows_at_once(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4000"
 
 
+@needs_tables
+@pytest.mark.parametrize(("name", "indexes"), [("k18_reranked", 1), ("k19_blend", 2), ("k25_quota_merge", 2)])
+def test_texts_and_indexes_are_made_once(spark, monkeypatch, name, indexes):
+    made = defaultdict(int)
+    write, index = plans.retrieval.runtime.materialize, retrieval.index
+    monkeypatch.setattr(plans.retrieval.runtime, "materialize", lambda df, n, path=None: made.update({n: made[n] + 1}) or write(df, n, path))
+    monkeypatch.setattr(retrieval, "index", lambda *a: made.update({"index": made["index"] + 1}) or index(*a))
+    assert plans.QUERIES[name](spark, str(FOLDER)).count() > 0
+    assert (made["texts"], made["index"]) == (1, indexes)
+
+
 def test_nearest_of_queries_in_bounded_memory(spark):
     import tracemalloc
 
