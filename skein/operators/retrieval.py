@@ -54,63 +54,86 @@ def index(texts: DataFrame, column: str, path: str | None = None) -> Index:
 
     Texts go to blocks of at most about BLOCK_TEXTS and BLOCK_BYTES by ranges of their ids. They are read three times, so that costly ones should be stored.
     """
+    return _stored(texts, (column,), path or runtime.new_path(texts.sparkSession, "index"))[0]
+
+
+def indexes(rows: DataFrame, columns: tuple[str, ...]) -> list[Index]:
+    """The indexes of columns of (chunk_id, *columns) by one shuffle, without a stored copy of the texts. Of a chunk_id that comes several times the largest value of each column counts."""
+    largest = [F.max(c).alias(c) for c in columns]
+    return _stored(rows, columns, runtime.new_path(rows.sparkSession, "index"), lambda x: x.groupBy("chunk_id").agg(*largest))
+
+
+def _stored(texts: DataFrame, columns: tuple[str, ...], path: str, merged: Callable[[DataFrame], DataFrame] = lambda x: x) -> list[Index]:
+    """merged: what is done with the rows of a block, of which all of a chunk_id lie in one."""
     spark = texts.sparkSession
-    path = path or runtime.new_path(spark, "index")
-    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length(column)).alias("bytes")).head()
+    total = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns)
+    size = texts.agg(F.count("*").alias("n"), F.sum(total).alias("bytes")).head()
     tasks = min(runtime.partitions(spark), -(-(size.bytes or 0) // 1_000_000))
     blocks = max(1, -(-size.n // BLOCK_TEXTS), -(-(size.bytes or 0) // BLOCK_BYTES), min(tasks, spark.sparkContext.defaultParallelism))
     kind = texts.select("chunk_id").schema["chunk_id"].dataType
-    schema = S.StructType([S.StructField("kind", S.StringType()), S.StructField("block", S.IntegerType()), S.StructField("at", S.IntegerType()), S.StructField("chunk_id", kind), S.StructField("len", S.IntegerType()),
+    schema = S.StructType([S.StructField("field", S.StringType()), S.StructField("kind", S.StringType()), S.StructField("block", S.IntegerType()), S.StructField("at", S.IntegerType()), S.StructField("chunk_id", kind), S.StructField("len", S.IntegerType()),
                            S.StructField("term", S.StringType()), S.StructField("n", S.IntegerType()), *[S.StructField(c, S.BinaryType()) for c in ("texts", "tf", "lens")]])
-    rows = texts.select("chunk_id", column).repartitionByRange(blocks, "chunk_id").sortWithinPartitions("chunk_id").select("chunk_id", T.words(column).alias("w")).where(F.size("w") > 0)
-    rows.mapInArrow(_blocks(schema), schema).write.mode("overwrite").partitionBy("kind").option("parquet.block.size", str(1 << 30)).option("compression", "zstd").parquet(f"{path}/rows")
-    stored = spark.read.schema(schema).parquet(f"{path}/rows")
-    stored.where("kind = 'term'").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    stored.where("kind = 'text'").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/statistics")
-    return open_index(spark, path)
-
-
-def open_index(spark, path: str) -> Index:  # noqa: ANN001
-    stat = spark.read.parquet(f"{path}/statistics").head()
-    rows = spark.read.parquet(f"{path}/rows") if stat.n else spark.createDataFrame([], "kind string, block int, at int, chunk_id string, len int, term string, n int, texts binary, tf binary, lens binary")
-    return Index(rows.where("kind = 'term'").select("block", "term", "n", "texts", "tf", "lens"), rows.where("kind = 'text'").select("block", "at", "chunk_id", "len"), spark.read.parquet(f"{path}/frequencies"), stat.n, stat.mean or 1.0)
-
-
-def _blocks(schema: S.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A partition of (chunk_id, w) as one block: a row for each text and each term."""
+    rows = merged(texts.select("chunk_id", *columns).repartitionByRange(blocks, "chunk_id")).sortWithinPartitions("chunk_id").select("chunk_id", *[T.words(c).alias(c) for c in columns])
+    made = rows.mapInArrow(_blocks(schema, columns), schema)
+    several = len(columns) > 1
+    runtime.write((made if several else made.drop("field")).write.mode("overwrite").partitionBy(*["field"] * several, "kind").option("parquet.block.size", str(1 << 30)).option("compression", "zstd"), spark, f"{path}/rows")
+    found = []
+    for field in columns:
+        part = f"/field={field}" if several else ""
+        there = runtime.exists(spark, f"{path}/rows{part}")
+        stored = spark.read.schema(schema).parquet(f"{path}/rows{part}") if there else spark.createDataFrame([], schema)
+        runtime.write(stored.where("kind = 'term'").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite"), spark, f"{path}/frequencies{part}")
+        runtime.write(stored.where("kind = 'text'").agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite"), spark, f"{path}/statistics{part}")
+        found.append(open_index(spark, path, part))
+    return found
+
+
+def open_index(spark, path: str, part: str = "") -> Index:  # noqa: ANN001
+    stat = spark.read.parquet(f"{path}/statistics{part}").head()
+    rows = spark.read.parquet(f"{path}/rows{part}") if stat.n else spark.createDataFrame([], "kind string, block int, at int, chunk_id string, len int, term string, n int, texts binary, tf binary, lens binary")
+    return Index(rows.where("kind = 'term'").select("block", "term", "n", "texts", "tf", "lens"), rows.where("kind = 'text'").select("block", "at", "chunk_id", "len"), spark.read.parquet(f"{path}/frequencies{part}"), stat.n, stat.mean or 1.0)
+
+
+def _blocks(schema: S.StructType, columns: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition of (chunk_id, words of each column) as one block: for each column a row for each text with words and each term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, block = to_arrow_schema(schema), TaskContext.get().partitionId()
 
-        def out(rows: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in arrow], schema=arrow)
+        def out(rows: int, **values: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([values[f.name].cast(f.type) if f.name in values else pa.nulls(rows, f.type) for f in arrow], schema=arrow)
 
-        names: dict[str, int] = {}
-        codes, sizes = [], []
+        names: dict[str, dict[str, int]] = {c: {} for c in columns}
+        codes: dict[str, list[np.ndarray]] = {c: [] for c in columns}
+        sizes: dict[str, list[np.ndarray]] = {c: [] for c in columns}
         for batch in batches:
-            if not batch.num_rows:
+            for i, c in enumerate(columns, 1):
+                size = batch.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+                told = size > 0
+                size = size[told]
+                if not len(size):
+                    continue
+                yield out(len(size), field=pa.array([c] * len(size)), kind=pa.array(["text"] * len(size)), block=pa.array(np.full(len(size), block, np.int32)), at=pa.array(np.arange(len(size), dtype=np.int32) + sum(map(len, sizes[c]))),
+                          chunk_id=batch.column(0).filter(pa.array(told)), len=pa.array(size))
+                words = batch.column(i).flatten().dictionary_encode()
+                codes[c].append(np.array([names[c].setdefault(w, len(names[c])) for w in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy()])
+                sizes[c].append(size)
+        for c in columns:
+            if not sizes[c]:
                 continue
-            size = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int32)
-            yield out(len(size), kind=pa.array(["text"] * len(size)), block=pa.array(np.full(len(size), block, np.int32)), at=pa.array(np.arange(len(size), dtype=np.int32) + sum(map(len, sizes))), chunk_id=batch.column(0), len=pa.array(size))
-            words = batch.column(1).flatten().dictionary_encode()
-            codes.append(np.array([names.setdefault(w, len(names)) for w in words.dictionary.to_pylist()], dtype=np.int64)[words.indices.to_numpy()])
-            sizes.append(size)
-        if not sizes:
-            return
-        size = np.concatenate(sizes)
-        key = np.concatenate(codes) * len(size) + np.repeat(np.arange(len(size)), size)
-        del codes
-        key, tf = np.unique(key, return_counts=True)
-        text = (key % len(size)).astype(np.int32)
-        begin = np.searchsorted(key, np.arange(len(names) + 1, dtype=np.int64) * len(size))
-        tf, lens, terms = tf.astype(np.int32), size[text], list(names)
-        for a in range(0, len(terms), 2_000):
-            b = min(a + 2_000, len(terms))
-            cut = [(begin[i], begin[i + 1]) for i in range(a, b)]
-            parts = {c: pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for c, x in (("texts", text), ("tf", tf), ("lens", lens))}
-            yield out(b - a, kind=pa.array(["term"] * (b - a)), block=pa.array(np.full(b - a, block, np.int32)), term=pa.array(terms[a:b]), n=pa.array(np.diff(begin[a : b + 1]).astype(np.int32)), **parts)
+            size = np.concatenate(sizes[c])
+            key = np.concatenate(codes.pop(c)) * len(size) + np.repeat(np.arange(len(size)), size)
+            key, tf = np.unique(key, return_counts=True)
+            text = (key % len(size)).astype(np.int32)
+            begin = np.searchsorted(key, np.arange(len(names[c]) + 1, dtype=np.int64) * len(size))
+            tf, lens, terms = tf.astype(np.int32), size[text], list(names[c])
+            for a in range(0, len(terms), 2_000):
+                b = min(a + 2_000, len(terms))
+                cut = [(begin[i], begin[i + 1]) for i in range(a, b)]
+                parts = {name: pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for name, x in (("texts", text), ("tf", tf), ("lens", lens))}
+                yield out(b - a, field=pa.array([c] * (b - a)), kind=pa.array(["term"] * (b - a)), block=pa.array(np.full(b - a, block, np.int32)), term=pa.array(terms[a:b]), n=pa.array(np.diff(begin[a : b + 1]).astype(np.int32)), **parts)
 
     return run
 
@@ -154,7 +177,7 @@ def _append(out: DataFrame, path: str, rows: int = 500) -> None:
     conf.set("spark.sql.unionOutputPartitioning", "false")
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
-        out.write.mode("append").parquet(path)
+        runtime.write(out.write.mode("append"), out.sparkSession, path)
     finally:
         for name, value in before.items():
             conf.unset(name) if value is None else conf.set(name, value)
@@ -621,7 +644,8 @@ def public_ref(namespace: Column, ref: Column, units: Column) -> Column:
 
 def candidates(hits: DataFrame, chunks: DataFrame, queries: DataFrame, length: int = 300) -> DataFrame:
     """Hits (query_id, chunk_id, score, engines, rank) with ref, title, heading path and snippet; unknown chunks are left out."""
-    rows = hits.join(chunks.select("chunk_id", "ref", "title", "heading_hierarchy", "text").dropDuplicates(["chunk_id"]), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    asked = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id")  # before the texts come, which would be shuffled once more
+    rows = asked.join(chunks.select("chunk_id", "ref", "title", "heading_hierarchy", "text").dropDuplicates(["chunk_id"]), "chunk_id")
     return rows.select("query_id", "rank", "chunk_id", "ref", "title", "score", "engines", F.array_join("heading_hierarchy", " > ").alias("heading_path"), snippet("text", "query", F.lit(length)).alias("snippet"))
 
 

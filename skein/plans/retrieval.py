@@ -167,10 +167,11 @@ def k3_fielded(t: Tables) -> DataFrame:
 
 def _fused(t: Tables, texts: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """texts, titles: the stored texts and the hits in titles where a query has them already."""
-    q, texts = _queries(t), _texts(t) if texts is None else texts
-    titles = retrieval.bm25(q, retrieval.index(texts, "title"), 10) if titles is None else titles
+    q = _queries(t)
+    held = retrieval.indexes(t.chunks, ("title", "text")) if texts is None else [None if titles is not None else retrieval.index(texts, "title"), retrieval.index(texts, "text")]
+    titles = retrieval.bm25(q, held[0], 10) if titles is None else titles
     lists = titles.select("query_id", F.lit("semantic").alias("engine"), "chunk_id", "rank").unionByName(
-        retrieval.bm25(q, retrieval.index(texts, "text"), 10).select("query_id", F.lit("keyword").alias("engine"), "chunk_id", "rank"))
+        retrieval.bm25(q, held[1], 10).select("query_id", F.lit("keyword").alias("engine"), "chunk_id", "rank"))
     return retrieval.reciprocal_rank_fusion(lists)
 
 

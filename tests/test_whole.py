@@ -203,3 +203,39 @@ def test_ordinary_words_of_all_documents(spark):
     n = {w: docs.where(F.col("text").contains(w)).count() for w in ("enough", "seldom")}
     assert n == {"enough": 27, "seldom": 26}  # 0.003 of all documents, and one less
     assert toxicity.ordinary_words(toxicity.sentences_of(docs)) == {toxicity.plain(w) for w in ("everybody", "writes", "enough")}
+
+
+def test_indexes_of_several_columns(spark):
+    rows = [(f"c{i:03d}", None if i % 3 == 0 else f"title w{i % 5}", "" if i % 7 == 0 else " ".join(f"w{j % 11}" for j in range(i % 9 + 1))) for i in range(200)]
+    rows += [(c, "a smaller title", "a smaller text") for c, _, _ in rows[:50]] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "chunk_id string, title string, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} title smaller w{i + 3}") for i in range(9)], "query_id string, text string")
+    both = retrieval.indexes(df, ("title", "text"))
+    for column, held in zip(("title", "text"), both, strict=True):
+        one = retrieval.index(df.groupBy("chunk_id").agg(F.max(column).alias(column)), column)
+        assert (held.n, held.mean) == (one.n, one.mean)
+        want, got = (sorted(map(tuple, retrieval.bm25(asked, x, 7).collect())) for x in (one, held))
+        assert got == want and len(got) > 20
+    empty = retrieval.indexes(df.where("chunk_id = 'none'"), ("title", "text"))
+    assert [x.n for x in empty] == [0, 0] and retrieval.bm25(asked, empty[0], 7).count() == 0
+
+
+def test_shuffle_files_of_stored_tables_are_deleted(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in (str(x) for x in disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = shuffles()
+    df = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    assert plans.retrieval.runtime.materialize(df, "counts").where("n = 100").count() == 100
+    held = [f for f in shuffles() - before if f.endswith(".data")]
+    assert len(held) <= 1  # of the count here, which is no stored table
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["n11_measures"])
+def test_no_copy_of_the_texts(spark, monkeypatch, name):
+    made = defaultdict(int)
+    write, indexes = plans.retrieval.runtime.materialize, getattr(retrieval, "indexes", None)
+    monkeypatch.setattr(plans.retrieval.runtime, "materialize", lambda df, n, path=None: made.update({n: made[n] + 1}) or write(df, n, path))
+    monkeypatch.setattr(retrieval, "indexes", lambda *a: made.update({"indexes": made["indexes"] + 1}) or indexes(*a), raising=False)
+    assert plans.QUERIES[name](spark, str(FOLDER)).count() > 0
+    assert (made["texts"], made["indexes"]) == (0, 1)
