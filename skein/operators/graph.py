@@ -89,20 +89,38 @@ def counted(matches: DataFrame, relations: DataFrame, k: int) -> DataFrame:
     return n.withColumn("score", F.col("n") / F.max("n").over(Window.partitionBy("query_id"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-def enriched(seeds: DataFrame, relations: DataFrame, active: DataFrame, k: int, most_seeds: int | None = None, decay: float = 1.0) -> DataFrame:
+def enriched(seeds: DataFrame, relations: DataFrame, active: DataFrame, k: int, most_seeds: int | None = None, decay: float = 1.0, digits: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: sections two relations away from the first seeds (query_id, chunk_id, rank), by the sum of weights; seeds are left out.
 
-    most_seeds: only the first so many seeds of a query, if given.
+    most_seeds: only the first so many seeds of a query, if given. digits: those of scores, before they are ranked, if given.
+    Queries whose seeds have the same targets, each as often, have the same scores, and so have sections with the same targets and weights. So different lists of targets of queries meet
+    different lists of sections, not queries sections. Of sections with the same list only the first k and as many as there are seeds to leave out can be among the k best.
     """
     first = seeds if most_seeds is None else seeds.where(F.col("rank") <= most_seeds)
-    first = first.select("query_id", F.col("chunk_id").alias("seed")).distinct()
+    first = runtime.materialize(first.select("query_id", F.col("chunk_id").alias("seed")).distinct(), "seeds")
+    spare = k + ((first.groupBy("query_id").count().agg(F.max("count")).head()[0] or 0) if most_seeds is None else most_seeds)
     edges = finite(relations).select("source_id", "target_id", "weight")
-    mine = first.join(edges, F.col("seed") == F.col("source_id")).select("query_id", "seed", F.col("target_id").alias("via"))
-    far = mine.join(edges, F.col("via") == F.col("target_id")).where("source_id <> seed")
-    total = far.groupBy("query_id", F.col("source_id").alias("chunk_id")).agg((F.sum("weight") * decay).alias("score"))
-    total = total.join(first.withColumnRenamed("seed", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(active.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+    def numbered(lists: DataFrame, name: str) -> DataFrame:
+        return runtime.materialize(lists.select("links").distinct().withColumn(name, F.monotonically_increasing_id()), name)
+
+    mine = first.join(edges, F.col("seed") == F.col("source_id")).groupBy("query_id", "target_id").agg(F.count("*").alias("n"))
+    asked = runtime.materialize(mine.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "n"))).alias("links")), "asked")
+    shown = edges.join(active.select(F.col("chunk_id").alias("source_id")).distinct(), "source_id", "left_semi").groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight"))
+    shown = shown.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "weight"))).alias("links"))
+    shown = runtime.materialize(shown.withColumn("n", F.row_number().over(Window.partitionBy("links").orderBy("source_id"))).where(F.col("n") <= spare), "shown")
+    asking, showing = numbered(asked, "asking"), numbered(shown.where("n = 1"), "showing")
+    heads = shown.where("n = 1").join(showing, "links").select("showing", F.col("source_id").alias("head"), F.explode("links").alias("x")).select("showing", "head", "x.*")
+    pairs = asking.select("asking", F.explode("links").alias("x")).select("asking", "x.*").join(heads, "target_id").groupBy("asking", "showing", "head").agg((F.sum(F.col("n") * F.col("weight")) * decay).alias("score"))
+    pairs = pairs if digits is None else pairs.withColumn("score", F.round("score", digits))
+
+    def best(rows: DataFrame, most: int, by: str, tie: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), tie))).where(F.col("rank") <= most)
+
+    lists = best(pairs, spare, "asking", "head").select("asking", "showing", "score")
+    near = best(lists.join(shown.join(showing, "links").select("showing", F.col("source_id").alias("chunk_id")), "showing"), spare, "asking", "chunk_id").select("asking", "chunk_id", "score")
+    near = asked.join(asking, "links").select("query_id", "asking").join(near, "asking").select("query_id", "chunk_id", "score")
+    return best(near.join(first.withColumnRenamed("seed", "chunk_id"), ["query_id", "chunk_id"], "left_anti"), k, "query_id", "chunk_id").select("query_id", "chunk_id", "score", "rank")
 
 
 def related(relations: DataFrame, salts: int = 8) -> DataFrame:

@@ -136,9 +136,8 @@ far AS (SELECT query_id, source_id AS chunk_id, round(sum(weight), 6) AS score F
 kept AS (SELECT far.* FROM far WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.query_id = far.query_id AND seed = chunk_id))
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kept QUALIFY rank <= 10""")
 def k14(t: Tables) -> DataFrame:
-    seeds = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 10)
-    rows = graph.enriched(seeds, _relations(t), t.chunks, 1 << 30, most_seeds=8).drop("rank")
-    return retrieval.ranked(rows.withColumn("score", F.round("score", 6)), 10)
+    seeds = retrieval.bm25(_queries(t), retrieval.indexes(t.chunks, ("text",))[0], 10)
+    return graph.enriched(seeds, runtime.materialize(_relations(t), "relations"), t.chunks, 10, most_seeds=8, digits=6)
 
 
 @query("f11_related_all", rf"WITH {_REL} SELECT l.source_id AS section, r.source_id AS other, round(sum(r.weight), 6) AS weight FROM (SELECT DISTINCT source_id, target_id FROM rel) l JOIN rel r USING (target_id) WHERE l.source_id <> r.source_id GROUP BY 1, 2")

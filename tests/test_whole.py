@@ -239,3 +239,31 @@ def test_no_copy_of_the_texts(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval, "indexes", lambda *a: made.update({"indexes": made["indexes"] + 1}) or indexes(*a), raising=False)
     assert plans.QUERIES[name](spark, str(FOLDER)).count() > 0
     assert (made["texts"], made["indexes"]) == (0, 1)
+
+
+@pytest.mark.parametrize("most", [2, None])
+def test_enriched_by_lists_of_targets(spark, monkeypatch, most):
+    rng = np.random.default_rng(11)
+    edges = {(f"c{i:04d}", f"e{j}", float(w)) for i in range(2_000) for j, w in zip(rng.integers(0, 3, 2), rng.integers(1, 3, 2) / 10, strict=True)} | {("hidden", "e0", 9.0), ("bad", "e0", float("nan"))}
+    seeds = {(f"q{i:03d}", f"c{j:04d}", r + 1) for i in range(200) for r, j in enumerate(rng.choice(200, rng.integers(1, 5), replace=False))} | {("alone", "unlinked", 1)}
+    made, write = {}, graph.runtime.materialize
+    monkeypatch.setattr(graph.runtime, "materialize", lambda df, n, path=None: made.setdefault(n, write(df, n, path)))
+    relations = spark.createDataFrame(list(edges), "source_id string, target_id string, weight double")
+    active = relations.select(F.col("source_id").alias("chunk_id")).where("chunk_id <> 'hidden'")
+    got: dict[str, list] = defaultdict(list)
+    hits = graph.enriched(spark.createDataFrame(list(seeds), "query_id string, chunk_id string, rank int"), relations, active, 6, most_seeds=most, decay=0.5, digits=6)
+    for r in hits.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, r.score))
+    links = defaultdict(list)
+    for s, t, w in edges:
+        if np.isfinite(w):
+            links[s].append((t, w))
+    want = {}
+    for q in {q for q, _, _ in seeds}:
+        own = {c for x, c, r in seeds if x == q and (most is None or r <= most)}
+        vias = [t for c in own for t, _ in links[c]]
+        score = {c: round(0.5 * sum(w * vias.count(t) for t, w in ts), 6) for c, ts in links.items() if c not in own | {"hidden"} and {t for t, _ in ts} & set(vias)}
+        if best := sorted((-s, c) for c, s in score.items())[:6]:
+            want[q] = [(c, pytest.approx(-s, abs=2e-6)) for s, c in best]
+    assert len(want) == 200 and got == want
+    assert made["showing"].count() < 100 and made["asking"].count() < 200  # lists of targets, not 2,000 sections
