@@ -160,8 +160,7 @@ final AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 s AS (SELECT query_id, chunk_id, round(sum(score), 6) AS score FROM f GROUP BY 1, 2)
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10""")
 def k3_fielded(t: Tables) -> DataFrame:
-    texts = _texts(t)
-    return retrieval.fielded(_queries(t), retrieval.index(texts, "title"), retrieval.index(texts, "text"), 10)
+    return retrieval.fielded(_queries(t), *retrieval.indexes(t.chunks, ("title", "text")), 10)
 
 
 def _fused(t: Tables, texts: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
