@@ -256,8 +256,8 @@ def f9(t: Tables) -> DataFrame:
 
 @query("g23_overlap", rf"{_LISTS}, a AS (SELECT query_id, list(chunk_id) AS x FROM titles GROUP BY 1), b AS (SELECT query_id, list(chunk_id) AS y FROM keyword GROUP BY 1) SELECT query_id, len(list_intersect(x, y)) AS shared FROM a JOIN b USING (query_id)")
 def g23(t: Tables) -> DataFrame:
-    q, texts = _queries(t), _texts(t)
-    a, b = (retrieval.bm25(q, retrieval.index(texts, c), 10) for c in ("title", "text"))
+    q = _queries(t)
+    a, b = (retrieval.bm25(q, held, 10) for held in retrieval.indexes(t.chunks, ("title", "text")))
     return retrieval.overlap(a, b, 10).withColumn("shared", F.col("shared").cast("long"))
 
 
