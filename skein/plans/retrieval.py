@@ -224,7 +224,7 @@ def k19(t: Tables) -> DataFrame:
 
 @query("k20_snippets")
 def k20(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(_queries(t), retrieval.index(_texts(t), "text"), 5).withColumn("engines", F.array(F.lit("keyword")))
+    hits = retrieval.bm25(_queries(t), retrieval.indexes(t.chunks, ("text",))[0], 5).withColumn("engines", F.array(F.lit("keyword")))
     return retrieval.candidates(hits, t.chunks, _queries(t))
 
 

@@ -231,7 +231,7 @@ def test_shuffle_files_of_stored_tables_are_deleted(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["n11_measures", "g23_overlap", "k3_fielded", "k16_rrf"])
+@pytest.mark.parametrize("name", ["n11_measures", "k20_snippets", "g23_overlap", "k3_fielded", "k16_rrf"])
 def test_no_copy_of_the_texts(spark, monkeypatch, name):
     made = defaultdict(int)
     write, indexes = plans.retrieval.runtime.materialize, getattr(retrieval, "indexes", None)
