@@ -154,7 +154,7 @@ def bm25(queries: DataFrame, held: Index, k: int, every_term: bool = False, bloc
     path = runtime.new_path(spark, "hits")
     spark.createDataFrame([], schema).write.parquet(path)
     for r in range(rounds):
-        table = (terms if rounds == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).toArrow()  # about `block` queries a task
+        table = _alike(terms if rounds == 1 else terms.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r))  # about `block` queries a task
         size = max(1, -(-table.num_rows // -(-blocks // rounds)))
         known = held.frequencies.join(F.broadcast(_terms(spark, table)), "term", "left_semi").toArrow()  # at most their terms
         idf = dict(zip(known["term"].to_pylist(), np.log(1 + (held.n - known["df"].to_numpy() + 0.5) / (known["df"].to_numpy() + 0.5)).tolist(), strict=True))
@@ -183,6 +183,11 @@ def _append(out: DataFrame, path: str, rows: int = 500) -> None:
             conf.unset(name) if value is None else conf.set(name, value)
 
 
+def _alike(terms: DataFrame) -> pa.Table:
+    """(query_id, terms) with queries of the same terms one after another: they come to one task, which answers them once."""
+    return terms.withColumn("same", F.xxhash64("terms")).toArrow().sort_by("same").drop_columns("same")
+
+
 def _terms(spark, asked: pa.Table) -> DataFrame:  # noqa: ANN001
     """The different terms of (query_id, terms)."""
     return spark.createDataFrame(pa.table({"term": asked["terms"].combine_chunks().flatten().unique().cast(pa.string())}))

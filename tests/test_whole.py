@@ -267,3 +267,17 @@ def test_enriched_by_lists_of_targets(spark, monkeypatch, most):
             want[q] = [(c, pytest.approx(-s, abs=2e-6)) for s, c in best]
     assert len(want) == 200 and got == want
     assert made["showing"].count() < 100 and made["asking"].count() < 200  # lists of targets, not 2,000 sections
+
+
+def test_equal_queries_lie_together(spark, monkeypatch):
+    parts, terms = [], retrieval._terms
+    monkeypatch.setattr(retrieval, "_terms", lambda s, asked: parts.append(asked) or terms(s, asked))
+    df = spark.createDataFrame([(f"c{i:03d}", " ".join(f"w{j % 50}" for j in range(i, i + 6))) for i in range(300)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(f"q{i:04d}", f"w{i % 50} w{(i + 1) % 50}") for i in range(3_000)], "query_id string, text string").repartition(7)
+    hits: dict[str, list] = defaultdict(list)
+    for r in retrieval.bm25(asked, retrieval.index(df, "text"), 5).orderBy("query_id", "rank").collect():
+        hits[r.query_id].append((r.chunk_id, r.score))
+    assert len(hits) == 3_000 and all(hits[f"q{i:04d}"] == hits[f"q{i % 50:04d}"] and len(hits[f"q{i:04d}"]) == 5 for i in range(3_000))
+    parts = [p for p in parts if p.num_rows < 3_000]  # the first is the whole table
+    assert len(parts) > 5 and sum(p.num_rows for p in parts) == 3_000
+    assert sum(len({tuple(t) for t in p["terms"].to_pylist()}) for p in parts) < 50 + len(parts)  # a set lies in two parts only where one ends
